@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 _HEX_DIGITS = 13
 _SCALE = float(16**_HEX_DIGITS)
-_POISSON_CHUNK = 2.0
-_POISSON_TERMS = 26  # P(K > 26 | mean 2) is below the 2**-52 grid of the uniform
+_POISSON_TERMS = 18  # P(K >= 18 | mean 1) is below the 2**-52 grid of the uniform
 
 
 def draw_hash(key: Column, salt: str) -> Column:
@@ -36,19 +35,21 @@ def keyed_normal(key: Column, salt: str) -> Column:
 
 
 def poisson_chunks(mean: Column) -> Column:
-    """Number of equal parts a Poisson mean is cut into so that each part is at most 2."""
-    return F.greatest(F.ceil(mean / F.lit(_POISSON_CHUNK)), F.lit(1)).cast("long")
+    """Number of equal parts a Poisson mean is cut into so that each part is at most 1."""
+    return F.greatest(F.ceil(mean), F.lit(1)).cast("long")
 
 
 def poisson_from_uniform(u: Column, mean: Column) -> Column:
-    """Inverse Poisson CDF for a mean of at most 2, as one fold in the expression tree."""
-
-    def step(acc: Column, k: Column) -> Column:
-        p = acc["p"] * mean / k
-        hit = F.when(u > acc["c"], F.lit(1)).otherwise(F.lit(0))
-        return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), (acc["n"] + hit).alias("n"))
-
-    p0 = F.exp(-mean)
-    start = F.struct(p0.alias("p"), p0.alias("c"), F.lit(0).alias("n"))
-    terms = F.array(*[F.lit(float(k)) for k in range(1, _POISSON_TERMS + 1)])
-    return F.aggregate(terms, start, step, lambda acc: acc["n"])
+    """Inverse Poisson CDF for a mean of at most 1.
+
+    A chain of comparisons with the cumulative sums, each in Horner form: the first two or
+    three settle nearly every row, and the chain ends where the sum reaches 1 in doubles.
+    """
+    chain = None
+    for k in range(_POISSON_TERMS):
+        total = F.lit(1.0)
+        for j in range(k, 0, -1):
+            total = F.lit(1.0) + mean / F.lit(float(j)) * total
+        hit = u <= F.exp(-mean) * total
+        chain = F.when(hit, F.lit(k)) if chain is None else chain.when(hit, F.lit(k))
+    return chain.otherwise(F.lit(_POISSON_TERMS))

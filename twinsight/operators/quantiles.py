@@ -2,8 +2,10 @@
 
 ``percentile`` keeps every distinct value in one reducer, which is right for small tables
 only. Above a row bound the two order statistics around each quantile are bracketed with
-``percentile_approx``, verified by exact counts, and narrowed until the bracket holds few
-distinct values. Every pass is a map-side-combined aggregate with one output row per group.
+``percentile_approx``. A second pass counts the rows of every bracketed value and of the gaps
+between brackets, which proves or refutes the bracket and settles the order statistics. On very
+large tables the brackets are first narrowed until they hold few distinct values. Every pass is
+a map-side-combined aggregate with a small result.
 """
 
 from __future__ import annotations
@@ -15,11 +17,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 50_000
 BRACKET_VALUES = 20_000
 MAX_GROUPS = 1_000
 _ACCURACY = 10_000
-_SLACK = 4.0 / _ACCURACY
+_SLACK = 2.0 / _ACCURACY
 
 Quantiles = dict[str, list[float]]
 
@@ -85,14 +87,18 @@ def exact_quantiles(
             ranks += [_Rank(math.floor(at), lo, hi), _Rank(math.ceil(at), lo, hi)]
         search[r["g"]] = ranks
 
-    while True:
+    # The sketch keeps a bracket to about 2 * _SLACK of the rows: read it at once if that is little.
+    narrow = max(r["n"] for r in head) * 2 * _SLACK > BRACKET_VALUES
+    if not narrow and not _settle(rows, search):
+        narrow = True
+    while narrow:
         if _count_brackets(rows, search, extremes):
             continue  # a bracket was widened and must be counted again
         wide = [s for ranks in search.values() for s in ranks if s.value is None and s.values > BRACKET_VALUES]
         if not wide:
+            _settle(rows, search)
             break
         _narrow_brackets(rows, search)
-    _read_brackets(rows, search)
 
     out: Quantiles = {}
     for r in head:
@@ -185,29 +191,34 @@ def _narrow_brackets(rows: DataFrame, search: dict[str, list[_Rank]]) -> None:
                 s.hi = float(grid[k_hi])
 
 
-def _read_brackets(rows: DataFrame, search: dict[str, list[_Rank]]) -> None:
-    """Read the few distinct values left in the open brackets and pick by cumulative count."""
+def _settle(rows: DataFrame, search: dict[str, list[_Rank]]) -> bool:
+    """Pick the order statistics by cumulative count over bracketed values and gaps.
+
+    Values inside a bracket keep themselves, all others collapse to the bracket end below
+    them, so one grouped count holds everything needed. False if some rank lies in a gap.
+    """
     v = F.col("v")
     width = len(next(iter(search.values())))
-    open_at = [i for i in range(width) if any(ranks[i].value is None for ranks in search.values())]
-    if not open_at:
-        return
-    hit = F.lit(False)
-    for i in open_at:
-        still_open = _per_group({g: float(ranks[i].value is None) for g, ranks in search.items()}) == 1.0
-        hit = hit | (still_open & (v > _bound(search, i, "lo")) & (v < _bound(search, i, "hi")))
-    found: dict[str, list[tuple[float, int]]] = {}
-    for r in rows.filter(hit).groupBy("g", "v").count().collect():
-        found.setdefault(r["g"], []).append((float(r["v"]), int(r["count"])))
+    inside, below = F.lit(False), F.lit(float("-inf"))
+    for i in range(width):
+        lo, hi = _bound(search, i, "lo"), _bound(search, i, "hi")
+        inside = inside | ((v >= lo) & (v <= hi))
+        below = F.greatest(below, F.when(v > hi, hi).otherwise(F.lit(float("-inf"))))
+    snapped = rows.select("g", inside.alias("kept"), F.when(inside, v).otherwise(below).alias("v"))
+    found: dict[str, list[tuple[float, bool, int]]] = {}
+    for r in snapped.groupBy("g", "kept", "v").count().collect():
+        found.setdefault(r["g"], []).append((float(r["v"]), not r["kept"], int(r["count"])))
     for g, ranks in search.items():
         ordered = sorted(found.get(g, []))
         for s in ranks:
             if s.value is not None:
                 continue
-            seen = s.below
-            for x, n in ordered:
-                if s.lo < x < s.hi:
-                    seen += n
-                    if seen > s.rank:
-                        s.value = x
-                        break
+            seen = 0
+            for x, is_gap, n in ordered:
+                seen += n
+                if seen > s.rank:
+                    s.value = None if is_gap else x
+                    break
+            if s.value is None:
+                return False
+    return True

@@ -8,14 +8,15 @@ of strategies: the customer rows are aggregated once, whatever the size of the f
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import astuple, dataclass
 from functools import cached_property
 from itertools import product
 
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from twinsight.operators.quantiles import exact_quantiles
@@ -29,7 +30,7 @@ THRESHOLDS = [0.30, 0.50, 0.70]
 
 _WHEN_CHAIN_LIMIT = 64
 _THRESHOLD_LIMIT = 100_000
-_FAMILY_SCHEMA = "segment string, discount double, threshold double"
+_FAMILY_COLUMNS = ["segment", "discount", "threshold"]
 
 
 @dataclass(frozen=True)
@@ -58,13 +59,18 @@ def strategy_table(
     spark: SparkSession, family: DataFrame | Sequence[Strategy] | None = None
 ) -> DataFrame:
     """The family as a table with a ``copies`` count, so that a repeated strategy keeps its weight."""
-    if not isinstance(family, DataFrame):
-        rows = [astuple(s) for s in (family or default_strategy_family())]
-        family = spark.createDataFrame(rows, _FAMILY_SCHEMA)
-    typed = family.select(
-        F.col("segment").cast("string"), F.col("discount").cast("double"), F.col("threshold").cast("double")
-    )
-    return typed.groupBy("segment", "discount", "threshold").agg(F.count(F.lit(1)).alias("copies"))
+    if isinstance(family, DataFrame):
+        typed = [F.col(c).cast(t) for c, t in zip(_FAMILY_COLUMNS, ("string", "double", "double"))]
+        return family.select(*typed).groupBy(*_FAMILY_COLUMNS).agg(F.count(F.lit(1)).alias("copies"))
+    counts = Counter(astuple(s) for s in (family or default_strategy_family()))
+    segments, discounts, thresholds = zip(*counts)
+    columns = [
+        pa.array(segments, pa.string()),
+        pa.array(discounts, pa.float64()),
+        pa.array(thresholds, pa.float64()),
+        pa.array(counts.values(), pa.int64()),
+    ]
+    return spark.createDataFrame(pa.table(columns, names=[*_FAMILY_COLUMNS, "copies"]))
 
 
 def score_population(
@@ -152,38 +158,54 @@ def _add_level(family: DataFrame, thresholds: list[float]) -> DataFrame:
     return family.join(F.broadcast(ranks), "threshold")
 
 
-def strategy_roi(
+def strategy_returns(
     populations: DataFrame,
     names: Sequence[str],
     family: DataFrame,
     econ: CampaignEconomics | None = None,
 ) -> DataFrame:
-    """``(population, segment, discount, threshold, copies, n_flagged, roi)`` for each population.
+    """One row per distinct strategy: ``copies`` and an array ``returns`` in the order of ``names``.
 
     ``populations`` has columns population, prob, value; ``family`` comes from
-    :func:`strategy_table`. A strategy that flags nobody has a return of 0.
+    :func:`strategy_table`. Each element is (population, n_flagged, roi); a strategy that flags
+    nobody has a return of 0.
     """
     econ = econ or CampaignEconomics()
     thresholds = _distinct_thresholds(family)
-    sums = bucket_sums(add_tiers(populations), thresholds)
-    family = _add_level(family, thresholds)
-    plan = family.withColumn("population", F.explode(F.array(*[F.lit(n) for n in names])))
-    sums = sums.select(F.col("population").alias("_p"), F.col("segment").alias("_s"), "bucket", "n", "hit_value", "miss_value")
-    joined = plan.join(
-        F.broadcast(sums),  # at most 4 * (thresholds + 1) rows per population
-        (F.col("population") == F.col("_p")) & (F.col("segment") == F.col("_s")) & (F.col("bucket") >= F.col("level")),
+    sums = bucket_sums(add_tiers(populations), thresholds).withColumnRenamed("segment", "_segment")
+    met = _add_level(family, thresholds).join(
+        F.broadcast(sums),  # at most 4 * thresholds rows per population
+        (F.col("segment") == F.col("_segment")) & (F.col("bucket") >= F.col("level")),
         "left",
     )
-    keys = ["population", "segment", "discount", "threshold", "copies"]
-    totals = joined.groupBy(*keys).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_flagged"),
-        F.coalesce(F.sum("hit_value"), F.lit(0.0)).alias("hit"),
-        F.coalesce(F.sum("miss_value"), F.lit(0.0)).alias("miss"),
-    )
-    saved = F.col("hit") * F.lit(econ.value_recoverable * econ.success_rate) * (1 - F.col("discount"))
-    waste = F.col("miss") * F.col("discount") * F.lit(econ.fp_redemption)
-    cost = F.col("n_flagged") * F.lit(float(econ.retention_offer_cost))
-    return totals.select(*keys, "n_flagged", (saved - waste - cost).alias("roi"))
+    aggs = []
+    for i, name in enumerate(names):
+        for c, zero in (("n", F.lit(0)), ("hit_value", F.lit(0.0)), ("miss_value", F.lit(0.0))):
+            part = F.sum(F.when(F.col("population") == name, F.col(c)))
+            aggs.append(F.coalesce(part, zero).alias(f"{c}{i}"))
+    totals = met.groupBy(*_FAMILY_COLUMNS, "copies").agg(*aggs)
+
+    def one(i: int, name: str) -> Column:
+        saved = F.col(f"hit_value{i}") * F.lit(econ.value_recoverable * econ.success_rate) * (1 - F.col("discount"))
+        waste = F.col(f"miss_value{i}") * F.col("discount") * F.lit(econ.fp_redemption)
+        cost = F.col(f"n{i}") * F.lit(float(econ.retention_offer_cost))
+        return F.struct(
+            F.lit(name).alias("population"), F.col(f"n{i}").alias("n_flagged"), (saved - waste - cost).alias("roi")
+        )
+
+    returns = F.array(*[one(i, name) for i, name in enumerate(names)])
+    return totals.select(*_FAMILY_COLUMNS, "copies", returns.alias("returns"))
+
+
+def strategy_roi(
+    populations: DataFrame,
+    names: Sequence[str],
+    family: DataFrame,
+    econ: CampaignEconomics | None = None,
+) -> DataFrame:
+    """``(segment, discount, threshold, population, n_flagged, roi)`` per strategy and population."""
+    returns = strategy_returns(populations, names, family, econ)
+    return returns.select(*_FAMILY_COLUMNS, F.inline("returns"))
 
 
 def decision(roi: Column) -> Column:
@@ -194,28 +216,23 @@ def decision(roi: Column) -> Column:
 REAL = "real"
 
 
-def compare_decisions(roi: DataFrame) -> DataFrame:
-    """Real against every candidate, one row per (candidate, strategy); small tables only from here on."""
-    per_strategy = W.partitionBy("segment", "discount", "threshold")
-    roi_real = F.max(F.when(F.col("population") == REAL, F.col("roi"))).over(per_strategy)
-    paired = roi.withColumn("roi_real", roi_real).filter(F.col("population") != REAL)
-    columns = paired.select(
-        F.col("population").alias("candidate"),
-        "segment",
-        "discount",
-        "threshold",
-        "copies",
+def compare_decisions(returns: DataFrame) -> DataFrame:
+    """Real (first in ``returns``) against every candidate, one row per candidate and listed strategy."""
+    others = F.slice("returns", 2, F.size("returns") - 1)
+    pairs = returns.select(
+        *_FAMILY_COLUMNS, F.col("returns")[0]["roi"].alias("roi_real"), "copies", F.explode(others).alias("other")
+    )
+    rows = pairs.select(
+        F.col("other.population").alias("candidate"),
+        *_FAMILY_COLUMNS,
         "roi_real",
-        F.col("roi").alias("roi_syn"),
+        F.col("other.roi").alias("roi_syn"),
         decision(F.col("roi_real")).alias("decision_real"),
-        decision(F.col("roi")).alias("decision_syn"),
-    ).withColumn("agree", F.col("decision_real") == F.col("decision_syn"))
-    gap = F.abs(F.col("roi_real") - F.col("roi_syn")) / F.greatest(F.abs(F.col("roi_real")), F.lit(1.0))
-    return (
-        columns.withColumn("roi_gap", gap)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        .drop("_copy", "copies")
-    )
+        decision(F.col("other.roi")).alias("decision_syn"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"),
+    ).drop("_copy")
+    gap = F.abs(F.col("roi_real") - F.col("roi_syn")) / F.greatest(F.abs("roi_real"), F.lit(1.0))
+    return rows.withColumn("agree", F.col("decision_real") == F.col("decision_syn")).withColumn("roi_gap", gap)
 
 
 def summarise(compared: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -303,4 +320,4 @@ def compare_candidates(
     for name, df in candidates.items():
         populations = populations.unionByName(score_population(df, scorer, value_col, name, on_missing))
     family = strategy_table(real.sparkSession, strategy_family)
-    return compare_decisions(strategy_roi(populations, [REAL, *candidates], family, econ))
+    return compare_decisions(strategy_returns(populations, [REAL, *candidates], family, econ))

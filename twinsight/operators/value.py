@@ -85,7 +85,7 @@ def weighted_resample(
     """Draw about ``n`` rows with replacement, with expectation n * w / sum(w) per row.
 
     Each row decides on its own copies (Poisson bootstrap), so there is no shuffle and no
-    global draw list. A large mean is cut into parts of at most 2 that draw separately, so a
+    global draw list. A large mean is cut into parts of at most 1 that draw separately, so a
     row with a third of all weight is exploded in the stream and never held as one count.
     With ``key`` the draw is a pure function of (key, seed); without, it is seeded per partition.
     """
@@ -100,13 +100,13 @@ def weighted_resample(
         u = F.rand(seed)
     else:
         u = keyed_uniform(F.concat_ws("/", key.cast("string"), F.col("_part").cast("string")), f"resample{seed}")
-    drawn = parts.withColumn("_u", u)
-    copies = poisson_from_uniform(F.col("_u"), mean / chunks)
+    drawn = parts.withColumns({"_u": u, "_mean": mean / chunks})
+    copies = poisson_from_uniform(F.col("_u"), F.col("_mean"))
     return (
         drawn.withColumn("_copies", copies)
         .filter(F.col("_copies") > 0)
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .drop("_part", "_u", "_copies", "_copy")
+        .drop("_part", "_u", "_mean", "_copies", "_copy")
     )
 
 

@@ -311,7 +311,7 @@ def target_prior(spark: SparkSession, sf: str) -> DataFrame:
 # Decision fidelity
 
 
-def _line_roi(spark: SparkSession, sf: str, **kw) -> DataFrame:
+def _line_roi(spark: SparkSession, sf: str) -> DataFrame:
     real = ssf.score_population(st.line_values(spark, sf), st.line_scorer(), "value", ssf.REAL)
     twin = ssf.score_population(st.line_values(spark, sf, st.BIAS), st.line_scorer(), "value", "synthetic")
     family = ssf.strategy_table(spark)

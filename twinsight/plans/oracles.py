@@ -201,10 +201,11 @@ WITH {_WEIGHTS} SELECT c_custkey, round(weight / (SELECT sum(weight) FROM w), 9)
 
 ORACLES["weighted_resample"] = f"""
 WITH {_WEIGHTS},
-     m AS (SELECT c_custkey, weight * (count(*) OVER () / sum(weight) OVER ()) AS mean,
-                  {_uniform("(CAST(c_custkey AS VARCHAR) || '/1')", "resample1")} AS u FROM w),
-     terms AS (SELECT c_custkey, u, k, exp(-mean) * pow(mean, k) / factorial(k::INT) AS p FROM m, range(0, 20) AS r(k)),
-     cdf AS (SELECT c_custkey, u, sum(p) OVER (PARTITION BY c_custkey ORDER BY k) AS c FROM terms)
+     m AS (SELECT c_custkey, weight * (count(*) OVER () / sum(weight) OVER ()) AS mean FROM w),
+     parts AS (SELECT c_custkey, part, mean / ceil(mean) AS mean, {_uniform("(CAST(c_custkey AS VARCHAR) || '/' || part)", "resample1")} AS u
+               FROM m, range(1, 3) AS r(part) WHERE part <= ceil(mean)),
+     terms AS (SELECT c_custkey, part, u, k, exp(-mean) * pow(mean, k) / factorial(k::INT) AS p FROM parts, range(0, 18) AS r(k)),
+     cdf AS (SELECT c_custkey, u, sum(p) OVER (PARTITION BY c_custkey, part ORDER BY k) AS c FROM terms)
 SELECT c_custkey, count(*) AS copies FROM cdf WHERE u > c GROUP BY c_custkey
 """
 

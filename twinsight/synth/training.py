@@ -64,9 +64,13 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _mini_batches(
-    batches: Iterator[pa.RecordBatch], dim: int, size: int, rng: np.random.Generator
+    batches: Iterator[pa.RecordBatch], dim: int, size: int, rng: np.random.Generator, resample: bool
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Shuffled mini-batches over a stream of Arrow batches; a tail of one row is skipped."""
+    """Shuffled mini-batches over a stream of Arrow batches; a tail of one row is skipped.
+
+    With ``resample`` each row first draws its number of copies, Poisson with its ``mean``:
+    the distributed form of drawing the epoch with replacement by weight.
+    """
     left: tuple[np.ndarray, ...] | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -76,6 +80,9 @@ def _mini_batches(
             batch.column("y").to_numpy(zero_copy_only=False).astype(np.float32),
             batch.column("tier").to_numpy(zero_copy_only=False),
         )
+        if resample:
+            copies = rng.poisson(batch.column("mean").to_numpy(zero_copy_only=False))
+            rows = tuple(np.repeat(a, copies, axis=0) for a in rows)
         if left is not None:
             rows = tuple(np.concatenate([a, b]) for a, b in zip(left, rows))
         order = rng.permutation(len(rows[0]))
@@ -89,9 +96,15 @@ def _mini_batches(
 
 
 def run_epoch(
-    rows: DataFrame, dim: int, task: Task, state: AdamState, batch_size: int, seed: tuple[int, ...]
+    rows: DataFrame,
+    dim: int,
+    task: Task,
+    state: AdamState,
+    batch_size: int,
+    seed: tuple[int, ...],
+    resample: bool = False,
 ) -> tuple[AdamState, float]:
-    """One pass over ``rows`` (x array<float>, y double, tier int); the averaged state and the mean loss."""
+    """One pass over ``rows`` (x array<float>, y double, tier int, mean double); the averaged state and the mean loss."""
     if state.flat.nbytes > _MAX_STATE_BYTES:
         raise ValueError("the model is too large to broadcast; lower hidden_dim or drop wide categories")
     context = rows.sparkSession.sparkContext
@@ -103,7 +116,7 @@ def run_epoch(
         rng = np.random.default_rng([*seed, part])
         local = AdamState(start.flat.copy(), start.steps)
         seen, total = 0, 0.0
-        for x, y, tier in _mini_batches(batches, dim, batch_size, rng):
+        for x, y, tier in _mini_batches(batches, dim, batch_size, rng, resample):
             loss, grad = task.loss_and_gradient(local.parameters, x, y, tier, rng)
             local.step(grad, task.learning_rate)
             seen, total = seen + len(x), total + loss * len(x)
@@ -135,7 +148,7 @@ def run_epoch(
         )
 
     slices = (
-        rows.select("x", "y", "tier")
+        rows.select("x", "y", "tier", *(["mean"] if resample else []))
         .mapInArrow(train, _SLICE_SCHEMA)
         .groupBy("slice")
         .applyInPandas(average, _SLICE_SCHEMA)
