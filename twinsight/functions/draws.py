@@ -39,17 +39,16 @@ def poisson_chunks(mean: Column) -> Column:
     return F.greatest(F.ceil(mean), F.lit(1)).cast("long")
 
 
-def poisson_from_uniform(u: Column, mean: Column) -> Column:
-    """Inverse Poisson CDF for a mean of at most 1.
+def poisson_from_uniform(u: str, mean: str) -> Column:
+    """Inverse Poisson CDF at column ``u`` for a column ``mean`` of at most 1.
 
     A chain of comparisons with the cumulative sums, each in Horner form: the first two or
     three settle nearly every row, and the chain ends where the sum reaches 1 in doubles.
     """
-    chain = None
+    chain = []
     for k in range(_POISSON_TERMS):
-        total = F.lit(1.0)
+        total = "1D"
         for j in range(k, 0, -1):
-            total = F.lit(1.0) + mean / F.lit(float(j)) * total
-        hit = u <= F.exp(-mean) * total
-        chain = F.when(hit, F.lit(k)) if chain is None else chain.when(hit, F.lit(k))
-    return chain.otherwise(F.lit(_POISSON_TERMS))
+            total = f"(1D + {mean} / {j}D * {total})"
+        chain.append(f"WHEN {u} <= exp(-{mean}) * {total} THEN {k}")
+    return F.expr(f"CASE {' '.join(chain)} ELSE {_POISSON_TERMS} END")

@@ -21,7 +21,8 @@ def roc_auc(scores: DataFrame, score: str, positives: str, negatives: str, out:
     counts = scores.groupBy(F.col(score).alias("_s")).agg(
         F.sum(positives).cast("double").alias("_p"), F.sum(negatives).cast("double").alias("_n")
     )
-    cuts = sorted(set(counts.approxQuantile("_s", [i / slices for i in range(1, slices)], 1.0 / (4 * slices))))
+    probs = [i / slices for i in range(1, slices)]
+    cuts = sorted(set(counts.approxQuantile("_s", probs, 1.0 / (4 * slices)))) if probs else []
     if cuts:
         splits = [float("-inf"), *cuts, float("inf")]
         sliced = Bucketizer(splits=splits, inputCol="_s", outputCol="_slice").transform(counts)

@@ -19,6 +19,7 @@ from twinsight.functions.numbers import as_number, category_key, check_supported
 from twinsight.operators.profile import infer_column_kinds
 
 MAX_LEVELS = 100_000
+_UNROLLED_LEVELS = 64  # up to here each slot is a compiled comparison
 
 
 @dataclass(frozen=True)
@@ -118,9 +119,15 @@ class TableEncoder:
         return F.greatest(at - 1, F.lit(0)).cast("int")
 
     def one_hot(self, df: DataFrame, state: CategoryColumn) -> Column:
-        index = self.level_index(df, state)
-        slots = F.sequence(F.lit(0), F.lit(len(state.levels) - 1))
-        return F.transform(slots, lambda i: (i == index).cast("float"))
+        if len(state.levels) > _UNROLLED_LEVELS:
+            index = self.level_index(df, state)
+            slots = F.sequence(F.lit(0), F.lit(len(state.levels) - 1))
+            return F.transform(slots, lambda i: (i == index).cast("float"))
+        key = category_key(F.col(state.name), df.schema[state.name].dataType)
+        first, rest = state.levels[:1], state.levels[1:]
+        unseen_or_first = ~key.isin(*rest) if rest else F.lit(True)
+        slots = [unseen_or_first, *[key == level for level in rest]] if first else []
+        return F.array(*[s.cast("float") for s in slots])
 
     def vector(self, df: DataFrame) -> Column:
         """``array<float>``: the numbers first, then one block per category."""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from twinsight.functions.draws import draw_hash
 
@@ -24,7 +27,7 @@ def stratified_split(
     """
     cut = split_points(df, strata, key, test_size, seed)
     order = _order_key(F.col(key), seed)
-    tagged = df.join(F.broadcast(cut), df[strata].eqNullSafe(cut["_stratum"]), "left")
+    tagged = df.join(F.broadcast(cut), F.col(strata).eqNullSafe(F.col("_stratum")), "left")  # <= MAX_STRATA rows
     in_train = order <= F.col("_cut")
     train = tagged.filter(in_train).select(*df.columns)
     holdout = tagged.filter(~F.coalesce(in_train, F.lit(False))).select(*df.columns)
@@ -60,9 +63,9 @@ def split_points(df: DataFrame, strata: str, key: str, test_size: float, seed: i
     found = cut_bucket.limit(MAX_STRATA + 1).collect()
     if len(found) > MAX_STRATA:
         raise ValueError(f"more than {MAX_STRATA} strata; split on a coarser column")
-    cut_bucket = df.sparkSession.createDataFrame(found, cut_bucket.schema)
+    cut_bucket = _local(df.sparkSession, found, cut_bucket.schema)
     ranks = W.partitionBy("_stratum").orderBy("_order")
-    return (
+    cut = (
         bucketed.join(
             F.broadcast(cut_bucket),
             F.col("_stratum").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")),
@@ -71,6 +74,13 @@ def split_points(df: DataFrame, strata: str, key: str, test_size: float, seed: i
         .filter(F.col("_rank") == F.col("_within"))
         .select("_stratum", F.col("_order").alias("_cut"))
     )
+    return _local(df.sparkSession, cut.collect(), cut.schema)  # one row per stratum
+
+
+def _local(spark: SparkSession, rows: list[Row], schema: T.StructType) -> DataFrame:
+    """A few driver rows as a local relation, which costs no job to read."""
+    columns = [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(schema)]
+    return spark.createDataFrame(pa.table(columns, names=schema.names), schema)
 
 
 def _bucket_digits(rows: int) -> int:

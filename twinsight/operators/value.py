@@ -101,13 +101,8 @@ def weighted_resample(
     else:
         u = keyed_uniform(F.concat_ws("/", key.cast("string"), F.col("_part").cast("string")), f"resample{seed}")
     drawn = parts.withColumns({"_u": u, "_mean": mean / chunks})
-    copies = poisson_from_uniform(F.col("_u"), F.col("_mean"))
-    return (
-        drawn.withColumn("_copies", copies)
-        .filter(F.col("_copies") > 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .drop("_part", "_u", "_mean", "_copies", "_copy")
-    )
+    copies = F.array_repeat(F.lit(0), poisson_from_uniform("_u", "_mean"))
+    return drawn.withColumn("_copy", F.explode(copies)).drop("_part", "_u", "_mean", "_copy")
 
 
 def condition_vector(target: Column, tier: Column) -> Column:

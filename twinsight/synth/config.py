@@ -35,8 +35,8 @@ class SynthConfig:
 
     seed: int = 42
 
-    # Model replicas that train side by side and are averaged each epoch; None: the session's
-    # parallelism, at most MAX_WORKERS. With one worker training is plain sequential SGD.
+    # Model replicas that train side by side and are averaged each epoch; None: up to the session's
+    # parallelism and MAX_WORKERS, fewer on small tables. One worker is plain sequential SGD.
     workers: int | None = None
 
     def replace(self, **changes) -> SynthConfig:
