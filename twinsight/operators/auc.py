@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SLICES = 256
+MIN_SLICES = 256
+MAX_SLICES = 10_000
 
 
-def roc_auc(scores: DataFrame, score: str, positives: str, negatives: str, out: str = "auc", slices: int = SLICES) -> DataFrame:
+def roc_auc(
+    scores: DataFrame, score: str, positives: str, negatives: str, out: str = "auc", slices: int | None = None
+) -> DataFrame:
     """One row: P(score of a positive > score of a negative), a tie counting one half.
 
     ``scores`` carries counts of positives and negatives per row. Equal scores are merged
@@ -21,6 +24,9 @@ def roc_auc(scores: DataFrame, score: str, positives: str, negatives: str, out:
     counts = scores.groupBy(F.col(score).alias("_s")).agg(
         F.sum(positives).cast("double").alias("_p"), F.sum(negatives).cast("double").alias("_n")
     )
+    if slices is None:
+        parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slices = min(max(MIN_SLICES, 2 * parts), MAX_SLICES)
     probs = [i / slices for i in range(1, slices)]
     cuts = sorted(set(counts.approxQuantile("_s", probs, 1.0 / (4 * slices)))) if probs else []
     if cuts:

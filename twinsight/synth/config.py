@@ -43,4 +43,4 @@ class SynthConfig:
         return dataclasses.replace(self, **changes)
 
 
-MAX_WORKERS = 256
+MAX_WORKERS = 2_048

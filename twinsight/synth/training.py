@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-_SLICE = 16_384
+_SLICE = 4_096  # floats; a group of slices holds one per worker, 32 MB at MAX_WORKERS
 _MAX_STATE_BYTES = 512 * 1024 * 1024
 # Adam constants.
 BETA1, BETA2, ADAM_EPS = 0.9, 0.999, 1e-8
