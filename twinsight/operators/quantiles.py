@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 SMALL_ROWS = 50_000
 BRACKET_VALUES = 20_000
+READ_VALUES = 500_000  # over all groups and probabilities
 MAX_GROUPS = 1_000
 _ACCURACY = 10_000
 _SLACK = 2.0 / _ACCURACY
@@ -88,13 +89,14 @@ def exact_quantiles(
         search[r["g"]] = ranks
 
     # The sketch keeps a bracket to about 2 * _SLACK of the rows: read it at once if that is little.
-    narrow = max(r["n"] for r in head) * 2 * _SLACK > BRACKET_VALUES
+    budget = min(BRACKET_VALUES, max(READ_VALUES // (len(head) * len(probs)), 100))
+    narrow = max(r["n"] for r in head) * 2 * _SLACK > budget
     if not narrow and not _settle(rows, search):
         narrow = True
     while narrow:
         if _count_brackets(rows, search, extremes):
             continue  # a bracket was widened and must be counted again
-        wide = [s for ranks in search.values() for s in ranks if s.value is None and s.values > BRACKET_VALUES]
+        wide = [s for ranks in search.values() for s in ranks if s.value is None and s.values > budget]
         if not wide:
             _settle(rows, search)
             break

@@ -17,6 +17,7 @@ from itertools import product
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from twinsight.operators.quantiles import exact_quantiles
@@ -152,12 +153,27 @@ def _add_level(family: DataFrame, thresholds: list[float]) -> DataFrame:
     if len(thresholds) <= _WHEN_CHAIN_LIMIT:
         ranks = [F.when(F.col("threshold") == F.lit(t), F.lit(i)) for i, t in enumerate(thresholds, 1)]
         return family.withColumn("level", F.coalesce(*ranks))
-    ranks = family.sparkSession.createDataFrame(
-        [(t, i) for i, t in enumerate(thresholds, 1)], "threshold double, level int"
-    )
+    levels = pa.array(range(1, len(thresholds) + 1), pa.int32())
+    ranks = family.sparkSession.createDataFrame(pa.table([pa.array(thresholds), levels], names=["threshold", "level"]))
     return family.join(F.broadcast(ranks), "threshold")
 
 
+def _running_sums(sums: DataFrame, family: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Sums over all buckets from each asked level up, so that a strategy meets one row and not many.
+
+    Zero rows make sure every asked (population, segment, level) is there. A window holds one
+    segment's levels, not customers.
+    """
+    asked = family.filter(F.col("segment").isin(SEGMENTS)).select(
+        F.explode(F.array(*[F.lit(n) for n in names])).alias("population"), "segment", F.col("level").alias("bucket")
+    ).distinct()
+    zero = {"n": F.lit(0).cast("long"), "hit_value": F.lit(0.0), "miss_value": F.lit(0.0)}
+    keys = ["population", "segment", "bucket"]
+    filled = sums.unionByName(asked.withColumns(zero)).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in zero])
+    from_level_up = W.partitionBy("population", "segment").orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, 0)
+    return filled.select(*keys, *[F.sum(c).over(from_level_up).alias(c) for c in zero])
+
+
 def strategy_returns(
     populations: DataFrame,
     names: Sequence[str],
@@ -172,10 +188,15 @@ def strategy_returns(
     """
     econ = econ or CampaignEconomics()
     thresholds = _distinct_thresholds(family)
-    sums = bucket_sums(add_tiers(populations), thresholds).withColumnRenamed("segment", "_segment")
-    met = _add_level(family, thresholds).join(
+    family = _add_level(family, thresholds)
+    sums = bucket_sums(add_tiers(populations), thresholds)
+    reached = F.col("bucket") >= F.col("level")
+    if len(thresholds) > _WHEN_CHAIN_LIMIT:
+        sums, reached = _running_sums(sums, family, names), F.col("bucket") == F.col("level")
+    sums = sums.withColumnRenamed("segment", "_segment")
+    met = family.join(
         F.broadcast(sums),  # at most 4 * thresholds rows per population
-        (F.col("segment") == F.col("_segment")) & (F.col("bucket") >= F.col("level")),
+        (F.col("segment") == F.col("_segment")) & reached,
         "left",
     )
     aggs = []

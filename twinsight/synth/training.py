@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-_SLICE = 4_096  # floats; a group of slices holds one per worker, 32 MB at MAX_WORKERS
+_GROUP_FLOATS = 8_000_000  # slices of all workers that meet in one group: 32 MB
 _MAX_STATE_BYTES = 512 * 1024 * 1024
 # Adam constants.
 BETA1, BETA2, ADAM_EPS = 0.9, 0.999, 1e-8
@@ -102,6 +102,7 @@ def run_epoch(
     state: AdamState,
     batch_size: int,
     seed: tuple[int, ...],
+    n_workers: int,
     resample: bool = False,
 ) -> tuple[AdamState, float]:
     """One pass over ``rows`` (x array<float>, y double, tier int, mean double); the averaged state and the mean loss."""
@@ -109,6 +110,7 @@ def run_epoch(
         raise ValueError("the model is too large to broadcast; lower hidden_dim or drop wide categories")
     context = rows.sparkSession.sparkContext
     shared = context.broadcast((task, state))
+    width = max(_GROUP_FLOATS // n_workers, 1_024)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, start = shared.value
@@ -122,14 +124,14 @@ def run_epoch(
             seen, total = seen + len(x), total + loss * len(x)
         if not seen:
             return
-        for i, at in enumerate(range(0, len(local.flat), _SLICE)):
+        for i, at in enumerate(range(0, len(local.flat), width)):
             yield pa.RecordBatch.from_pydict(
                 {
                     "slice": pa.array([i], pa.int32()),
                     "rows": pa.array([seen], pa.int64()),
                     "steps": pa.array([local.steps], pa.int64()),
                     "loss": pa.array([total / seen], pa.float64()),
-                    "part": pa.array([local.flat[at : at + _SLICE].tobytes()], pa.binary()),
+                    "part": pa.array([local.flat[at : at + width].tobytes()], pa.binary()),
                 }
             )
 
