@@ -11,7 +11,9 @@ from twinsight.llm.text import WORD, only
 
 #: Hex digits of the draw by which a source is cut finer at each step; 256 sums per source and step.
 _STEP = 2
-_STEPS = 3
+_STEPS = 2
+#: Times that the words left by a long document at the cut are filled with documents that fit.
+ROUNDS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -39,8 +41,9 @@ def mix(
     A document's size is its words. Sources in code point order, null last, weigh ``weights[i]`` or
     else ``cycle`` repeated. They share ``budget_share`` of all words by weight; a source stops at
     ``max_epochs`` times its size and the excess is shared anew. A source's documents are
-    taken ``floor(target / size)`` times, and once more in the order of a seeded hash until the words
-    left are used up, to within half a document.
+    taken ``floor(target / size)`` times, and once more in the order of a seeded hash while they fit into the
+    words left; the room that a long document at the cut leaves is filled from the documents behind
+    it that fit, in further rounds.
 
     Null text: size 0. A null source is one of its own. Repeated ids draw alike. Empty sources have the
     target 0. An empty table gives an empty one. Other columns are not looked at.
@@ -52,9 +55,8 @@ def mix(
     )
     per_source = materialise(_weighed(sizes.groupBy("key").agg(F.sum("size").alias("source_size")), weights or {}, cycle))
     targets = water_fill(per_source, budget_share, max_epochs)
-    plan = _cuts(sizes, targets)
-    mixed = sizes.join(plan, "key")
-    copies = F.col("whole") + F.when(F.col("draw") <= F.col("cut"), 1).otherwise(0)
+    mixed = sizes.join(_fill(sizes, targets), "key")
+    copies = F.col("whole") + F.when(_taken_again(ROUNDS), 1).otherwise(0)
     return mixed.select(
         "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
     )
@@ -92,33 +94,53 @@ def water_fill(per_source: DataFrame, budget_share: float, max_epochs: int) -> D
     return per_source.withColumn("target", F.least(cap, F.col("weight") * F.lit(level)))
 
 
-def _cuts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source the whole repetitions and the last draw that gets one more.
+def _fill(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per source the whole repetitions, and for each round the room and the last draw that fits it."""
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    plan = targets.select("key", "source_size", "target", whole.cast("long").alias("whole")).withColumn(
+        "room0", F.col("target") - F.col("whole") * F.col("source_size")
+    )
+    for r in range(ROUNDS):
+        free = sizes.join(plan, "key").filter(~_taken_again(r) & (F.col("size") > 0) & (F.col("size") <= F.col(f"room{r}")))
+        plan = plan.join(_cut(free, f"room{r}"), "key", "left").withColumn(f"cut{r}", F.coalesce("cut", F.lit("")))
+        plan = materialise(plan.withColumn(f"room{r + 1}", F.coalesce("room", f"room{r}")).drop("cut", "room"))
+    return plan
+
+
+def _taken_again(rounds: int) -> Column:
+    taken = F.lit(False)
+    for r in range(rounds):
+        taken = taken | ((F.col("size") > 0) & (F.col("size") <= F.col(f"room{r}")) & (F.col("draw") <= F.col(f"cut{r}")))
+    return taken
+
+
+def _cut(free: DataFrame, room: str) -> DataFrame:
+    """``key, cut, room``: the last draw up to which the documents fit, and the words then left.
 
     Ranking a whole source would put a third of the rows in one window. Sums per
-    (source, leading digits of the draw) find the digits at which the wanted words are reached; only
-    that slice is cut finer, and the last slice, some 16 millionths of a source, is ranked itself.
+    (source, leading digits of the draw) find the digits at which the room is used up; only that
+    slice is cut finer, and the last one, one in 65,536 of a source, is ranked itself.
     """
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    left = targets.withColumn("whole", whole.cast("long")).withColumn(
-        "twice", 2 * F.col("target") - 2 * F.col("whole") * F.col("source_size")
-    )
-    state = left.select("key", F.col("twice").alias("open"), F.lit("").alias("prefix"))
-    upto = W.partitionBy("key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    free = materialise(free.select("key", "draw", "size", F.col(room).alias("room")))
+    rows, state = free.withColumn("prefix", F.lit("")), None
+    before = W.partitionBy("key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     for step in range(1, _STEPS + 1):
-        slices = sizes.join(state, "key").filter(F.col("draw").startswith(F.col("prefix")))
-        slices = slices.groupBy("key", F.substring("draw", 1, _STEP * step).alias("slice")).agg(
-            F.sum("size").alias("n"), F.first("open").alias("open")
+        slices = rows.groupBy("key", F.substring("draw", 1, _STEP * step).alias("slice")).agg(
+            F.sum("size").alias("n"), F.first("room").alias("room")
         )
-        before = F.coalesce(F.sum("n").over(upto), F.lit(0))
-        at = slices.withColumn("before", before).filter(
-            (2 * F.col("before") <= F.col("open")) & (F.col("open") < 2 * (F.col("before") + F.col("n")))
+        placed = slices.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        over = F.col("before") + F.col("n") > F.col("room")
+        found = placed.groupBy("key").agg(
+            F.min(F.when(over, F.col("slice"))).alias("prefix"),
+            F.coalesce(F.max(F.when(over, F.col("room") - F.col("before"))), F.min("room") - F.sum("n")).alias("room"),
         )
-        state = materialise(at.select("key", (F.col("open") - 2 * F.col("before")).alias("open"), F.col("slice").alias("prefix")))
-    units = sizes.join(state, "key").filter(F.col("draw").startswith(F.col("prefix")))
-    units = units.groupBy("key", F.col("draw").alias("slice")).agg(F.sum("size").alias("n"), F.first("open").alias("open"))
-    reached = 2 * F.coalesce(F.sum("n").over(upto), F.lit(0)) + F.col("n") <= F.col("open")
-    last = units.withColumn("reached", reached).groupBy("key").agg(F.max(F.when(F.col("reached"), F.col("slice"))).alias("last"))
-    ends = state.join(last, "key", "left").select("key", F.coalesce("last", "prefix").alias("cut"))
-    full = F.when(F.col("twice") >= 2 * F.col("source_size"), F.lit("g")).otherwise(F.lit(""))
-    return left.join(ends, "key", "left").select("key", "source_size", "target", "whole", F.coalesce("cut", full).alias("cut"))
+        if state is not None:  # a source without an open slice keeps what it had
+            found = state.withColumnsRenamed({"prefix": "p0", "room": "r0"}).join(found, "key", "left")
+            found = found.select("key", F.when(F.col("p0").isNotNull(), F.col("prefix")).alias("prefix"), F.coalesce("room", "r0").alias("room"))
+        state = materialise(found)
+        rows = free.drop("room").join(state.filter("prefix IS NOT NULL"), "key").filter(F.col("draw").startswith(F.col("prefix")))
+    upto = W.partitionBy("key").orderBy("draw").rangeBetween(W.unboundedPreceding, W.currentRow)
+    fits = rows.withColumn("upto", F.sum("size").over(upto)).filter(F.col("upto") <= F.col("room"))
+    last = fits.groupBy("key").agg(F.max("draw").alias("last"), F.max("upto").alias("used"))
+    ends = state.join(last, "key", "left")
+    return ends.select("key", F.coalesce("last", "prefix", F.lit("g")).alias("cut"), (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"))

@@ -52,14 +52,19 @@ w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUB
 r AS (SELECT *, row_number() OVER (ORDER BY cap / weight, key) AS pos, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM w),
 c AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
     sum(weight) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM r),
-level AS (SELECT coalesce(min(CASE WHEN cap > weight * ((budget - caps) / free) THEN (budget - caps) / free END), 1e300) AS level FROM c),
+level AS (SELECT coalesce(arg_min((budget - caps) / free, pos) FILTER (WHERE cap > weight * ((budget - caps) / free)), 1e300) AS level FROM c),
 t AS (SELECT key, source_size, least(cap, weight * level) AS target,
     CASE WHEN source_size > 0 THEN CAST(floor(least(cap, weight * level) / source_size) AS BIGINT) ELSE 0 END AS whole FROM w, level),
-u AS (SELECT key, draw, sum(size) AS n FROM d GROUP BY key, draw),
-x AS (SELECT u.key, u.draw, 2 * coalesce(sum(n) OVER (PARTITION BY u.key ORDER BY u.draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n
-    <= 2 * t.target - 2 * t.whole * t.source_size AS again FROM u JOIN t ON u.key = t.key)
-SELECT d.doc_id, d.size, t.source_size, t.target, CAST((t.whole + CAST(x.again AS INT)) * d.size AS BIGINT) AS taken
-FROM d JOIN t ON d.key = t.key JOIN x ON d.key = x.key AND d.draw = x.draw
+e0 AS (SELECT d.*, t.source_size, t.target, t.whole, t.target - t.whole * t.source_size AS room, false AS again FROM d JOIN t ON d.key = t.key)
+"""
+for _r in range(mixing.ROUNDS):
+    MIX_SQL += f""",
+x{_r} AS (SELECT key, draw, sum(size) OVER (PARTITION BY key ORDER BY draw) AS upto FROM e{_r} WHERE NOT again AND size > 0 AND size <= room),
+y{_r} AS (SELECT e.key, max(x.draw) AS cut, max(x.upto) AS used FROM (SELECT DISTINCT key, room FROM e{_r}) e JOIN x{_r} x ON e.key = x.key AND x.upto <= e.room GROUP BY e.key),
+e{_r + 1} AS (SELECT e.* EXCLUDE (room, again), e.room - coalesce(y.used, 0) AS room,
+  e.again OR (e.size > 0 AND e.size <= e.room AND e.draw <= coalesce(y.cut, '')) AS again FROM e{_r} e LEFT JOIN y{_r} y ON e.key = y.key)"""
+MIX_SQL += f"""
+SELECT doc_id, size, source_size, target, CAST((whole + CAST(again AS INT)) * size AS BIGINT) AS taken FROM e{mixing.ROUNDS}
 """
 
 ORACLES = {"op9_mix_sources": MIX_SQL}
