@@ -53,7 +53,7 @@ def mix(
     sizes = materialise(
         rows.select("doc_id", "source", source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), draw.alias("draw"))
     )
-    per_source = materialise(_weighed(sizes.groupBy("key").agg(F.sum("size").alias("source_size")), weights or {}, cycle))
+    per_source = _small(_weighed(sizes.groupBy("key").agg(F.sum("size").alias("source_size")), weights or {}, cycle))
     targets = water_fill(per_source, budget_share, max_epochs)
     mixed = sizes.join(_fill(sizes, targets), "key")
     copies = F.col("whole") + F.when(_taken_again(ROUNDS), 1).otherwise(0)
@@ -103,10 +103,15 @@ def _fill(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     for r in range(ROUNDS):
         free = sizes.join(plan, "key").filter(~_taken_again(r) & (F.col("size") > 0) & (F.col("size") <= F.col(f"room{r}")))
         plan = plan.join(_cut(free, f"room{r}"), "key", "left").withColumn(f"cut{r}", F.coalesce("cut", F.lit("")))
-        plan = materialise(plan.withColumn(f"room{r + 1}", F.coalesce("room", f"room{r}")).drop("cut", "room"))
+        plan = _small(plan.withColumn(f"room{r + 1}", F.coalesce("room", f"room{r}")).drop("cut", "room"))
     return plan
 
 
+def _small(per_source: DataFrame) -> DataFrame:
+    """A table with a row per source, written as one file so that its size shows how small it is."""
+    return materialise(per_source.coalesce(1))
+
+
 def _taken_again(rounds: int) -> Column:
     taken = F.lit(False)
     for r in range(rounds):
@@ -137,7 +142,7 @@ def _cut(free: DataFrame, room: str) -> DataFrame:
         if state is not None:  # a source without an open slice keeps what it had
             found = state.withColumnsRenamed({"prefix": "p0", "room": "r0"}).join(found, "key", "left")
             found = found.select("key", F.when(F.col("p0").isNotNull(), F.col("prefix")).alias("prefix"), F.coalesce("room", "r0").alias("room"))
-        state = materialise(found)
+        state = _small(found)
         rows = free.drop("room").join(state.filter("prefix IS NOT NULL"), "key").filter(F.col("draw").startswith(F.col("prefix")))
     upto = W.partitionBy("key").orderBy("draw").rangeBetween(W.unboundedPreceding, W.currentRow)
     fits = rows.withColumn("upto", F.sum("size").over(upto)).filter(F.col("upto") <= F.col("room"))

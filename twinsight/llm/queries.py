@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
 from twinsight.functions.frames import shared_folder
-from twinsight.llm import mixing, token_counts, token_files
+from twinsight.llm import decontaminate, mixing, quality_rules, token_counts, token_files
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 1
@@ -31,14 +31,27 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.with_starts(sums).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.judge_quality(table(spark, folder, "documents"))
+    columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"]
+    return judged.select("doc_id", *columns)
+
+
 def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_find_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return leaks.select("doc_id", "item_id", "n_shared", "n_shingles", "containment")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_token_files": op2_token_files,
+    "op3_quality_rules": op3_quality_rules,
     "op9_mix_sources": op9_mix_sources,
+    "op10_find_leaks": op10_find_leaks,
 }
 
 MIX_SQL = r"""
@@ -67,4 +80,17 @@ MIX_SQL += f"""
 SELECT doc_id, size, source_size, target, CAST((whole + CAST(again AS INT)) * size AS BIGINT) AS taken FROM e{mixing.ROUNDS}
 """
 
-ORACLES = {"op9_mix_sources": MIX_SQL}
+LEAK_SQL = r"""
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '') FROM benchmark),
+s AS (SELECT DISTINCT kind, id, array_to_string(w[i : i + 4], ' ') AS shingle
+  FROM (SELECT kind, id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)),
+q AS (SELECT id AS item_id, count(*) AS n_shingles FROM s WHERE kind = 'i' GROUP BY id),
+p AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM s d JOIN s i ON d.shingle = i.shingle AND d.kind = 'd' AND i.kind = 'i' GROUP BY 1, 2)
+SELECT doc_id, p.item_id, n_shared, n_shingles, n_shared / n_shingles AS containment
+FROM p JOIN q ON p.item_id = q.item_id WHERE 1000 * n_shared >= 800 * n_shingles
+"""
+
+ORACLES = {"op10_find_leaks": LEAK_SQL, "op9_mix_sources": MIX_SQL}
