@@ -42,8 +42,8 @@ def default_rules() -> list[Rule]:
     """Shares that tell prose from lists, junk, shouting and repetition."""
     return [
         Rule("symbols", _share("n_symbols", "n_words"), good_to=0.01, bad_from=0.1),
-        Rule("repeated_words", _share("n_repeat_words", "n_words"), good_to=0.05, bad_from=0.3),
-        Rule("repeated_lines", _share("n_dup_lines", "n_lines"), good_to=0.05, bad_from=0.3),
+        Rule("repeated_words", _share("n_repeat_words", "n_words"), good_to=0.05, bad_from=0.4),
+        Rule("repeated_lines", _share("n_dup_lines", "n_lines"), good_to=0.05, bad_from=0.4),
         Rule("word_length", _share("word_chars", "n_words"), good_to=7.0, bad_from=10.0, low=3.0),
         Rule("capitals", _share("n_capitals", "word_chars"), good_to=0.1, bad_from=0.3),
         Rule("exclamations", _share("n_exclamations", "n_words"), good_to=0.02, bad_from=0.2),
@@ -94,52 +94,75 @@ def text_counts(df: DataFrame) -> DataFrame:
     return rows.select("doc_id", *[c.cast("long").alias(n) for n, c in counts.items()])
 
 
+#: What is assumed before any data: on good rows a rule votes bad this rarely, which weighs as much as
+#: the data do (else a rule that fires alone could pass for a habit of good rows) ...
+GOOD_ROW_ERROR, GOOD_WEIGHT = 0.005, 1.0
+#: ... and on the bad rows a rule was made for it mostly votes bad (two rows' worth; others: even odds).
+OWN_KIND_HIT, KIND_WEIGHT = 0.9, 2.0
+
+
 @dataclass
 class VoteModel:
-    """``chance[class]`` per slot ``3 * rule + vote + 1``, class 1 good and 0 bad, and the share of good rows."""
+    """Latent classes: good rows, and one kind of bad rows for each rule.
+
+    ``bad[c][j]`` is the chance that rule ``j`` votes bad on a row of class ``c`` if it votes at all: its error
+    on good rows (class 0) and its hits on the others. Abstaining says nothing.
+    """
 
     rules: list[str]
-    chance: dict[int, list[float]]
-    prior: float
+    bad: list[list[float]]
+    share: list[float]
 
-    def posterior(self) -> Column:
-        """Probability that a row is good, from its vote columns.
+    def shares(self) -> Column:
+        """Posterior of each class, from the vote columns.
 
-        The weights are one array literal, so every round of EM runs the same generated code.
+        The logarithms are array literals, so every round of EM runs the same generated code.
         """
-        weights = F.lit([math.log(g / b) for g, b in zip(self.chance[1], self.chance[0], strict=True)])
-        odds = F.get(F.lit([math.log(self.prior / (1.0 - self.prior))]), F.lit(0))
-        for slot in _slots(self.rules):
-            odds = odds + F.get(weights, slot)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
-
+        base = F.lit([math.log(s) for s in self.share])
+        odds = []
+        for c in range(len(self.share)):
+            total = F.get(base, F.lit(c))
+            no_yes = F.lit([x for b in self.bad[c] for x in (math.log(b), 0.0, math.log(1.0 - b))])
+            for j, rule in enumerate(self.rules):
+                total = total + F.get(no_yes, (F.lit(3 * j + 1) + F.col(rule)).cast("int"))
+            odds.append(total)
+        top = F.greatest(*odds)
+        scaled = F.array(*[F.exp(o - top) for o in odds])
+        return F.transform(scaled, lambda x: x / F.aggregate(scaled, F.lit(0.0), lambda a, y: a + y))
 
-def _slots(rules: list[str]) -> list[Column]:
-    return [(F.lit(3 * i + 1) + F.col(rule)).cast("int") for i, rule in enumerate(rules)]
+    def posterior(self) -> Column:
+        """Probability that a row is good."""
+        return F.get(self.shares(), F.lit(0))
 
 
-def fit_votes(votes: DataFrame, rules: list[str], rounds: int = 50, tolerance: float = 1e-5) -> VoteModel:
-    """Latent-class EM over the counted vote patterns.
+def fit_votes(votes: DataFrame, rules: list[str], rounds: int = 50, tolerance: float = 1e-4) -> VoteModel:
+    """EM over the counted vote patterns, starting from "a bad vote makes a row suspect of that kind".
 
-    It starts from "one bad vote makes a row suspect". Each round is one aggregate; the driver
-    holds the model alone (6 numbers a rule). A pseudo-count of one row per cell keeps chances off 0 and 1.
+    Each round is one aggregate over at most 3 to the number of rules patterns; the driver holds the
+    model alone, a number per class and rule.
     """
-    patterns = materialise(votes.groupBy(*rules).agg(F.count(F.lit(1)).alias("n"))).coalesce(1)  # 3 ** rules at most
-    suspect = F.lit(False)
-    for rule in rules:
-        suspect = suspect | (F.col(rule) == BAD)
-    good: Column = F.when(suspect, 0.1).otherwise(0.9)
-    model, width = None, 3 * len(rules)
+    patterns = materialise(votes.groupBy(*rules).agg(F.count(F.lit(1)).alias("n"))).coalesce(1)  # few rows: one task
+    classes, width = len(rules) + 1, len(rules)
+    n_bad = sum(((F.col(r) == BAD).cast("double") for r in rules), F.lit(0.0))
+    suspect = [F.when(n_bad > 0, F.lit(0.99) * (F.col(r) == BAD).cast("double") / n_bad).otherwise(0.01 / width) for r in rules]
+    shares = F.array(F.when(n_bad > 0, 0.01).otherwise(0.99), *suspect)
+    # One slot per rule and cast vote, and one that counts rows.
+    slots = F.array(F.lit(2 * width), *[F.when(F.col(r) == BAD, 2 * j).when(F.col(r) == GOOD, 2 * j + 1) for j, r in enumerate(rules)])
+    model = None
     for _ in range(rounds):
-        slots = F.explode(F.array(F.lit(width), *_slots(rules))).alias("slot")  # the last slot counts rows
-        cells = patterns.withColumn("good", good).select("n", "good", slots)
-        sums = cells.groupBy("slot").agg(F.sum(F.col("n") * F.col("good")).alias("good"), F.sum("n").alias("n")).collect()
-        of = {r["slot"]: (float(r["n"] - r["good"]), float(r["good"])) for r in sums}
-        total = of.get(width, (0.0, 0.0))
-        chance = {c: [(of.get(i, (0.0, 0.0))[c] + 1.0) / (total[c] + 3.0) for i in range(width)] for c in (0, 1)}
-        before, model = model, VoteModel(rules, chance, (total[1] + 1.0) / (sum(total) + 2.0))
-        good = model.posterior()
-        if before and max(abs(a - b) for c in (0, 1) for a, b in zip(before.chance[c], chance[c], strict=True)) < tolerance:
+        cells = patterns.withColumn("share", shares).withColumn("slot", F.explode(slots)).filter("slot IS NOT NULL")
+        cells = cells.select("n", "slot", F.posexplode("share").alias("class", "share"))
+        sums = cells.groupBy("class", "slot").agg(F.sum(F.col("n") * F.col("share")).alias("n")).collect()
+        n = {(r["class"], r["slot"]): float(r["n"]) for r in sums}
+        rows = [n.get((c, 2 * width), 0.0) for c in range(classes)]
+        bad = []
+        for c in range(classes):
+            assumed = [(GOOD_ROW_ERROR, GOOD_WEIGHT * sum(rows) + 1.0) if c == 0 else (OWN_KIND_HIT if c == j + 1 else 0.5, KIND_WEIGHT) for j in range(width)]
+            cast = [(n.get((c, 2 * j), 0.0), n.get((c, 2 * j + 1), 0.0)) for j in range(width)]
+            bad.append([(no + rate * w) / (no + yes + w) for (no, yes), (rate, w) in zip(cast, assumed, strict=True)])
+        before, model = model, VoteModel(rules, bad, [(r + 1.0) / (sum(rows) + classes) for r in rows])
+        shares = model.shares()
+        if before and max(abs(x - y) for a, b in zip(before.bad, bad, strict=True) for x, y in zip(a, b, strict=True)) < tolerance:
             break
     return model
 
