@@ -46,3 +46,9 @@ def worker_state(name: str, build: Callable[[], Any]) -> Any:
     if name not in store:
         store[name] = build()
     return store[name]
+
+
+def sliced(batch, rows: int = 500):
+    """A record batch in parts, so that what a task makes of it at a time stays small."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsight.llm.text import col, words_of, worker_state
-from twinsight.llm.vocabulary import ChunkEncoder, ChunkTable, whole_tokens
+from twinsight.llm.vocabulary import ChunkEncoder, Remembered, whole_tokens
 
 
 def with_token_counts(
@@ -32,11 +32,12 @@ def with_token_counts(
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def build():
             encoder = ChunkEncoder(*shared.value)
-            return ChunkTable(lambda chunk: len(encoder.ids(chunk)))
+            return encoder.lowered, Remembered(lambda chunk: len(encoder.ids(chunk)) // 4)
 
-        table = worker_state(f"token_counts:{tokenizer_file}", build)
+        lowered, table = worker_state(f"token_counts:{tokenizer_file}", build)
         for batch in batches:
-            yield pd.Series([sum(map(table.__getitem__, words_of(t.encode()))) if t else 0 for t in batch], dtype="int64")
+            sizes = [sum(map(table.__getitem__, words_of(lowered(t.encode())))) if t else 0 for t in batch]
+            yield pd.Series(sizes, dtype="int64")
 
     tokens = F.pandas_udf(count, "long")(col(text))
     return df.withColumns(

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from twinsight.llm.text import only, texts, words_of, worker_state
-from twinsight.llm.vocabulary import ChunkEncoder, ChunkTable, id_bytes, whole_tokens
+from twinsight.llm.text import only, sliced, texts, words_of, worker_state
+from twinsight.llm.vocabulary import ChunkEncoder, Remembered, id_bytes, whole_tokens
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 
@@ -56,14 +56,14 @@ def write_token_files(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def build():
             encoder = ChunkEncoder(*shared.value)
-            return ChunkTable(lambda chunk: id_bytes(encoder.ids(chunk)))
+            return encoder.lowered, Remembered(encoder.ids)
 
-        table = worker_state(f"token_files:{tokenizer_file}", build)
+        lowered, table = worker_state(f"token_files:{tokenizer_file}", build)
         part, before = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (part_of for whole in batches for part_of in sliced(whole)):
             ids, sizes = [], []
             for data in texts(batch.column("text")):
-                blob = b"".join(map(table.__getitem__, words_of(data))) + end
+                blob = b"".join(map(table.__getitem__, words_of(lowered(data or b"")))) + end
                 ids.append(blob)
                 sizes.append(len(blob) // 4)
             n = np.array(sizes, "int64")

@@ -7,12 +7,11 @@ each distinct one is encoded once per worker and then looked up.
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 
-import numpy as np
-
-#: Entries a worker keeps; beyond that the table starts anew. Affects speed only.
-CACHE_ENTRIES = 400_000
+#: Entries of the young part of a worker's table. Affects speed and memory only.
+CACHE_ENTRIES = 300_000
 
 #: The pre-token pattern of the file, and what it takes for a blank (fixed values).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\x09-\x0D\x20\x85\xA0\p{L}\p{N}]+"
@@ -22,56 +21,58 @@ LAST_PLAIN = "ɏ"
 
 
 class ChunkEncoder:
-    """Ids of chunks; ``whole`` holds pre-tokens proven to be one token, with their ids."""
+    """Ids of chunks; ``whole`` holds pre-tokens proven to be one token, with their id."""
 
-    def __init__(self, tokenizer_json: str, whole: dict[str, int] | None = None):
+    def __init__(self, tokenizer_json: str, whole: dict[str, bytes]):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.merge = self.tokenizer.model.tokenize
         self.find = regex.compile(PRE_TOKEN).findall
-        self.whole = whole or {}
+        self.whole = whole
         self.byte_letters = byte_letters()
-        self.rest: dict[str, tuple[int, ...]] = {}
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.rest = Remembered(self._merged)
+        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def lowered(self, data: bytes) -> bytes:
+        """ASCII capitals lowered, as the vocabulary itself does; not beside special strings (told by case) or
+        marks that would first join a capital (U+0300 to U+037F)."""
+        return data if b"<|" in data or b"\xcc" in data or b"\xcd" in data else data.lower()
 
-    def ids(self, chunk: bytes) -> list[int]:
+    def ids(self, chunk: bytes) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         text = chunk.decode()
-        if max(text) > LAST_PLAIN or any(s in text for s in self.specials):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        if not chunk.isascii() and max(text) > LAST_PLAIN or b"<|" in chunk and any(s in chunk for s in self.specials):
+            return id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         lower = text.lower()
-        out: list[int] = []
-        for piece in (lower,) if lower.isalpha() else self.find(lower):
-            one = self.whole.get(piece)
-            if one is None:
-                out.extend(self._merged(piece))
-            else:
-                out.append(one)
-        return out
-
-    def _merged(self, piece: str) -> tuple[int, ...]:
-        found = self.rest.get(piece)
-        if found is None:
-            letters = piece.encode().decode("latin-1").translate(self.byte_letters)
-            found = tuple(t.id for t in self.merge(letters))
-            if len(self.rest) >= CACHE_ENTRIES:
-                self.rest.clear()
-            self.rest[piece] = found
-        return found
-
-
-class ChunkTable(dict):
-    """What ``make`` gives for a chunk, remembered; ``table[chunk]`` is the whole interface."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
+        if lower.isalpha():
+            return self.whole.get(lower) or self.rest[lower]
+        return b"".join([self.whole.get(piece) or self.rest[piece] for piece in self.find(lower)])
+
+    def _merged(self, piece: str) -> bytes:
+        letters = piece.encode().decode("latin-1").translate(self.byte_letters)
+        return id_bytes([t.id for t in self.merge(letters)])
+
 
-    def __missing__(self, chunk: bytes):
-        if len(self) >= CACHE_ENTRIES:
+class Remembered(dict):
+    """What ``make`` gives for a key; ``table[key]`` is the whole interface.
+
+    When the young part is full it becomes the old part, so frequent keys stay and memory is bounded.
+    """
+
+    def __init__(self, make, entries: int = CACHE_ENTRIES):
+        super().__init__()
+        self.make, self.entries, self.old = make, entries, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.entries:
+            self.old = dict(self)
             self.clear()
-        value = self[chunk] = self.make(chunk)
+        self[key] = value
         return value
 
 
@@ -82,7 +83,7 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
 
 
-def whole_tokens(tokenizer_json: str) -> dict[str, int]:
+def whole_tokens(tokenizer_json: str) -> dict[str, bytes]:
     """Vocabulary strings proven to be one token when they stand alone, with their ids.
 
     The proof runs once, on the driver, and its size is bound by the vocabulary: a string
@@ -107,9 +108,9 @@ def whole_tokens(tokenizer_json: str) -> dict[str, int]:
         if text and normal and (m := pattern.fullmatch(text)) and m.end() == len(text):
             candidates[text] = number
     encoded = tokenizer.encode_batch(list(candidates), add_special_tokens=False)
-    return {text: candidates[text] for text, e in zip(candidates, encoded, strict=True) if e.ids == [candidates[text]]}
+    return {text: id_bytes(e.ids) for text, e in zip(candidates, encoded, strict=True) if e.ids == [candidates[text]]}
 
 
 def id_bytes(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    return np.asarray(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
