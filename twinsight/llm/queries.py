@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
 from twinsight.functions.frames import shared_folder
-from twinsight.llm import decontaminate, mixing, quality_rules, token_counts, token_files
+from twinsight.llm import decontaminate, mixing, near_dedup, quality_rules, token_counts, token_files
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 1
@@ -37,6 +37,10 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *columns)
 
 
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_token_files": op2_token_files,
     "op3_quality_rules": op3_quality_rules,
+    "op6_near_dedup": op6_near_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_find_leaks": op10_find_leaks,
 }
@@ -93,4 +98,17 @@ SELECT doc_id, p.item_id, n_shared, n_shingles, n_shared / n_shingles AS contain
 FROM p JOIN q ON p.item_id = q.item_id WHERE 1000 * n_shared >= 800 * n_shingles
 """
 
-ORACLES = {"op10_find_leaks": LEAK_SQL, "op9_mix_sources": MIX_SQL}
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT w.doc_id, count(s.shingle) AS n_shingles FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n_shingles + y.n_shingles - shared)),
+r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a)
+SELECT n.doc_id, n_shingles, min(reached) AS component_id, n.doc_id = min(reached) AS kept FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY n.doc_id, n_shingles
+"""
+
+ORACLES = {"op6_near_dedup": NEAR_SQL, "op10_find_leaks": LEAK_SQL, "op9_mix_sources": MIX_SQL}
