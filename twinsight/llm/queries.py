@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
 from twinsight.functions.frames import shared_folder
-from twinsight.llm import decontaminate, mixing, near_dedup, quality_rules, token_counts, token_files
+from twinsight.llm import decontaminate, mixing, near_dedup, quality_rules, substring_dedup, token_counts, token_files
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 1
@@ -41,6 +41,11 @@ def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_quality_rules": op3_quality_rules,
     "op6_near_dedup": op6_near_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_find_leaks": op10_find_leaks,
 }
@@ -111,4 +117,15 @@ r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, e.b FROM r
 SELECT n.doc_id, n_shingles, min(reached) AS component_id, n.doc_id = min(reached) AS kept FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY n.doc_id, n_shingles
 """
 
-ORACLES = {"op6_near_dedup": NEAR_SQL, "op10_find_leaks": LEAK_SQL, "op9_mix_sources": MIX_SQL}
+REPEAT_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS seq FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20)),
+f AS (SELECT seq, min(struct_pack(d := doc_id, i := i)) AS first FROM s GROUP BY seq HAVING count(*) > 1),
+r AS (SELECT DISTINCT doc_id, unnest(range(s.i, s.i + 20)) AS i FROM s JOIN f ON s.seq = f.seq WHERE struct_pack(d := doc_id, i := s.i) <> f.first),
+k AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+x AS (SELECT k.doc_id, k.i, k.w[k.i] AS word FROM k ANTI JOIN r ON k.doc_id = r.doc_id AND k.i = r.i),
+t AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS kept FROM x GROUP BY doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, len(w.w) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN t ON w.doc_id = t.doc_id
+"""
+
+ORACLES = {"op8_substring_dedup": REPEAT_SQL, "op6_near_dedup": NEAR_SQL, "op10_find_leaks": LEAK_SQL, "op9_mix_sources": MIX_SQL}

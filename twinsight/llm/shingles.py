@@ -35,14 +35,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
-    """The hash of every window of ``length`` words; none if there are fewer words."""
+    """The hash of every window of ``length`` words; none if there are fewer words.
+
+    A window of even length is hashed as the pair of its halves.
+    """
     n = len(hashes) - length + 1
     if n <= 0:
         return np.empty(0, "uint64")
+    if length == 1:
+        return hashes
+    if length % 2 == 0:
+        half = window_hashes(hashes, length // 2)
+        return mixed(half[:n] * _STEP + half[length // 2 : length // 2 + n])
     total = np.full(n, np.uint64(length))
     for k in range(length):
-        total = mixed(total * _STEP + hashes[k : k + n]) if k == length - 1 else total * _STEP + mixed(hashes[k : k + n])
-    return total
+        total = total * _STEP + hashes[k : k + n]
+    return mixed(total)
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` neighbours, by doubling."""
+    span = 1
+    while 2 * span <= width:
+        values, span = np.minimum(values[: len(values) - span], values[span:]), 2 * span
+    more = width - span
+    return np.minimum(values[: len(values) - more], values[more:]) if more else values
 
 
 def shingle_set(words: list[bytes], length: int = 5) -> np.ndarray:
