@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 
 from public_tokenizers import path as tokenizer_path
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from twinsight.functions.frames import shared_folder
-from twinsight.llm import decontaminate, mixing, near_dedup, quality_rules, substring_dedup, token_counts, token_files
+from twinsight.llm import decontaminate, mixing, near_dedup, quality_rules, substring_dedup, token_counts, token_files, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 1
@@ -37,6 +38,22 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *columns)
 
 
+def held_out(parts: int) -> Column:
+    """Rows whose crc32 of the id as text leaves the remainder 2."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == 2, F.lit(False))
+
+
+def fitted_toxicity(docs: DataFrame, folder: str) -> toxicity.ToxicityModel:
+    labels = table(docs.sparkSession, folder, "labels").select("doc_id", "toxic").filter(~held_out(4))
+    return toxicity.fit_toxicity(docs.select("doc_id", "text"), labels)
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score_toxicity(docs, fitted_toxicity(docs, folder))
+    return scored.select("doc_id", held_out(4).alias("held_out"), "score", "predicted")
+
+
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
@@ -59,6 +76,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_token_files": op2_token_files,
     "op3_quality_rules": op3_quality_rules,
+    "op4_toxicity": op4_toxicity,
     "op6_near_dedup": op6_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mix_sources": op9_mix_sources,

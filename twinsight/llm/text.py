@@ -40,12 +40,15 @@ def texts(column) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def worker_state(name: str, build: Callable[[], Any]) -> Any:
-    """Something costly that one Python worker builds once and keeps between its tasks."""
+def worker_state(name: str, build: Callable[[], Any], version: str = "") -> Any:
+    """Something costly that one Python worker builds once and keeps between its tasks.
+
+    Only the latest version of each name is kept.
+    """
     store = sys.modules.setdefault("_twinsight_worker_state", types.ModuleType("_twinsight_worker_state")).__dict__
-    if name not in store:
-        store[name] = build()
-    return store[name]
+    if name not in store or store[name][0] != version:
+        store[name] = (version, build())
+    return store[name][1]
 
 
 def sliced(batch, rows: int = 500):

@@ -34,7 +34,7 @@ def with_token_counts(
             encoder = ChunkEncoder(*shared.value)
             return encoder.lowered, Remembered(lambda chunk: len(encoder.ids(chunk)) // 4)
 
-        lowered, table = worker_state(f"token_counts:{tokenizer_file}", build)
+        lowered, table = worker_state("token_counts", build, tokenizer_file)
         for batch in batches:
             sizes = [sum(map(table.__getitem__, words_of(lowered(t.encode())))) if t else 0 for t in batch]
             yield pd.Series(sizes, dtype="int64")

@@ -58,7 +58,7 @@ def write_token_files(
             encoder = ChunkEncoder(*shared.value)
             return encoder.lowered, Remembered(encoder.ids)
 
-        lowered, table = worker_state(f"token_files:{tokenizer_file}", build)
+        lowered, table = worker_state("token_files", build, tokenizer_file)
         part, before = TaskContext.get().partitionId(), 0
         for batch in (part_of for whole in batches for part_of in sliced(whole)):
             ids, sizes = [], []
