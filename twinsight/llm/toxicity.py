@@ -2,9 +2,9 @@
 
 A character model of the whole corpus (trigrams) is the language model, a table of common disguises the
 channel. A word that could be disguised (digits or symbols among its letters, long repetitions, single
-spaced letters) is a lattice of readings, and Viterbi finds the likeliest one. The restored words
-are scored with the log-odds of words and word beginnings and endings that labelled documents show to
-matter, and a logistic curve turns the sum into a probability.
+spaced letters) is a lattice of readings, and Viterbi finds the likeliest one. Distinct restored
+words are scored with the log-odds of words and word beginnings and endings that are significantly
+more frequent in documents labelled toxic, and a logistic curve turns the sum into a probability.
 """
 
 from __future__ import annotations
@@ -143,10 +143,10 @@ def _rejoined(words: list[bytes]) -> Iterator[bytes]:
 
 
 def word_features(word: str) -> list[int]:
-    """Hashes of a restored word, its beginning and its ending."""
+    """Hashes of a restored word, its beginnings and its ending."""
     if len(word) < 3:
         return []
-    marks = {f"={word}", f"<{word[:4]}", f"<{word[:5]}", f">{word[-4:]}"}
+    marks = {f"={word}", f">{word[-4:]}", *[f"<{word[:n]}" for n in range(4, min(len(word), 8) + 1)]}
     return [xxhash.xxh3_64_intdigest(m) - (1 << 63) for m in sorted(marks)]
 
 
@@ -182,8 +182,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in (part for whole in batches for part in sliced(whole)):
             for data, toxic in zip(texts(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-                seen[toxic].update({f for w in plain_words(data) for f in table[w]})
-                seen[toxic][0] += 1  # feature 0 counts the rows
+                words = plain_words(data)
+                for word in words:
+                    seen[toxic].update(table[word])
+                seen[toxic][0] += len(words)  # feature 0 counts distinct words, feature 1 rows
+                seen[toxic][1] += 1
         found = sorted(seen[0].keys() | seen[1].keys())
         columns = [pa.array(found, "int64"), *[pa.array([c[f] for f in found], "int64") for c in seen]]
         yield pa.RecordBatch.from_arrays(columns, names=["feature", "clean", "toxic"])
@@ -191,9 +194,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     counted = rows.mapInArrow(features, "feature long, clean long, toxic long").groupBy("feature").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
     )
-    counted = counted.filter("feature = 0 OR clean + toxic > 2").persist()
-    totals = counted.filter("feature = 0").agg(F.sum("clean"), F.sum("toxic")).first()
-    clean, toxic = float(totals[0] or 0), float(totals[1] or 0)
+    counted = counted.filter("feature IN (0, 1) OR toxic > 2").persist()
+    totals = {r["feature"]: (float(r["clean"]), float(r["toxic"])) for r in counted.filter("feature IN (0, 1)").collect()}
+    clean, toxic = totals.get(0, (0.0, 0.0))
+    clean_rows, toxic_rows = totals.get(1, (0.0, 0.0))
     weights: dict[int, float] = {}
     if clean and toxic:
         bar = 2.0 * math.log(max(counted.count(), 2))
@@ -201,10 +205,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         n, k = F.col("clean") + F.col("toxic"), F.col("toxic")
         gain = 2 * (_log_times(k, k / (n * share)) + _log_times(n - k, (n - k) / (n * (1 - share))))
         weight = F.log((k + 0.5) / (toxic + 1)) - F.log((n - k + 0.5) / (clean + 1))
-        best = counted.filter("feature <> 0").select("feature", weight.alias("w"), gain.alias("g")).filter(F.col("g") > bar)
+        best = counted.filter("feature NOT IN (0, 1)").select("feature", weight.alias("w"), gain.alias("g"))
+        best = best.filter((F.col("g") > bar) & (F.col("w") > 0))
         weights = {r["feature"]: r["w"] for r in best.orderBy(F.desc("g"), "feature").limit(LEXICON).collect()}
     counted.unpersist()
-    model = ToxicityModel(characters, weights, 0.0, math.log((toxic + 0.5) / (clean + 0.5)))
+    model = ToxicityModel(characters, weights, 0.0, math.log((toxic_rows + 0.5) / (clean_rows + 0.5)))
     if weights:
         sums = evidence(rows, model, "toxic").collect()  # at most LABELLED_ROWS pairs of numbers
         model.slope, model.offset = _logistic(np.array([r[1] for r in sums]), np.array([float(r[0]) for r in sums]))
