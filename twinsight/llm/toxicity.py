@@ -151,18 +151,15 @@ def word_features(word: str) -> list[int]:
 
 
 class ToxicityModel:
-    """Character model, weight per feature hash, and the curve ``1 / (1 + exp(-(slope * sum + offset)))``."""
+    """Character model, weight per feature hash, and the logistic curve over the sum and the top of a text's weights."""
 
-    def __init__(self, characters: CharacterModel, weights: dict[int, float], slope: float, offset: float):
-        self.characters, self.weights, self.slope, self.offset = characters, weights, slope, offset
+    def __init__(self, characters: CharacterModel, weights: dict[int, float], curve: tuple[float, float, float]):
+        self.characters, self.weights, self.curve = characters, weights, curve
 
     def word_weight(self, word: bytes) -> float:
         get = self.weights.get
         return max((get(f, 0.0) for f in word_features(self.characters.restore(word.decode()))), key=abs, default=0.0)
 
-    def probability(self, evidence: float) -> float:
-        return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, self.slope * evidence + self.offset))))
-
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic; 0 or 1, other values are ignored).
@@ -209,10 +206,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         best = best.filter((F.col("g") > bar) & (F.col("w") > 0))
         weights = {r["feature"]: r["w"] for r in best.orderBy(F.desc("g"), "feature").limit(LEXICON).collect()}
     counted.unpersist()
-    model = ToxicityModel(characters, weights, 0.0, math.log((toxic_rows + 0.5) / (clean_rows + 0.5)))
+    model = ToxicityModel(characters, weights, (0.0, 0.0, math.log((toxic_rows + 0.5) / (clean_rows + 0.5))))
     if weights:
-        sums = evidence(rows, model, "toxic").collect()  # at most LABELLED_ROWS pairs of numbers
-        model.slope, model.offset = _logistic(np.array([r[1] for r in sums]), np.array([float(r[0]) for r in sums]))
+        sums = np.array(evidence(rows, model, "toxic").collect(), "float64")  # at most LABELLED_ROWS rows of three numbers
+        model.curve = _logistic(sums[:, 1:], sums[:, 0])
     return model
 
 
@@ -220,33 +217,35 @@ def _log_times(n, ratio):
     return F.when(n > 0, n * F.log(ratio)).otherwise(0.0)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset by Newton's method with a small ridge on the slope."""
-    at = np.zeros(2)
-    design = np.stack([x, np.ones_like(x)], axis=1)
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 50) -> tuple[float, ...]:
+    """Slopes and offset by Newton's method with a small ridge on the slopes."""
+    design = np.column_stack([x, np.ones(len(x))])
+    penalty = np.array([ridge] * x.shape[1] + [1e-6])
+    at = np.zeros(design.shape[1])
     for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-np.clip(design @ at, -30, 30)))
-        gradient = design.T @ (p - y) + np.array([ridge, 1e-6]) * at
-        curve = (design * (p * (1 - p))[:, None]).T @ design + np.diag([ridge, 1e-6])
-        step = np.linalg.solve(curve, gradient)
-        at = at - np.clip(step, -2.0, 2.0)
+        gradient = design.T @ (p - y) + penalty * at
+        curve = (design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty)
+        step = np.clip(np.linalg.solve(curve, gradient), -2.0, 2.0)
+        at = at - step
         if np.abs(step).max() < 1e-8:
             break
-    return float(at[0]), float(at[1])
+    return tuple(float(v) for v in at)
 
 
 def evidence(rows: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
-    """The ``keep`` columns and ``evidence``: the summed weights of a text's distinct restored words."""
+    """The ``keep`` columns, ``total`` and ``top``: sum and maximum of the weights of a text's distinct restored words."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # alphabet and lexicon are bounded
     version = uuid.uuid4().hex
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = worker_state("toxicity", lambda: Remembered(shared.value.word_weight), version)
         for batch in (part for whole in batches for part in sliced(whole)):
-            sums = [math.fsum(map(table.__getitem__, plain_words(data))) for data in texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(sums, "float64")], names=[*keep, "evidence"])
+            weights = [list(map(table.__getitem__, plain_words(data))) for data in texts(batch.column("text"))]
+            columns = [pa.array([math.fsum(w) for w in weights], "float64"), pa.array([max(w, default=0.0) for w in weights], "float64")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *columns], names=[*keep, "total", "top"])
 
-    schema = ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep], "evidence double"])
+    schema = ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep], "total double, top double"])
     return rows.select(*keep, "text").mapInArrow(weigh, schema)
 
 
@@ -258,6 +257,8 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, doc_id: str = "doc_id",
     """
     rows = only(df, doc_id=doc_id, text=text)
     found = evidence(rows, model, "doc_id")
-    bounded = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.col("evidence") * F.lit(model.slope) + F.lit(model.offset)))
+    on_total, on_top, offset = model.curve
+    odds = F.col("total") * F.lit(on_total) + F.col("top") * F.lit(on_top) + F.lit(offset)
+    bounded = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), odds))
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-bounded))
     return found.select("doc_id", score.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
