@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsight.functions.frames import shared_folder
-from twinsight.llm import decontaminate, mixing, near_dedup, quality_rules, substring_dedup, token_counts, token_files, toxicity
+from twinsight.llm import class_lm, decontaminate, mixing, near_dedup, quality_rules, substring_dedup, token_counts, token_files, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 1
@@ -54,6 +54,11 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out(4).alias("held_out"), "score", "predicted")
 
 
+def op5_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", held_out(7).alias("held_out"))
+    return class_lm.score_texts(docs)
+
+
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
+    "op5_class_lm": op5_class_lm,
     "op6_near_dedup": op6_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mix_sources": op9_mix_sources,
