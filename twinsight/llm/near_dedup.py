@@ -26,6 +26,9 @@ from twinsight.llm.text import only, sliced, texts
 #: Coordinates, and how many must agree. A pair at Jaccard 0.85 is missed with probability below 2e-6.
 COORDINATES, MATCHES = 40, 22
 PREFIX = COORDINATES - MATCHES + 1
+#: One-bit minima that two members of a posting compare, and how many may differ. At Jaccard 0.85 each differs with
+#: probability 0.075; more than 118 of 1024 do with probability below 3e-6.
+BITS, DIFFERENT_BITS = 1024, 118
 
 _NUMBERS = np.arange(1, 2 * COORDINATES + 1, dtype="uint64")
 _FLIPS, _FACTORS = mixed(_NUMBERS[:COORDINATES]), mixed(_NUMBERS[COORDINATES:]) | np.uint64(1)
@@ -119,21 +122,24 @@ def near_duplicates(df: DataFrame, percent: int = 85, doc_id: str = "doc_id", te
 def _postings(nodes: DataFrame) -> DataFrame:
     """``node, n, prefix, hub`` of the nodes that share a value with another one in their prefix.
 
-    ``hub`` is the smallest node of most of its postings, if that covers enough coordinates to be a
-    likely link. Only values that occur twice are joined back: the rest cannot meet anyone.
+    ``hub`` is where a node first looks for a link. The most typical node of each posting (the one whose
+    values are the most frequent, as the original of a group of edited copies) is the posting's centre;
+    a node's hub is the centre of most of its postings, if that covers enough coordinates. Only values that
+    occur twice are joined back: the rest cannot meet anyone.
     """
     values = nodes.select("node", "n", F.explode("signature").alias("value"))
-    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("first")).filter("df > 1")
-    met = values.join(shared, "value").groupBy("node", "n").agg(F.collect_list(F.struct("df", "value", "first")).alias("met"))
+    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    met = values.join(shared, "value").groupBy("node", "n").agg(
+        F.collect_list(F.struct("df", "value")).alias("met"), F.sum(F.log("df")).alias("typical")
+    )
     room = F.lit(PREFIX - COORDINATES) + F.size("met")  # values of their own come before all others
     prefix = F.when(room > 0, F.transform(F.slice(F.sort_array("met"), 1, room), lambda m: m["value"]))
-    others = F.filter(F.transform("met", lambda m: m["first"]), lambda x: x != F.col("node"))
-    met = met.select("node", "n", prefix.alias("prefix"), others.alias("others")).filter("prefix IS NOT NULL")
-    counts = F.transform(
-        F.array_distinct("others"), lambda x: F.struct(F.size(F.filter("others", lambda y: y == x)).alias("n"), (-x).alias("x"))
-    )
-    top = F.array_max(counts)
-    return met.select("node", "n", "prefix", F.when(top["n"] >= MATCHES, -top["x"]).alias("hub"))
+    met = materialise(met.withColumn("prefix", prefix).filter("prefix IS NOT NULL"))
+    posted = met.select("node", "typical", F.explode("met.value").alias("value"))
+    centres = posted.groupBy("value").agg(F.max_by("node", F.struct("typical", -F.col("node"))).alias("centre"))
+    votes = posted.join(centres, "value").filter("centre <> node").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("votes"))
+    hubs = votes.filter(F.col("votes") >= MATCHES).groupBy("node").agg(F.max_by("centre", F.struct("votes", -F.col("centre"))).alias("hub"))
+    return met.select("node", "n", "prefix").join(hubs, "node", "left")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, posted: DataFrame, percent: int) -> DataFrame:
@@ -143,28 +149,34 @@ def _links(docs: DataFrame, nodes: DataFrame, posted: DataFrame, percent: int) -
     left = texts_of.filter("hub IS NOT NULL").select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("text").alias("text_a"))
     right = texts_of.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     first = materialise(confirmed(left.join(right, "b"), percent))
-    pairs = materialise(_pairs_across(nodes, posted, connected(first), percent))
+    pairs = materialise(_pairs_across(nodes, posted, connected(first), texts_of, percent))
     second = pairs.join(right.withColumnsRenamed({"b": "a", "text_b": "text_a"}), "a").join(right, "b")
     return first.unionByName(materialise(confirmed(second, percent)))
 
 
-def _pairs_across(nodes: DataFrame, posted: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs between different components: enough equal coordinates, sizes that allow it.
+def _pairs_across(nodes: DataFrame, posted: DataFrame, roots: DataFrame, texts_of: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs between different components: sizes and one-bit sketches that allow a link, enough collisions.
 
     In each posting the largest component stays on one side only, so copies of one text never meet
-    each other here and the work is (rows of the posting) x (rows outside its largest component).
+    each other here and the work is (rows of the posting) x (rows outside its largest component). Edited
+    copies that are too far apart collide often; the join itself drops them by their sketches.
     """
     labelled = posted.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.explode("prefix").alias("value"))
     labelled = materialise(labelled)
     parts = labelled.groupBy("value", "root").agg(F.count(F.lit(1)).alias("rows"))
     mixed_only = parts.groupBy("value").agg(F.max_by("root", "rows").alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     open_rows = materialise(labelled.join(mixed_only.select("value", "main"), "value"))
-    a = open_rows.filter("root <> main").select("value", "main", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "root")])
-    b = open_rows.select("value", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "root")])
+    open_nodes = open_rows.select("node").distinct()
+    bits = materialise(texts_of.join(open_nodes, "node").select("node", "text").mapInArrow(_bit_sketches, "node long, bits array<long>"))
+    open_rows = open_rows.join(bits.dropDuplicates(["node"]), "node")
+    sides = ("node", "n", "root", "bits")
+    a = open_rows.filter("root <> main").select("value", "main", *[F.col(c).alias(f"{c}_a") for c in sides])
+    b = open_rows.select("value", *[F.col(c).alias(f"{c}_b") for c in sides])
     fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("root_a") != F.col("root_b"))
     once = (F.col("root_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
-    pairs = a.join(b, "value").filter(fits & once)
-    pairs = pairs.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+    differ = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    near = (a["value"] == b["value"]) & fits & once & (differ <= DIFFERENT_BITS)
+    pairs = a.join(b, near).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
     signed = nodes.select("node", "signature")
     pairs = pairs.join(signed.withColumnsRenamed({"node": "a", "signature": "sa"}), "a").join(signed.withColumnsRenamed({"node": "b", "signature": "sb"}), "b")
     return pairs.filter(_collisions(F.col("sa"), F.col("sb")) >= MATCHES).select("a", "b")
@@ -172,3 +184,21 @@ def _pairs_across(nodes: DataFrame, posted: DataFrame, roots: DataFrame, percent
 
 def _collisions(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+
+
+def _bit_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bit of each of ``BITS`` further minima, packed into 64-bit numbers."""
+    numbers = np.arange(1, 2 * BITS + 1, dtype="uint64") + np.uint64(1 << 32)
+    flips, factors = mixed(numbers[:BITS]), mixed(numbers[BITS:]) | np.uint64(1)
+    for batch in (part for whole in batches for part in sliced(whole)):
+        packed = []
+        for data in texts(batch.column("text")):
+            shingles = lowered_set(data)
+            lows = np.full(BITS, np.iinfo("uint64").max, "uint64")
+            for at in range(0, len(shingles), 512):
+                part = shingles[at : at + 512]
+                lows = np.minimum(lows, ((part[None, :] ^ flips[:, None]) * factors[:, None]).min(axis=1))
+            packed.append(np.packbits((mixed(lows) & np.uint64(1)).astype("uint8")).view("int64"))
+        flat = pa.array(np.concatenate(packed) if packed else np.empty(0, "int64"))
+        offsets = pa.array(np.arange(len(packed) + 1, dtype="int32") * (BITS // 64))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(offsets, flat)], names=["node", "bits"])
