@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsight.functions.frames import shared_folder
-from twinsight.llm import class_lm, decontaminate, mixing, near_dedup, quality_rules, substring_dedup, token_counts, token_files, toxicity
+from twinsight.llm import class_lm, decontaminate, html_text, mixing, near_dedup, quality_rules, substring_dedup, token_counts, token_files, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 1
@@ -63,6 +63,11 @@ def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = html_text.with_main_text(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -84,6 +89,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_class_lm": op5_class_lm,
     "op6_near_dedup": op6_near_dedup,
+    "op7_main_text": op7_main_text,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_find_leaks": op10_find_leaks,
