@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from twinsight.functions.frames import materialise
-from twinsight.llm.text import WORD, only
+from twinsight.llm.text import WORD, col
 
 #: Hex digits of the draw by which a source is cut finer at each step; 256 sums per source and step.
 _STEP = 2
@@ -35,8 +35,9 @@ def mix(
     doc_id: str = "doc_id",
     source: str = "source",
     text: str = "text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for every document.
+    """``doc_id, source, size, source_size, target, copies, taken`` and the ``keep`` columns for every document.
 
     A document's size is its words. Sources in code point order, null last, weigh ``weights[i]`` or
     else ``cycle`` repeated. They share ``budget_share`` of all words by weight; a source stops at
@@ -46,19 +47,21 @@ def mix(
     it that fit, in further rounds.
 
     Null text: size 0. A null source is one of its own. Repeated ids draw alike. Empty sources have the
-    target 0. An empty table gives an empty one. Other columns are not looked at.
+    target 0. An empty table gives an empty one. Of other columns only ``keep`` is
+    carried along; a name there may not be one of the result's own.
     """
-    rows = only(docs, doc_id=doc_id, source=source, text=text)
+    rows = docs.select(col(doc_id).alias("doc_id"), col(source).alias("source"), col(text).alias("_text"), *[col(c) for c in keep])
     draw = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")))
-    sizes = materialise(
-        rows.select("doc_id", "source", source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), draw.alias("draw"))
+    counted = rows.select(
+        "doc_id", "source", source_key(F.col("source")).alias("key"), word_count(F.col("_text")).alias("size"), draw.alias("draw"), *keep
     )
+    sizes = materialise(counted)
     per_source = _small(_weighed(sizes.groupBy("key").agg(F.sum("size").alias("source_size")), weights or {}, cycle))
     targets = water_fill(per_source, budget_share, max_epochs)
     mixed = sizes.join(_fill(sizes, targets), "key")
     copies = F.col("whole") + F.when(_taken_again(ROUNDS), 1).otherwise(0)
     return mixed.select(
-        "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *keep
     )
 
 

@@ -6,6 +6,7 @@ patterns (3 to the number of rules at most) are counted, and EM runs as aggregat
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -109,64 +110,63 @@ class VoteModel:
     on good rows (class 0) and its hits on the others. Abstaining says nothing.
     """
 
-    rules: list[str]
     bad: list[list[float]]
     share: list[float]
 
-    def shares(self) -> Column:
-        """Posterior of each class, from the vote columns.
-
-        The logarithms are array literals, so every round of EM runs the same generated code.
-        """
-        base = F.lit([math.log(s) for s in self.share])
-        odds = []
-        for c in range(len(self.share)):
-            total = F.get(base, F.lit(c))
-            no_yes = F.lit([x for b in self.bad[c] for x in (math.log(b), 0.0, math.log(1.0 - b))])
-            for j, rule in enumerate(self.rules):
-                total = total + F.get(no_yes, (F.lit(3 * j + 1) + F.col(rule)).cast("int"))
-            odds.append(total)
-        top = F.greatest(*odds)
-        scaled = F.array(*[F.exp(o - top) for o in odds])
-        return F.transform(scaled, lambda x: x / F.aggregate(scaled, F.lit(0.0), lambda a, y: a + y))
-
-    def posterior(self) -> Column:
-        """Probability that a row is good."""
-        return F.get(self.shares(), F.lit(0))
-
-
-def fit_votes(votes: DataFrame, rules: list[str], rounds: int = 50, tolerance: float = 1e-4) -> VoteModel:
+    def table(self) -> Column:
+        """Per class the logarithm of its share, then of each rule's bad vote, abstention and good vote."""
+        rows = [[math.log(p), *[x for b in bad for x in (math.log(b), 0.0, math.log(1.0 - b))]] for p, bad in zip(self.share, self.bad, strict=True)]
+        return F.from_json(F.lit(json.dumps(rows)), "array<array<double>>")
+
+
+def with_cells(votes: DataFrame, rules: list[str]) -> DataFrame:
+    """Adds ``cells``: where the votes of a row stand in a class's row of the model table."""
+    return votes.withColumn("cells", _cells_of(rules))
+
+
+def with_shares(votes: DataFrame, model: VoteModel) -> DataFrame:
+    """Replaces ``cells`` by ``shares``, the posterior of each class; class 0 is the good rows."""
+    logs = F.transform(model.table(), lambda row: F.aggregate("cells", F.lit(0.0), lambda a, at: a + F.get(row, at)))
+    votes = votes.withColumn("shares", logs).drop("cells")
+    votes = votes.withColumn("top", F.array_max("shares")).withColumn("shares", F.transform("shares", lambda x: F.exp(x - F.col("top"))))
+    votes = votes.withColumn("top", F.aggregate("shares", F.lit(0.0), lambda a, x: a + x))
+    return votes.withColumn("shares", F.transform("shares", lambda x: x / F.col("top"))).drop("top")
+
+
+def fit_votes(votes: DataFrame, rules: list[str], rounds: int = 30, tolerance: float = 1e-3) -> VoteModel:
     """EM over the counted vote patterns, starting from "a bad vote makes a row suspect of that kind".
 
-    Each round is one aggregate over at most 3 to the number of rules patterns; the driver holds the
-    model alone, a number per class and rule.
+    Each round is one aggregate over at most 3 to the number of rules patterns, in one task; the driver
+    holds the model alone, a number per class and rule.
     """
-    patterns = materialise(votes.groupBy(*rules).agg(F.count(F.lit(1)).alias("n"))).coalesce(1)  # few rows: one task
+    patterns = materialise(with_cells(votes.groupBy(*rules).agg(F.count(F.lit(1)).alias("n")), rules)).coalesce(1)
     classes, width = len(rules) + 1, len(rules)
     n_bad = sum(((F.col(r) == BAD).cast("double") for r in rules), F.lit(0.0))
     suspect = [F.when(n_bad > 0, F.lit(0.99) * (F.col(r) == BAD).cast("double") / n_bad).otherwise(0.01 / width) for r in rules]
-    shares = F.array(F.when(n_bad > 0, 0.01).otherwise(0.99), *suspect)
-    # One slot per rule and cast vote, and one that counts rows.
-    slots = F.array(F.lit(2 * width), *[F.when(F.col(r) == BAD, 2 * j).when(F.col(r) == GOOD, 2 * j + 1) for j, r in enumerate(rules)])
+    shared = patterns.withColumn("shares", F.array(F.when(n_bad > 0, 0.01).otherwise(0.99), *suspect))
     model = None
     for _ in range(rounds):
-        cells = patterns.withColumn("share", shares).withColumn("slot", F.explode(slots)).filter("slot IS NOT NULL")
-        cells = cells.select("n", "slot", F.posexplode("share").alias("class", "share"))
-        sums = cells.groupBy("class", "slot").agg(F.sum(F.col("n") * F.col("share")).alias("n")).collect()
-        n = {(r["class"], r["slot"]): float(r["n"]) for r in sums}
-        rows = [n.get((c, 2 * width), 0.0) for c in range(classes)]
+        cells = shared.select("n", F.explode(_cells_of(rules)).alias("cell"), "shares")
+        cells = cells.select("n", "cell", F.posexplode("shares").alias("class", "share"))
+        sums = cells.groupBy("class", "cell").agg(F.sum(F.col("n") * F.col("share")).alias("n")).collect()
+        n = {(r["class"], r["cell"]): float(r["n"]) for r in sums}
+        rows = [n.get((c, 0), 0.0) for c in range(classes)]
         bad = []
         for c in range(classes):
             assumed = [(GOOD_ROW_ERROR, GOOD_WEIGHT * sum(rows) + 1.0) if c == 0 else (OWN_KIND_HIT if c == j + 1 else 0.5, KIND_WEIGHT) for j in range(width)]
-            cast = [(n.get((c, 2 * j), 0.0), n.get((c, 2 * j + 1), 0.0)) for j in range(width)]
+            cast = [(n.get((c, 3 * j + 1), 0.0), n.get((c, 3 * j + 3), 0.0)) for j in range(width)]
             bad.append([(no + rate * w) / (no + yes + w) for (no, yes), (rate, w) in zip(cast, assumed, strict=True)])
-        before, model = model, VoteModel(rules, bad, [(r + 1.0) / (sum(rows) + classes) for r in rows])
-        shares = model.shares()
+        before, model = model, VoteModel(bad, [(r + 1.0) / (sum(rows) + classes) for r in rows])
+        shared = with_shares(patterns, model)
         if before and max(abs(x - y) for a, b in zip(before.bad, bad, strict=True) for x, y in zip(a, b, strict=True)) < tolerance:
             break
     return model
 
 
+def _cells_of(rules: list[str]) -> Column:
+    return F.array(F.lit(0), *[(F.lit(3 * j + 2) + F.col(r)).cast("int") for j, r in enumerate(rules)])
+
+
 def judge_quality(df: DataFrame, rules: list[Rule] | None = None, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: counts, votes, ``quality`` (posterior), ``base_failed`` and ``kept``.
 
@@ -181,5 +181,6 @@ def judge_quality(df: DataFrame, rules: list[Rule] | None = None, threshold: flo
     rows = materialise(counts.withColumns({n: r.vote().cast("int") for n, r in zip(names, rules, strict=True)}))
     model = fit_votes(rows, names)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = rows.withColumn("quality", model.posterior()).withColumn("base_failed", failed)
+    judged = with_shares(with_cells(rows, names), model)
+    judged = judged.withColumn("quality", F.get("shares", F.lit(0))).drop("shares").withColumn("base_failed", failed)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))

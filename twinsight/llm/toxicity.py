@@ -19,7 +19,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsight.llm.text import only, sliced, texts, worker_state
@@ -234,7 +234,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 5
 
 
 def evidence(rows: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
-    """The ``keep`` columns, ``total`` and ``top``: sum and maximum of the weights of a text's distinct restored words."""
+    """``keep`` columns, ``total`` and ``top``: sum and maximum of the weights of a text's distinct restored words."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # alphabet and lexicon are bounded
     version = uuid.uuid4().hex
 
@@ -246,7 +246,14 @@ def evidence(rows: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *columns], names=[*keep, "total", "top"])
 
     schema = ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep], "total double, top double"])
-    return rows.select(*keep, "text").mapInArrow(weigh, schema)
+    return rows.select(*dict.fromkeys([*keep, "text"])).mapInArrow(weigh, schema)
+
+
+def probability(model: ToxicityModel) -> Column:
+    """The logistic curve over the columns of ``evidence``."""
+    on_total, on_top, offset = model.curve
+    odds = F.col("total") * F.lit(on_total) + F.col("top") * F.lit(on_top) + F.lit(offset)
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), odds))))
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,10 +262,5 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, doc_id: str = "doc_id",
     Null and empty texts have no evidence and get the score of that. Repeated rows score alike; an empty table
     gives an empty one. Only the text enters the score; other columns are not looked at.
     """
-    rows = only(df, doc_id=doc_id, text=text)
-    found = evidence(rows, model, "doc_id")
-    on_total, on_top, offset = model.curve
-    odds = F.col("total") * F.lit(on_total) + F.col("top") * F.lit(on_top) + F.lit(offset)
-    bounded = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), odds))
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-bounded))
-    return found.select("doc_id", score.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    found = evidence(only(df, doc_id=doc_id, text=text), model, "doc_id")
+    return found.select("doc_id", probability(model).alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
