@@ -36,7 +36,7 @@ DISGUISES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
-# Costs of the channel in nats: reading a symbol as a letter, dropping it, shortening a repetition.
+# Costs of the channel in nats: reading a symbol as a letter, dropping it (digits stay instead), shortening a repetition.
 READ, DROP, SHORTEN = 1.0, 2.5, 0.7
 _EDGES = ".,;:!?\"'()[]{}<>*#%&~`_-+=/\\|$"
 
@@ -123,8 +123,9 @@ class CharacterModel:
         stands_for = DISGUISES.get(letter, "")
         read = [(x, READ + (SHORTEN if n > 1 else 0.0)) for x in stands_for]
         read += [(x * 2, READ + SHORTEN) for x in stands_for if n > 1]
-        kept = [(letter * n, READ)] if letter.isdigit() else []
-        return read + kept + [("", DROP / n)]
+        if letter.isdigit():
+            return [*read, (letter * n, READ + DROP)]
+        return [*read, ("", DROP / n)]
 
 
 def plain_words(data: bytes | None) -> set[bytes]:
