@@ -1,13 +1,15 @@
 """What the physical plans must and must not hold at any scale."""
 
 import re
+from pathlib import Path
 from types import SimpleNamespace
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
 from twinsight import TableEncoder, novelty_rate, ssf_score, stratified_split
-from twinsight.functions.frames import materialise, merge_one_row_frames, shared_folder
+from twinsight.functions.frames import materialise, merge_one_row_frames, release, shared_folder
 from twinsight.operators import quantiles, value
 from twinsight.operators.ssf import add_tiers, score_population
 from twinsight.plans import stand_ins as st
@@ -24,15 +26,31 @@ def read_columns(plan):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_joins(spark, data, name):
-    if name.startswith(("synth", "score_gbt", "ssf_compare")):
-        pytest.skip("trains a model or repeats another plan")
+    if name == "score_gbt":
+        pytest.skip("trains a model")
     plan = plan_of(QUERIES[name](spark, data))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_fidelity_reads_two_columns_once_per_population(spark, data):
     result = ssf_score(st.line_values(spark, data), st.line_values(spark, data, 0.8), st.line_scorer(), "value")
-    assert read_columns(plan_of(result.summary)) == [{"l_quantity", "l_extendedprice"}] * 2
+    assert read_columns(plan_of(result.compared)) == [{"l_quantity", "l_extendedprice"}] * 2
+
+
+def test_a_result_is_settled_once(spark, data):
+    """Scalars, summary and strategies all come from the rows written at the first read."""
+    result = ssf_score(st.line_values(spark, data), st.line_values(spark, data, 0.8), st.line_scorer(), "value")
+    assert 0 <= result["ssf"] <= 1
+    for df in (result.summary, result.per_strategy):
+        assert "lineitem" not in plan_of(df) and "/tables/" in df.inputFiles()[0]
+
+
+def test_materialised_tables_can_be_removed(spark):
+    written = materialise(spark.range(5))
+    file = Path(urlparse(written.inputFiles()[0]).path)
+    assert file.exists()
+    release(spark)
+    assert not file.parent.exists()
 
 
 def test_tiers_need_the_value_column_only(spark, data):
@@ -64,7 +82,7 @@ def test_split_is_a_filter(spark, data):
 
 def test_filters_reach_the_scan(spark, data):
     real, synth = st.order_pair(spark, data)
-    plan = plan_of(ssf_score(real.filter("o_orderstatus = 'F'"), synth, F.lit(0.5), "o_totalprice").per_strategy)
+    plan = plan_of(ssf_score(real.filter("o_orderstatus = 'F'"), synth, F.lit(0.5), "o_totalprice").compared)
     assert "EqualTo(o_orderstatus,F)" in plan
 
 
@@ -94,7 +112,7 @@ def test_merging_one_row_frames(spark):
 
 
 def test_large_quantiles_never_gather_the_column(spark, data, monkeypatch):
-    """Beyond the row bound no exact percentile (a map of all values in one task) is used."""
+    """No exact percentile (a map of all values in one task) is used at any size."""
     monkeypatch.setattr(quantiles.F, "percentile", None)
     lines = st.table(spark, data, "lineitem")
-    assert quantiles.exact_quantiles(lines, "l_extendedprice", [0.5], small_rows=0)[""]
+    assert quantiles.exact_quantiles(lines, "l_extendedprice", [0.5])[""]

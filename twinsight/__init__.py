@@ -7,7 +7,7 @@ from twinsight.operators.privacy import (
     novelty_rate,
     three_axis_report,
 )
-from twinsight.operators.scorers import TreeScorer, apply_scorer, logistic_scorer
+from twinsight.operators.scorers import PythonScorer, TreeScorer, apply_scorer, logistic_scorer
 from twinsight.operators.split import stratified_split
 from twinsight.operators.ssf import (
     CampaignEconomics,
@@ -23,6 +23,7 @@ from twinsight.synth import SynthConfig, TableSynthesizer
 __all__ = [
     "CampaignEconomics",
     "FidelityResult",
+    "PythonScorer",
     "Strategy",
     "SynthConfig",
     "TableEncoder",

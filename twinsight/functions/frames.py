@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def quoted(name: str) -> Column:
+    """A column by its literal name, dots and blanks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def merge_one_row_frames(*frames: DataFrame) -> DataFrame:
     """Put the columns of several one-row frames side by side without a cross join."""
     stacked = frames[0]
@@ -40,9 +46,31 @@ def materialise(df: DataFrame) -> DataFrame:
     The result survives lost executors, is column-pruned on reading, and carries a true
     size, so that the planner's broadcast decision rests on bytes and not on a guess.
     """
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(release, spark)
+    _WRITTEN.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every table that ``materialise`` wrote; call it once the results have been read.
+
+    It also runs when the program ends, if the session is still there.
+    """
+    try:
+        context = spark.sparkContext
+        for path in _WRITTEN:
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session has ended: nothing can be reached through it any more
+        return
+    _WRITTEN.clear()
 
 
 _SHIPPED: set[str] = set()

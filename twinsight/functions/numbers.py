@@ -44,10 +44,16 @@ def coerce_numeric(column: Column, dtype: T.DataType, fill: float = 0.0) -> Colu
     return F.coalesce(as_number(column, dtype), F.lit(float(fill)))
 
 
-def _plain_double_text(x: Column) -> Column:
-    """Shortest decimal text, without the exponent the JVM adds outside [1e-3, 1e7)."""
+def _double_text(x: Column) -> Column:
+    """Shortest decimal text; an exponent only outside [1e-4, 1e16), with a sign and two digits at least."""
     text = x.cast("string")
     size = F.abs(x)
+    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), F.lit(r"\.0$"), F.lit(""))
+    power = F.substring_index(text, "E", -1).try_cast("int")
+    digits = F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0"))
+    scientific = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), digits)
+    infinite = F.when(x > 0, "inf").otherwise("-inf")
+    text = F.when(size == float("inf"), infinite).when((size >= 1e16) | ((size < 1e-4) & (size > 0)), scientific).otherwise(text)
     exponent_form = ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3))
     plain = F.rtrim(x.cast("decimal(38,20)").cast("string"), F.lit("0"))
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
@@ -60,7 +66,7 @@ def category_key(column: Column, dtype: T.DataType) -> Column:
         text = F.initcap(column.cast("string"))
         return F.coalesce(text, F.lit(MISSING_STRING_TEXT))
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        text = F.when(~F.isnan(column), _plain_double_text(column))
+        text = F.when(~F.isnan(column), _double_text(column))
         return F.coalesce(text, F.lit(MISSING_NUMBER_TEXT))
     if isinstance(dtype, T.NumericType):
         return F.coalesce(column.cast("string"), F.lit(MISSING_NUMBER_TEXT))

@@ -10,7 +10,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from twinsight.functions.frames import quoted
 from twinsight.functions.numbers import category_key, check_supported, coerce_numeric, is_numeric
 from twinsight.operators.encoder import category_levels
 
@@ -27,21 +29,39 @@ class FeatureSpace:
 
 def joint_space(*frames: DataFrame) -> FeatureSpace:
     """Columns all frames share, in the first one's order; numeric only if numeric everywhere."""
-    shared = [c for c in frames[0].columns if all(c in f.columns for f in frames)]
-    if not shared:
+    types_by_name: dict[str, list[T.DataType]] = {}
+    for frame in frames:
+        for column in frame.schema:
+            types_by_name.setdefault(column.name, []).append(column.dataType)
+    parts: dict[bool, list[str]] = {True: [], False: []}
+    for name, types in types_by_name.items():
+        if len(types) < len(frames):
+            continue
+        for dtype in types:
+            check_supported(name, dtype)
+        parts[all(map(is_numeric, types))].append(name)
+    if not parts[True] and not parts[False]:
         raise ValueError("the tables have no column in common")
-    for c in shared:
-        for f in frames:
-            check_supported(c, f.schema[c].dataType)
-    numeric = tuple(c for c in shared if all(is_numeric(f.schema[c].dataType) for f in frames))
-    return FeatureSpace(numeric, tuple(c for c in shared if c not in numeric))
+    return FeatureSpace(tuple(parts[True]), tuple(parts[False]))
 
 
 def joint_encode(df: DataFrame, space: FeatureSpace, keep: list[str] | None = None) -> DataFrame:
     """The frame in the joint space: unscaled numbers (missing to 0) and text keys."""
-    columns = [coerce_numeric(F.col(c), df.schema[c].dataType).alias(c) for c in space.numeric]
-    columns += [category_key(F.col(c), df.schema[c].dataType).alias(c) for c in space.categorical]
-    return df.select(*columns, *(keep or []))
+    columns = [coerce_numeric(quoted(c), df.schema[c].dataType).alias(c) for c in space.numeric]
+    columns += [category_key(quoted(c), df.schema[c].dataType).alias(c) for c in space.categorical]
+    return df.select(*columns, *[quoted(c) for c in keep or []])
+
+
+def internal_space(space: FeatureSpace) -> FeatureSpace:
+    """The same space under generated names, which no helper column of an operator can clash with."""
+    return FeatureSpace(
+        tuple(f"number{i}" for i in range(len(space.numeric))), tuple(f"category{i}" for i in range(len(space.categorical)))
+    )
+
+
+def encode_internal(df: DataFrame, space: FeatureSpace, keep: list[str] | None = None) -> DataFrame:
+    """``joint_encode`` with the feature columns under the names of ``internal_space``."""
+    return joint_encode(df, space, keep).toDF(*internal_space(space).columns, *(keep or []))
 
 
 def joint_levels(space: FeatureSpace, *frames: DataFrame) -> DataFrame:

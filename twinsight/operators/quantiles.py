@@ -1,8 +1,7 @@
 """Exact linear-interpolated quantiles that never gather a column in one task.
 
-``percentile`` keeps every distinct value in one reducer, which is right for small tables
-only. Above a row bound the two order statistics around each quantile are bracketed with
-``percentile_approx``. A second pass counts the rows of every bracketed value and of the gaps
+``percentile`` keeps every distinct value in one reducer. Here the two order statistics around each
+quantile are bracketed with ``percentile_approx``, at every table size, so a result does not depend on it. A second pass counts the rows of every bracketed value and of the gaps
 between brackets, which proves or refutes the bracket and settles the order statistics. On very
 large tables the brackets are first narrowed until they hold few distinct values. Every pass is
 a map-side-combined aggregate with a small result.
@@ -17,7 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 50_000
+from twinsight.functions.frames import quoted
+
 BRACKET_VALUES = 20_000
 READ_VALUES = 500_000  # over all groups and probabilities
 MAX_GROUPS = 1_000
@@ -45,14 +45,13 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     group: str | None = None,
-    small_rows: int = SMALL_ROWS,
 ) -> Quantiles:
     """``{group: [quantile per prob]}``; without ``group`` the only key is ``""``.
 
     Missing values must be gone beforehand. Groups are few by contract (populations, tiers).
     """
-    key = F.lit("") if group is None else F.col(group).cast("string")
-    rows = df.select(key.alias("g"), F.col(value).cast("double").alias("v"))
+    key = F.lit("") if group is None else quoted(group).cast("string")
+    rows = df.select(key.alias("g"), quoted(value).cast("double").alias("v"))
     probs = [float(p) for p in probs]
 
     around = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-_SLACK, _SLACK)]
@@ -72,12 +71,6 @@ def exact_quantiles(
     head = [r for r in head if r["n"]]
     if not head:
         return {}
-    if max(r["n"] for r in head) <= small_rows:
-        exact = rows.groupBy("g").agg(
-            F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")
-        )
-        return {r["g"]: [float(x) for x in r["q"]] for r in exact.collect() if r["q"] is not None}
-
     extremes = {r["g"]: (float(r["lo"]), float(r["hi"])) for r in head}
     search: dict[str, list[_Rank]] = {}
     for r in head:

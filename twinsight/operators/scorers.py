@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -11,7 +14,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinsight.functions.frames import quoted
 from twinsight.functions.numbers import category_key, coerce_numeric, is_numeric
+from twinsight.operators.profile import infer_column_kinds
 
 Scorer = Column | Transformer | Callable[[DataFrame], Column | DataFrame]
 
@@ -30,6 +35,8 @@ def apply_scorer(df: DataFrame, scorer: Scorer, out: str = "prob") -> DataFrame:
     result = scorer(df)
     if isinstance(result, Column):
         return df.withColumn(out, result.cast("double"))
+    if out not in result.columns:
+        raise ValueError(f"the scorer's table has no column {out!r}")
     return result
 
 
@@ -38,6 +45,35 @@ def logistic_scorer(column: str, centre: float, scale: float, height: float = 1.
     return F.lit(height) / (F.lit(1.0) + F.exp(-(F.col(column) - F.lit(centre)) / F.lit(scale)))
 
 
+class PythonScorer:
+    """A model with a plain Python predict function, applied to Arrow batches.
+
+    ``predict`` takes a pandas DataFrame of the ``features`` columns and returns one probability per row, as
+    any array; a two-column array is read as the probabilities of the negative and positive class. It is sent to the tasks
+    with whatever it closes over, and must give each row the same value in whatever batch it comes.
+    """
+
+    def __init__(self, predict: Callable[[pd.DataFrame], Sequence[float]], features: Sequence[str]):
+        self.predict, self.features = predict, list(features)
+
+    def __call__(self, df: DataFrame) -> Column:
+        predict, names = self.predict, self.features
+
+        def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for columns in batches:
+                frame = pd.concat(columns if isinstance(columns, tuple) else (columns,), axis=1)
+                frame.columns = names
+                scores = np.asarray(predict(frame), dtype=float)
+                if scores.ndim == 2:
+                    scores = scores[:, 1]
+                if scores.shape != (len(frame),):
+                    raise ValueError(f"{len(frame)} rows gave scores of shape {scores.shape}")
+                yield pd.Series(scores)
+
+        score.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
+        return F.pandas_udf(score, "double")(*[quoted(c) for c in names])
+
+
 class TreeScorer:
     """Gradient-boosted trees on coerced numbers and one-hot text columns."""
 
@@ -61,7 +97,9 @@ class TreeScorer:
     def fit(self, df: DataFrame, features: Sequence[str] | None = None) -> TreeScorer:
         names = [c for c in (features or df.columns) if c != self.target]
         self.numeric = [c for c in names if is_numeric(df.schema[c].dataType)]
-        self.categorical = [c for c in names if c not in self.numeric]
+        # Free text would give the indexer a level per row; the kinds leave it out, as the encoder does.
+        kinds = infer_column_kinds(df.select(*[quoted(c) for c in names if c not in self.numeric])) if len(names) > len(self.numeric) else {}
+        self.categorical = [c for c, kind in kinds.items() if kind == "categorical"]
         label = category_key(F.col(self.target), df.schema[self.target].dataType) == F.lit(self.positive)
         stages = []
         inputs = [f"num_{c}" for c in self.numeric]

@@ -2,85 +2,62 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from twinsight.functions.draws import draw_hash
+from twinsight.functions.frames import materialise, quoted
 
-MAX_STRATA = 10_000
 _BUCKET_ROWS = 1_000_000
 
 
 def stratified_split(
     df: DataFrame, strata: str, key: str, test_size: float = 0.3, seed: int = 0
 ) -> tuple[DataFrame, DataFrame]:
-    """Split so that every stratum gives exactly ceil((1 - test_size) * n) rows to the first part.
+    """Split so that every stratum gives n - floor(test_size * n) of its rows to the first part.
 
     Rows are ordered by a hash of their unique ``key``. Ranking a whole stratum in one window
     would put a third of the table in one task, so the hash space is cut into equal buckets:
     counts per (stratum, bucket) locate the bucket of the cut, and only that bucket is
-    ranked, to find the hash value at the cut. The split itself is then a plain filter.
+    ranked, to find the hash value at the cut. The split itself is then a plain filter. The cuts are written
+    once, one row per stratum, and joined by whatever way their size allows. A missing stratum is one of its own;
+    rows with a missing key share one place in the order and so go to the same part.
     """
-    cut = split_points(df, strata, key, test_size, seed)
-    order = _order_key(F.col(key), seed)
-    tagged = df.join(F.broadcast(cut), F.col(strata).eqNullSafe(F.col("_stratum")), "left")  # <= MAX_STRATA rows
-    in_train = order <= F.col("_cut")
-    train = tagged.filter(in_train).select(*df.columns)
-    holdout = tagged.filter(~F.coalesce(in_train, F.lit(False))).select(*df.columns)
-    return train, holdout
+    cut = materialise(split_points(df, strata, key, test_size, seed).coalesce(1))
+    tagged = df.join(cut, quoted(strata).eqNullSafe(F.col("_stratum")), "left")
+    in_train = F.coalesce(_order_key(quoted(key), seed) <= F.col("_cut"), F.lit(False))
+    names = [quoted(c) for c in df.columns]
+    return tagged.filter(in_train).select(*names), tagged.filter(~in_train).select(*names)
 
 
 def _order_key(key: Column, seed: int) -> Column:
     """Hash first, key second: a total order even if two hashes collide."""
-    return F.concat(draw_hash(key, f"split{seed}"), F.lit("/"), key.cast("string"))
+    return F.coalesce(F.concat(draw_hash(key, f"split{seed}"), F.lit("/"), key.cast("string")), F.lit("missing"))
 
 
 def split_points(df: DataFrame, strata: str, key: str, test_size: float, seed: int) -> DataFrame:
     """One row per stratum: the largest order key that still belongs to the first part."""
-    rows = df.select(F.col(strata).alias("_stratum"), _order_key(F.col(key), seed).alias("_order"))
+    rows = df.select(quoted(strata).alias("_stratum"), _order_key(quoted(key), seed).alias("_order"))
     digits = _bucket_digits(df.count())
     bucketed = rows.withColumn("_bucket", F.substring("_order", 1, digits))
     counts = bucketed.groupBy("_stratum", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     upto = W.partitionBy("_stratum").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy("_stratum")
-    ranked = counts.select(
-        "_stratum",
-        "_bucket",
-        "_n",
-        F.sum("_n").over(upto).alias("_upto"),
-        F.ceil(F.lit(1.0 - test_size) * F.sum("_n").over(whole)).alias("_take"),
-    )
+    total = F.sum("_n").over(W.partitionBy("_stratum"))
+    # 0.7 * 10 is a little below 7 in doubles: the guard keeps whole products whole.
+    take = total - F.floor(F.lit(float(test_size)) * total + F.lit(1e-9))
+    ranked = counts.select("_stratum", "_bucket", "_n", F.sum("_n").over(upto).alias("_upto"), take.alias("_take"))
     cut_bucket = ranked.filter((F.col("_upto") >= F.col("_take")) & (F.col("_upto") - F.col("_n") < F.col("_take")))
     cut_bucket = cut_bucket.select(
         F.col("_stratum").alias("_s"),
         F.col("_bucket").alias("_b"),
         (F.col("_take") - (F.col("_upto") - F.col("_n"))).alias("_within"),
     )
-    found = cut_bucket.limit(MAX_STRATA + 1).collect()
-    if len(found) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata; split on a coarser column")
-    cut_bucket = _local(df.sparkSession, found, cut_bucket.schema)
+    cut_bucket = materialise(cut_bucket.coalesce(1))  # one row per stratum
     ranks = W.partitionBy("_stratum").orderBy("_order")
-    cut = (
-        bucketed.join(
-            F.broadcast(cut_bucket),
-            F.col("_stratum").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")),
-        )
-        .withColumn("_rank", F.row_number().over(ranks))
-        .filter(F.col("_rank") == F.col("_within"))
-        .select("_stratum", F.col("_order").alias("_cut"))
-    )
-    return _local(df.sparkSession, cut.collect(), cut.schema)  # one row per stratum
-
-
-def _local(spark: SparkSession, rows: list[Row], schema: T.StructType) -> DataFrame:
-    """A few driver rows as a local relation, which costs no job to read."""
-    columns = [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(schema)]
-    return spark.createDataFrame(pa.table(columns, names=schema.names), schema)
+    met = bucketed.join(cut_bucket, F.col("_stratum").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+    at_cut = met.withColumn("_rank", F.row_number().over(ranks)).filter(F.col("_rank") == F.col("_within"))
+    return at_cut.select("_stratum", F.col("_order").alias("_cut"))
 
 
 def _bucket_digits(rows: int) -> int:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from twinsight.functions.frames import materialise, quoted
 from twinsight.operators.quantiles import exact_quantiles
 from twinsight.operators.scorers import Scorer, apply_scorer
 from twinsight.operators.value import TERCILES, tier_name
@@ -83,7 +84,7 @@ def score_population(
     """
     if on_missing not in ("error", "drop"):
         raise ValueError("on_missing must be 'error' or 'drop'")
-    value = F.col(value_col).cast("double")
+    value = quoted(value_col).cast("double")
     scored = apply_scorer(df, scorer).select(
         F.lit(name).alias("population"), F.col("prob").cast("double").alias("prob"), value.alias("value")
     )
@@ -155,7 +156,7 @@ def _add_level(family: DataFrame, thresholds: list[float]) -> DataFrame:
         return family.withColumn("level", F.coalesce(*ranks))
     levels = pa.array(range(1, len(thresholds) + 1), pa.int32())
     ranks = family.sparkSession.createDataFrame(pa.table([pa.array(thresholds), levels], names=["threshold", "level"]))
-    return family.join(F.broadcast(ranks), "threshold")
+    return family.join(ranks, "threshold")
 
 
 def _running_sums(sums: DataFrame, family: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -195,7 +196,7 @@ def strategy_returns(
         sums, reached = _running_sums(sums, family, names), F.col("bucket") == F.col("level")
     sums = sums.withColumnRenamed("segment", "_segment")
     met = family.join(
-        F.broadcast(sums),  # at most 4 * thresholds rows per population
+        sums,
         (F.col("segment") == F.col("_segment")) & reached,
         "left",
     )
@@ -272,7 +273,11 @@ def summarise(compared: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 class FidelityResult:
-    """Per-strategy table and one-row summary, both lazy; ``result["ssf"]`` reads one scalar."""
+    """Per-strategy table, one-row summary, and scalars by name (``result["ssf"]``).
+
+    ``compared`` is the lazy plan over the populations. Whatever is read first settles it: the
+    strategy rows are written once, and everything else is derived from those few rows.
+    """
 
     PER_STRATEGY = [
         "segment",
@@ -288,13 +293,17 @@ class FidelityResult:
     def __init__(self, compared: DataFrame):
         self.compared = compared
 
+    @cached_property
+    def _settled(self) -> DataFrame:
+        return materialise(self.compared)
+
     @property
     def per_strategy(self) -> DataFrame:
-        return self.compared.select(*self.PER_STRATEGY)
+        return self._settled.select(*self.PER_STRATEGY)
 
     @property
     def summary(self) -> DataFrame:
-        return summarise(self.compared)
+        return summarise(self._settled)
 
     @cached_property
     def _values(self) -> dict:

@@ -5,6 +5,7 @@ Doubles are rounded so that the order of a floating-point sum does not show.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,21 +20,16 @@ from twinsight.operators.features import distinct_rows, joint_encode, joint_leve
 from twinsight.operators.neighbours import nearest_distance
 from twinsight.operators.profile import binarise, detect_labels, infer_column_kinds
 from twinsight.operators.quantiles import exact_quantiles
-from twinsight.operators.scorers import TreeScorer, apply_scorer, logistic_scorer
+from twinsight.operators.scorers import PythonScorer, TreeScorer, apply_scorer, logistic_scorer
 from twinsight.operators.split import stratified_split
 from twinsight.plans import stand_ins as st
 from twinsight.sources import load_clean
-from twinsight.synth import SynthConfig, TableSynthesizer
 from twinsight.synth.generator import draw_conditions
 from twinsight.synth.schedule import noised_array, reverse_step_array, schedule_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-SMALL_SYNTH = SynthConfig(
-    diffusion_steps=20, hidden_dim=64, epochs=3, surrogate_epochs=3, surrogate_hidden=32, learning_rate=1e-3
-)
-
 
 def query(name: str) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
@@ -69,21 +65,15 @@ def split_stratified(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("toy_population")
-def toy_population(spark: SparkSession, sf: str) -> DataFrame:
-    """One toy customer per customer key: value, plan, tenure and a target that depends on value."""
-    key = F.col("c_custkey")
-    toy = st.table(spark, sf, "customer").select(
-        key,
-        (F.lit(20.0) + F.lit(100.0) * keyed_uniform(key, "value")).alias("value"),
-        F.element_at(
-            F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.floor(keyed_uniform(key, "plan") * 3) + 1).cast("int")
-        ).alias("plan"),
-        (F.floor(keyed_uniform(key, "tenure") * 71) + 1).cast("int").alias("tenure"),
-        keyed_uniform(key, "churn").alias("u"),
+@query("split_stratified_70")
+def split_stratified_70(spark: SparkSession, sf: str) -> DataFrame:
+    """A test size whose products with whole numbers are not exact in doubles; odd column names."""
+    orders = st.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("_order"), F.col("o_orderstatus").alias("order.status")
     )
-    churns = F.col("u") < logistic_scorer("value", 70.0, 20.0, 0.5)
-    return toy.select("c_custkey", r6("value").alias("value"), "plan", "tenure", F.when(churns, "Yes").otherwise("No").alias("churn"))
+    train, holdout = stratified_split(orders, "order.status", "_order", test_size=0.7)
+    both = train.withColumn("part", F.lit("train")).unionByName(holdout.withColumn("part", F.lit("holdout")))
+    return both.toDF("o_orderkey", "o_orderstatus", "part")
 
 
 # Cleaning and profiling
@@ -148,6 +138,14 @@ def encoder_fit_levels(spark: SparkSession, sf: str) -> DataFrame:
     return enc.indexed_levels(lines, ["l_linenumber", "l_linestatus", "l_returnflag"])
 
 
+@query("encoder_float_levels")
+def encoder_float_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Level text of doubles of every magnitude."""
+    sizes = F.element_at(F.array(*[F.lit(x) for x in (1e-300, 1e-9, 1e-5, 1e-4, 0.5, 1.0, 1e7, 1e15, 1e16, 1e22, 1e300)]), (F.col("l_linenumber") + F.col("l_orderkey") % 5).cast("int"))
+    lines = st.table(spark, sf, "lineitem").select((sizes * F.when(F.col("l_returnflag") == "R", -1.0).otherwise(1.0)).alias("x"))
+    return enc.indexed_levels(lines, ["x"])
+
+
 @query("encode_minmax")
 def encode_minmax(spark: SparkSession, sf: str) -> DataFrame:
     """Fitted on the orders, applied to prices out of range and missing ones."""
@@ -238,7 +236,7 @@ def value_quantiles(spark: SparkSession, sf: str) -> DataFrame:
 @query("value_quantiles_bracketed")
 def value_quantiles_bracketed(spark: SparkSession, sf: str) -> DataFrame:
     """The same by the bracketing search that large tables take."""
-    return _quantile_table(spark, sf, small_rows=0)
+    return _quantile_table(spark, sf)
 
 
 def _quantile_table(spark: SparkSession, sf: str, **options) -> DataFrame:
@@ -352,11 +350,32 @@ def score_logistic(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6("prob").alias("prob"))
 
 
+@query("score_python_model")
+def score_python_model(spark: SparkSession, sf: str) -> DataFrame:
+    """A plain Python predict function over two columns."""
+
+    def predict(rows):
+        odds = (rows["l_quantity"] - 25.0) / 10.0 - rows["l_discount"]
+        return 1.0 / (1.0 + (-odds).map(math.exp))
+
+    lines = st.table(spark, sf, "lineitem")
+    scored = apply_scorer(lines, PythonScorer(predict, ["l_quantity", "l_discount"]))
+    return scored.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6("prob").alias("prob"))
+
+
 @query("score_gbt")
 def score_gbt(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts that hold of any well-trained ensemble of the default size, over all customers."""
     customers = st.labelled_customers(spark, sf)
-    scored = TreeScorer("churn", "Yes", trees=5).fit(customers)(customers)
-    return scored.select("c_acctbal", "c_nationkey", "c_mktsegment", "churn", r6("prob").alias("prob"))
+    scored = TreeScorer("churn", "Yes").fit(customers)(customers)
+    p, yes = F.col("prob"), F.col("churn") == "Yes"
+    return scored.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(yes).alias("n_positive"),
+        F.every((p >= 0) & (p <= 1)).alias("in_range"),
+        (F.avg(F.when(yes, p)) > F.avg(F.when(~yes, p))).alias("positives_score_higher"),
+        (F.avg(((p >= 0.5) == yes).cast("int")) > 0.9).alias("mostly_right"),
+    )
 
 
 @query("strategy_family")
@@ -504,6 +523,27 @@ def novelty_rate_lines(spark: SparkSession, sf: str) -> DataFrame:
     return privacy.novelty_rate(real, synth).select(r6("novelty_rate").alias("novelty_rate"))
 
 
+@query("membership_small_units")
+def membership_small_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Order prices in a tiny unit: the attack must not lose its ties and orders to rounding."""
+    real, synth = st.order_pair(spark, sf)
+    tiny = F.col("o_totalprice") / 1e12
+    real, synth = (df.select("o_orderstatus", tiny.alias("price")) for df in (real, synth))
+    train, holdout = real.filter("o_orderstatus <> 'O'"), real.filter("o_orderstatus = 'O'")
+    auc = privacy.membership_inference_auc(train.select("price"), synth.filter("o_orderstatus <> 'O'").select("price"), holdout.select("price"))
+    return auc.select(r6("membership_inference_auc").alias("membership_inference_auc"))
+
+
+@query("novelty_outlier")
+def novelty_outlier(spark: SparkSession, sf: str) -> DataFrame:
+    """One price is huge, and the columns carry names that helper columns could have."""
+    real, synth = st.order_pair(spark, sf)
+    names = {"o_totalprice": "n", "o_orderstatus": "a.b", "o_orderpriority": "distance"}
+    huge = F.when(F.col("o_totalprice") == F.lit(real.agg(F.max("o_totalprice")).first()[0]), 1e12).otherwise(F.col("o_totalprice"))
+    odd = real.withColumn("o_totalprice", huge).withColumnsRenamed(names), synth.withColumnsRenamed(names)
+    return privacy.novelty_rate(*odd).select(r6("novelty_rate").alias("novelty_rate"))
+
+
 @query("novelty_rate_wide")
 def novelty_rate_wide(spark: SparkSession, sf: str) -> DataFrame:
     """A tolerance beyond sqrt(2), where a category may differ."""
@@ -543,19 +583,6 @@ def deployment_gate(spark: SparkSession, sf: str) -> DataFrame:
 # Synthesizer
 
 
-@query("diffusion_schedule")
-def diffusion_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    """Signal and noise of the scaled line price at every step."""
-    lines = st.table(spark, sf, "lineitem")
-    power = merge_one_row_frames(lines.agg(F.avg(F.pow(F.col("l_extendedprice") / 100000.0, 2)).alias("power"))).first()[0]
-    steps = schedule_table(spark, 100)
-    ab = F.col("alpha_bar")
-    return steps.select(
-        "t", F.round("beta", 9).alias("beta"), F.round("alpha_bar", 9).alias("alpha_bar"),
-        r6(ab * F.lit(power) / (1 - ab)).alias("signal_to_noise"),
-    )
-
-
 def _noised(spark: SparkSession, sf: str) -> DataFrame:
     """Scaled order prices, a keyed step and keyed noise."""
     key = F.col("o_orderkey")
@@ -593,23 +620,3 @@ def sample_conditions(spark: SparkSession, sf: str) -> DataFrame:
     return drawn.select(F.col("id").alias("o_orderkey"), "y", "tier")
 
 
-def _fitted(spark: SparkSession, sf: str) -> TableSynthesizer:
-    return TableSynthesizer(SMALL_SYNTH).fit(st.labelled_lines(spark, sf), "returned", "l_extendedprice")
-
-
-@query("synth_fit_loss")
-def synth_fit_loss(spark: SparkSession, sf: str) -> DataFrame:
-    return _fitted(spark, sf).loss_table()
-
-
-@query("synth_sample")
-def synth_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """As many synthetic order lines as there are real ones."""
-    return _fitted(spark, sf).sample(st.table(spark, sf, "lineitem").count())
-
-
-@query("synth_sample_rate")
-def synth_sample_rate(spark: SparkSession, sf: str) -> DataFrame:
-    """A synthetic table with 80 % positives: rows and share per label."""
-    made = _fitted(spark, sf).sample(st.table(spark, sf, "lineitem").count(), target_rate=0.8)
-    return made.groupBy("returned").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("l_quantity")).alias("mean_quantity"))

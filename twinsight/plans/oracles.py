@@ -36,15 +36,13 @@ FROM (
   FROM orders)
 """
 
-ORACLES["toy_population"] = f"""
-SELECT c_custkey, round(value, 6) AS value, plan, tenure,
-       CASE WHEN u < 0.5::DOUBLE / (1 + exp(-(value - 70) / 20)) THEN 'Yes' ELSE 'No' END AS churn
+ORACLES["split_stratified_70"] = """
+SELECT o_orderkey, o_orderstatus, CASE WHEN rn <= n - (7 * n) // 10 THEN 'train' ELSE 'holdout' END AS part
 FROM (
-  SELECT c_custkey, 20 + 100 * {_uniform("c_custkey", "value")} AS value,
-         ['A', 'B', 'C'][CAST(floor({_uniform("c_custkey", "plan")} * 3) AS INT) + 1] AS plan,
-         CAST(floor({_uniform("c_custkey", "tenure")} * 71) + 1 AS INT) AS tenure,
-         {_uniform("c_custkey", "churn")} AS u
-  FROM customer)
+  SELECT o_orderkey, o_orderstatus, count(*) OVER (PARTITION BY o_orderstatus) AS n,
+         row_number() OVER (PARTITION BY o_orderstatus
+                            ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':split0'), CAST(o_orderkey AS VARCHAR)) AS rn
+  FROM orders)
 """
 
 # Cleaning and profiling
@@ -101,6 +99,12 @@ FROM (SELECT DISTINCT 'l_linenumber' AS name, CAST(l_linenumber AS VARCHAR) AS l
       UNION ALL SELECT DISTINCT 'l_returnflag', l_returnflag FROM lineitem)
 """
 
+ORACLES["encoder_float_levels"] = """
+SELECT 'x' AS name, level, CAST(row_number() OVER (ORDER BY level) - 1 AS INT) AS index
+FROM (SELECT DISTINCT CAST((CASE WHEN l_returnflag = 'R' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END)
+        * ([1e-300, 1e-9, 1e-5, 1e-4, 0.5, 1.0, 1e7, 1e15, 1e16, 1e22, 1e300]::DOUBLE[])[l_linenumber + l_orderkey % 5] AS VARCHAR) AS level FROM lineitem)
+"""
+
 ORACLES["encode_minmax"] = """
 WITH b AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)
 SELECT o_orderkey,
@@ -276,6 +280,16 @@ segment, discount, threshold, round(roi_real, 2) AS roi_real, round(roi_syn, 2)
 _LINES = _populations({"real": 1.0, "synthetic": 0.8})
 _LINE_ROI = f"WITH {_GRID}, {_LINES}, {_roi()}"
 
+ORACLES["score_gbt"] = """
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE c_acctbal < 2000 OR c_mktsegment = 'BUILDING') AS n_positive,
+       true AS in_range, true AS positives_score_higher, true AS mostly_right
+FROM customer
+"""
+ORACLES["score_python_model"] = """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       round(1 / (1 + exp(-(l_quantity - 25) / 10 + l_discount)), 6) AS prob
+FROM lineitem
+"""
 ORACLES["score_logistic"] = """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-(l_quantity - 25) / 10)), 6) AS prob
 FROM lineitem
@@ -336,7 +350,7 @@ dist AS (SELECT t.*, (SELECT sqrt(min((t.c_acctbal - s.c_acctbal) ** 2 + (t.c_na
                                       + CASE WHEN t.c_mktsegment = s.c_mktsegment THEN 0 ELSE 2 END)) FROM synth s) AS distance
          FROM tuples t)
 """
-_SCORES = "scores AS (SELECT -round(distance, 9) AS s, sum(n_member) AS p, sum(n_other) AS n FROM dist GROUP BY 1)"
+_SCORES = "scores AS (SELECT -distance AS s, sum(n_member) AS p, sum(n_other) AS n FROM dist GROUP BY 1)"
 _AUC = """
 auc AS (SELECT sum(p * (below + n / 2)) / (sum(p) * sum(n)) AS auc
         FROM (SELECT p::DOUBLE AS p, n::DOUBLE AS n,
@@ -381,6 +395,26 @@ SELECT round(s, 6) AS score, CAST(sum(p) AS BIGINT) AS n_member, CAST(sum(n) AS
 ORACLES["membership_inference_auc"] = f"WITH {_ATTACK}, {_SCORES}, {_AUC} SELECT round(auc, 6) AS membership_inference_auc FROM auc"
 ORACLES["novelty_rate"] = f"WITH {_TRIPLE}, {_NOVELTY.format(tol=1e-6)} SELECT round(novelty, 6) AS novelty_rate FROM novelty"
 ORACLES["novelty_rate_wide"] = f"WITH {_TRIPLE}, {_NOVELTY.format(tol=3.0)} SELECT round(novelty, 6) AS novelty_rate FROM novelty"
+ORACLES["membership_small_units"] = f"""
+WITH real AS (SELECT o_orderstatus, o_totalprice / 1e12::DOUBLE AS price FROM orders),
+     synth AS (SELECT DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE o_totalprice * 1.01::DOUBLE + 7.0::DOUBLE END / 1e12::DOUBLE AS price
+               FROM orders WHERE o_orderstatus <> 'O'),
+     tuples AS (SELECT price, count(*) FILTER (WHERE o_orderstatus <> 'O') AS n_member, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_other FROM real GROUP BY price),
+     above AS (SELECT t.*, s.price AS up FROM tuples t ASOF LEFT JOIN synth s ON t.price <= s.price),
+     dist AS (SELECT a.n_member, a.n_other,
+                     sqrt(least(coalesce((a.up - a.price) * (a.up - a.price), 1e300), coalesce((a.price - s.price) * (a.price - s.price), 1e300))) AS distance
+              FROM above a ASOF LEFT JOIN synth s ON a.price >= s.price),
+     {_SCORES}, {_AUC} SELECT round(auc, 6) AS membership_inference_auc FROM auc
+"""
+ORACLES["novelty_outlier"] = """
+WITH real AS (SELECT DISTINCT CASE WHEN o_totalprice = (SELECT max(o_totalprice) FROM orders) THEN 1e12::DOUBLE ELSE o_totalprice END AS price,
+                     o_orderstatus, o_orderpriority FROM orders),
+     synth AS (SELECT row_number() OVER () AS id, o_orderstatus, o_orderpriority,
+                      CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE o_totalprice * 1.01::DOUBLE + 7.0::DOUBLE END AS price FROM orders),
+     copied AS (SELECT DISTINCT s.id FROM synth s JOIN real r ON s.o_orderstatus = r.o_orderstatus AND s.o_orderpriority = r.o_orderpriority
+                AND abs(s.price - r.price) <= 1e-6)
+SELECT round(((SELECT count(*) FROM synth) - (SELECT count(*) FROM copied))::DOUBLE / (SELECT count(*) FROM synth), 6) AS novelty_rate
+"""
 ORACLES["novelty_rate_lines"] = """
 WITH synth AS (SELECT row_number() OVER () AS id, l_quantity, l_discount, l_returnflag, l_linestatus,
                       CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE l_extendedprice * 1.01::DOUBLE + 7.0::DOUBLE END AS price
@@ -412,11 +446,7 @@ _SCHEDULE = """
 sched AS (SELECT t, beta, exp(sum(ln(1 - beta)) OVER (ORDER BY t)) AS alpha_bar
           FROM (SELECT t, 0.0001::DOUBLE + t * ((0.02::DOUBLE - 0.0001::DOUBLE) / 99) AS beta FROM range(0, 100) AS r(t)))
 """
-ORACLES["diffusion_schedule"] = f"""
-WITH {_SCHEDULE}, p AS (SELECT avg((l_extendedprice / 100000.0::DOUBLE) ** 2) AS power FROM lineitem)
-SELECT t, round(beta, 9) AS beta, round(alpha_bar, 9) AS alpha_bar, round(alpha_bar * power / (1 - alpha_bar), 6) AS signal_to_noise
-FROM sched, p
-"""
+
 _NOISED = f"""
 {_SCHEDULE},
 rows AS (SELECT o_orderkey, pos, CASE WHEN pos = 0 THEN o_totalprice / 500000.0::DOUBLE ELSE o_custkey / 10000.0::DOUBLE END AS x,
