@@ -113,7 +113,7 @@ def test_scorer_forms_agree(spark):
 def test_one_aggregate_over_the_customers(spark):
     """However many strategies: one pass over each population behind one small shuffle."""
     df = spark.createDataFrame(population(12))
-    plan = ssf_score(df, df, F.col("prob"), "value").per_strategy._jdf.queryExecution().executedPlan().toString()
+    plan = ssf_score(df, df, F.col("prob"), "value").compared._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(population") == 1
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
