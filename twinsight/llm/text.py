@@ -43,12 +43,14 @@ def texts(column) -> list[bytes | None]:
 def worker_state(name: str, build: Callable[[], Any], version: str = "") -> Any:
     """Something costly that one Python worker builds once and keeps between its tasks.
 
-    Only the latest version of each name is kept.
+    It keeps one thing at a time, that of the operator it works for, so operators that follow each other in
+    an application do not add up.
     """
     store = sys.modules.setdefault("_twinsight_worker_state", types.ModuleType("_twinsight_worker_state")).__dict__
-    if name not in store or store[name][0] != version:
-        store[name] = (version, build())
-    return store[name][1]
+    if store.get("key") != (name, version):
+        store.pop("state", None)
+        store["key"], store["state"] = (name, version), build()
+    return store["state"]
 
 
 def sliced(batch, rows: int = 500):
