@@ -27,8 +27,8 @@ from twinsight.llm.text import only, sliced, texts
 COORDINATES, MATCHES = 40, 22
 PREFIX = COORDINATES - MATCHES + 1
 #: One-bit minima that two members of a posting compare, and how many may differ. At Jaccard 0.85 each differs with
-#: probability 0.075; more than 118 of 1024 do with probability below 3e-6.
-BITS, DIFFERENT_BITS = 1024, 118
+#: probability 0.075; more than 214 of 2048 do with probability below 3e-6.
+BITS, DIFFERENT_BITS = 2048, 214
 
 _NUMBERS = np.arange(1, 2 * COORDINATES + 1, dtype="uint64")
 _FLIPS, _FACTORS = mixed(_NUMBERS[:COORDINATES]), mixed(_NUMBERS[COORDINATES:]) | np.uint64(1)
