@@ -147,6 +147,26 @@ def test_restoration(characters, hidden, plain):
     assert characters.restore(hidden).replace("thee", "the") in (plain.replace("thee", "the"), plain)
 
 
+@pytest.fixture(scope="module")
+def rude():
+    words = "you are a stupid idiot and an ass they said to the pig that the cat sat on all day with us".split()
+    text = " ".join(words * 50)
+    s = np.array([0, 0, *[toxicity.symbol_ids()[ord(c)] for c in text], 0])
+    counts = np.zeros((64, 64, 64))
+    np.add.at(counts, (np.where(s[1:-1] == 0, 0, s[:-2]), s[1:-1], s[2:]), 1)
+    return toxicity.CharacterModel(counts)
+
+
+@pytest.mark.parametrize("hidden, plain", [("$tupid", "stupid"), ("!diot", "idiot"), ("a$$", "ass"), ("455", "ass"), ("4$$", "ass"), ("@$$", "ass"), ("stupid!", "stupid"), ("(cat", "cat"), ("ass!!", "ass"), ("$tup1d!", "stupid")])
+def test_disguises_at_edges_and_throughout(rude, hidden, plain):
+    assert rude.restore(hidden) == plain
+
+
+@pytest.mark.parametrize("word, plain", [("word!", "word"), ("(the", "the"), ("2019", "2019"), ("$1999", "1999"), ("12:30", "12:30"), ("|", ""), ("42", "42")])
+def test_marks_and_numbers_stay_what_they_are(characters, word, plain):
+    assert characters.restore(word) == plain or len(plain) < 3 > len(characters.restore(word))
+
+
 def test_spaced_letters_are_joined():
     assert toxicity.plain_words(b"you s t u p i d one") == {b"you", b"stupid", b"one"}
     assert toxicity.plain_words(b"a b cd") == {b"a", b"b", b"cd"}

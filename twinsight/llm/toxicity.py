@@ -1,8 +1,8 @@
 """Toxicity of texts that hide their words: noisy-channel restoration, then a learned lexicon.
 
 A character model of the whole corpus (trigrams) is the language model, a table of common disguises the
-channel. A word that could be disguised (digits or symbols among its letters, long repetitions, single
-spaced letters) is a lattice of readings, and Viterbi finds the likeliest one. Distinct restored
+channel. A word that could be disguised (digits or symbols in it, long repetitions) is a lattice of readings, and
+Viterbi finds the likeliest one; single spaced letters are joined first. Distinct restored
 words are scored with the log-odds of words and word beginnings and endings that are significantly
 more frequent in documents labelled toxic, and a logistic curve turns the sum into a probability.
 """
@@ -38,7 +38,12 @@ DISGUISES = {
 }
 # Costs of the channel in nats: reading a symbol as a letter, dropping it (digits stay instead), shortening a repetition.
 READ, DROP, SHORTEN = 1.0, 2.5, 0.7
-_EDGES = ".,;:!?\"'()[]{}<>*#%&~`_-+=/\\|$"
+# A digit of a number that is meant as one (ln 10). A mark at the edge of a word: read as a letter besides READ; dropped where
+# it usually stands; dropped elsewhere.
+NUMBER, EDGE_READ, EDGE_DROP, STRANGE = 2.3, 0.5, 1.0, 6.0
+#: Marks around a word that cannot be letters. Marks that can are usual before a word, after one, as money beside a digit.
+_EDGES = ".,;:?\"')[]{}>*#%&~`_-=/\\"
+_BEFORE, _AFTER, _MONEY = "(<|+", "!|+", "$€£"
 
 #: Symbols of the character model: 0 edge of a word, 1 anything else, then a to z and the Latin-1 small letters.
 SYMBOLS = 64
@@ -87,32 +92,72 @@ class CharacterModel:
         twos = (twos + strength * ones) / (twos.sum(axis=1, keepdims=True) + strength)
         threes = (counts + strength * twos[None]) / (counts.sum(axis=2, keepdims=True) + strength)
         self.cost = -np.log(threes)
+        self.costs = self.cost.ravel().tolist()
         self.ids = symbol_ids().tolist()
 
-    def id(self, letter: str) -> int:
-        return self.ids[ord(letter)] if ord(letter) < 256 else 1
-
     def restore(self, word: str) -> str:
         """The likeliest reading of a lower-case word."""
         core = word.strip(_EDGES)
         runs = [(c, len(list(same))) for c, same in groupby(core)]
-        if core.isalpha() and all(n < 3 for _, n in runs) or not any(c.isalpha() for c in core):
+        if core.isalpha() and all(n < 3 for _, n in runs):
             return core
+        readings = [self._likeliest(self._lattice(core))]
+        if not any(c.isalpha() for c in core) and any(c.isdigit() for c in core):  # or a plain number
+            number = word.strip(_EDGES + "".join(DISGUISES.keys() - set("0123456789")))
+            first, last = self._ends(runs)
+            price = sum(self._edge_price(runs, i) for i in range(len(runs)) if not first <= i <= last)
+            readings.append(self._likeliest([*[[(c, NUMBER if c.isdigit() else 0.0)] for c in number], [("", price)]]))
+        return min(readings)[1]
+
+    def _likeliest(self, lattice: list[list[tuple[str, float]]]) -> tuple[float, str]:
+        """Cost and text of the best way through a lattice."""
+        costs, ids = self.costs, self.ids
         states = {(0, 0): (0.0, "")}
-        for letter, n in runs:
-            options = self._readings(letter, n)
+        for options in lattice:
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (cost, text) in states.items():
                 for reading, price in options:
                     x, y, total = a, b, cost + price
                     for c in reading:
-                        z = self.id(c)
-                        total += self.cost[x, y, z]
+                        point = ord(c)
+                        z = ids[point] if point < 256 else 1
+                        total += costs[x << 12 | y << 6 | z]
                         x, y = y, z
-                    if (x, y) not in after or total < after[x, y][0]:
-                        after[x, y] = (total, text + reading)
+                    at = (x, y)
+                    if at not in after or total < after[at][0]:
+                        after[at] = (total, text + reading)
             states = after
-        return min((cost + self.cost[a, b, 0], text) for (a, b), (cost, text) in states.items())[1]
+        return min((cost + costs[a << 12 | b << 6], text) for (a, b), (cost, text) in states.items())
+
+    def _lattice(self, core: str) -> list[list[tuple[str, float]]]:
+        """The readings of each run of a character in a word."""
+        if core.isalpha():
+            return [self._readings(c, len(list(same))) for c, same in groupby(core)]
+        runs = [(c, len(list(same))) for c, same in groupby(core)]
+        first, last = self._ends(runs)
+        lettered, lattice = any(c.isalpha() for c in core), []
+        for i, (letter, n) in enumerate(runs):
+            options = self._readings(letter, n)
+            if not first <= i <= last:
+                options = [*[(text, cost + EDGE_READ) for text, cost in options if text], ("", self._edge_price(runs, i))]
+            elif letter.isdigit() and not lettered and letter in DISGUISES:
+                options = options[:-1]  # a number as such is a reading of its own
+            lattice.append(options)
+        return lattice
+
+    @staticmethod
+    def _ends(runs: list[tuple[str, int]]) -> tuple[int, int]:
+        """The first and the last run that are not marks at an edge."""
+        inside = [i for i, (c, _) in enumerate(runs) if c.isalnum()]
+        return (inside[0], inside[-1]) if inside else (len(runs), -1)
+
+    @staticmethod
+    def _edge_price(runs: list[tuple[str, int]], i: int) -> float:
+        """What it costs to drop a mark before or after a word."""
+        (letter, _), first = runs[i], CharacterModel._ends(runs)[0]
+        beside = i + 1 if i < first else i - 1
+        money = letter in _MONEY and 0 <= beside < len(runs) and runs[beside][0].isdigit() and (i < first or letter != "$")
+        return EDGE_DROP if money or letter in (_BEFORE if i < first else _AFTER) or letter not in DISGUISES else STRANGE
 
     @staticmethod
     def _readings(letter: str, n: int) -> list[tuple[str, float]]:
@@ -122,7 +167,7 @@ class CharacterModel:
             return [(letter * 2, 0.0 if n == 2 else SHORTEN), (letter, SHORTEN)]
         stands_for = DISGUISES.get(letter, "")
         read = [(x, READ + (SHORTEN if n > 1 else 0.0)) for x in stands_for]
-        read += [(x * 2, READ + SHORTEN) for x in stands_for if n > 1]
+        read += [(x * 2, READ + (SHORTEN if n > 2 else 0.0)) for x in stands_for if n > 1]
         if letter.isdigit():
             return [*read, (letter * n, READ + DROP)]
         return [*read, ("", DROP / n)]
