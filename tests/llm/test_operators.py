@@ -167,6 +167,20 @@ def test_marks_and_numbers_stay_what_they_are(characters, word, plain):
     assert characters.restore(word) == plain or len(plain) < 3 > len(characters.restore(word))
 
 
+@pytest.mark.parametrize(
+    "text, words",
+    [("y o u s t u p i d p i g", "you stupid pig"), ("the stu pid cat", "stupid"), ("the i d io t sat", "idiot"), ("s t u p 1 d", "stupid"), ("the $tu pid", "stupid"), ("STUP ID", "stupid")],
+)
+def test_blanks_are_dropped_or_kept_by_the_model(rude, text, words):
+    assert set(words.encode().split()) <= toxicity.Reader(rude)(text.encode())
+
+
+def test_reader_keeps_all_plain_words(rude):
+    for text in (None, b"", b" ", b"one", b"a b cd", b"the cat sat on the pig", "\u6771 \u4eac caf\u00e9".encode(), b"x " * 500):
+        assert toxicity.plain_words(text) <= toxicity.Reader(rude)(text)
+    assert toxicity.Reader(rude)(b"the cat sat on the pig") == {b"the", b"cat", b"sat", b"on", b"pig"}
+
+
 def test_spaced_letters_are_joined():
     assert toxicity.plain_words(b"you s t u p i d one") == {b"you", b"stupid", b"one"}
     assert toxicity.plain_words(b"a b cd") == {b"a", b"b", b"cd"}

@@ -2,7 +2,8 @@
 
 A character model of the whole corpus (trigrams) is the language model, a table of common disguises the
 channel. A word that could be disguised (digits or symbols in it, long repetitions) is a lattice of readings, and
-Viterbi finds the likeliest one; single spaced letters are joined first. Distinct restored
+Viterbi finds the likeliest one. Words whose border the model would rather not see (spaced letters, split words) are
+a lattice too, in which each blank is dropped or kept. Distinct restored
 words are scored with the log-odds of words and word beginnings and endings that are significantly
 more frequent in documents labelled toxic, and a logistic curve turns the sum into a probability.
 """
@@ -39,8 +40,9 @@ DISGUISES = {
 # Costs of the channel in nats: reading a symbol as a letter, dropping it (digits stay instead), shortening a repetition.
 READ, DROP, SHORTEN = 1.0, 2.5, 0.7
 # A digit of a number that is meant as one (ln 10). A mark at the edge of a word: read as a letter besides READ; dropped where
-# it usually stands; dropped elsewhere.
+# it usually stands; dropped elsewhere. A blank: dropped; dropped between single characters; kept between them.
 NUMBER, EDGE_READ, EDGE_DROP, STRANGE = 2.3, 0.5, 1.0, 6.0
+BLANK, JOIN, KEEP = 4.0, 0.2, 1.0
 #: Marks around a word that cannot be letters. Marks that can are usual before a word, after one, as money beside a digit.
 _EDGES = ".,;:?\"')[]{}>*#%&~`_-=/\\"
 _BEFORE, _AFTER, _MONEY = "(<|+", "!|+", "$€£"
@@ -94,6 +96,14 @@ class CharacterModel:
         self.cost = -np.log(threes)
         self.costs = self.cost.ravel().tolist()
         self.ids = symbol_ids().tolist()
+        # What each character may be taken for where words meet: its first reading, its last reading.
+        self.letters = [symbol_ids(), symbol_ids()]
+        for at, letters in zip((0, -1), self.letters, strict=True):
+            for symbol, stands_for in DISGUISES.items():
+                if ord(symbol) < 255:
+                    letters[ord(symbol)] = letters[ord(stands_for[at])]
+        # Marks in their usual place say nothing of a split word.
+        self.worded = [np.array([chr(p) not in usual for p in range(256)]) for usual in (_AFTER, _BEFORE)]
 
     def restore(self, word: str) -> str:
         """The likeliest reading of a lower-case word."""
@@ -109,6 +119,31 @@ class CharacterModel:
             readings.append(self._likeliest([*[[(c, NUMBER if c.isdigit() else 0.0)] for c in number], [("", price)]]))
         return min(readings)[1]
 
+    def rejoin(self, run: str) -> list[str]:
+        """The likeliest words behind the words of ``run``, whose blanks may be dropped."""
+        pieces = run.split(" ")
+        lattice = self._lattice(pieces[0].strip(_EDGES))
+        for left, right in zip(pieces, pieces[1:], strict=False):
+            single = len(left) == len(right) == 1
+            lattice.append([("", JOIN), (" ", KEEP)] if single else [("", BLANK), (" ", 0.0)])
+            lattice += self._lattice(right.strip(_EDGES))
+        return self._likeliest(lattice)[1].split()
+
+    def open_borders(self, points: np.ndarray, blanks: np.ndarray) -> np.ndarray:
+        """Which of the blanks of a text (words parted by one blank, a blank before and two after it) a lattice may drop:
+        those that cost more than a join, going by the letters around them, and those between single characters."""
+        around = np.minimum(points[blanks[:, None] + np.array([-2, -1, 1, 2])], 255)
+        found = np.zeros(len(blanks), bool)
+        for letters in self.letters if (around == ord("1")).any() or (around == ord("|")).any() else self.letters[:1]:
+            x, y, c, d = letters[around].T
+            x = np.where(around[:, 0] == 32, 0, x)
+            apart = self.cost[x, y, 0] + self.cost[0, 0, c] + self.cost[0, c, d]
+            single = (x == 0) & (d == 0)
+            worded = self.worded[0][around[:, 1]] & self.worded[1][around[:, 2]]
+            split = worded & (apart > BLANK + self.cost[x, y, c] + self.cost[y, c, d])
+            found |= (y > 1) & (c > 1) & (single | split)
+        return found
+
     def _likeliest(self, lattice: list[list[tuple[str, float]]]) -> tuple[float, str]:
         """Cost and text of the best way through a lattice."""
         costs, ids = self.costs, self.ids
@@ -122,7 +157,7 @@ class CharacterModel:
                         point = ord(c)
                         z = ids[point] if point < 256 else 1
                         total += costs[x << 12 | y << 6 | z]
-                        x, y = y, z
+                        x, y = (y, z) if z else (0, 0)
                     at = (x, y)
                     if at not in after or total < after[at][0]:
                         after[at] = (total, text + reading)
@@ -173,6 +208,42 @@ class CharacterModel:
         return [*read, ("", DROP / n)]
 
 
+class Reader:
+    """The distinct words of a text, and those that it hides by blanks."""
+
+    def __init__(self, characters: CharacterModel):
+        self.characters = characters
+        self.rejoined = Remembered(self._new_words)
+
+    def __call__(self, data: bytes | None) -> set[bytes]:
+        found = plain_words(data)
+        if len(found) < 2 and (not data or b" " not in data.strip()):
+            return found
+        words = (data.lower() if data.isascii() else data.decode().lower().encode()).split()
+        if len(words) < 2:
+            return found
+        joined = b" ".join([b"", *words, b"", b""])
+        if joined.isascii():
+            points = np.frombuffer(joined, "u1")
+        else:
+            points = np.frombuffer(joined.decode().encode("utf-32-le"), "<u4")
+        blanks = np.flatnonzero(points == 32)[1:-2]
+        last = -2
+        runs: list[list[bytes]] = []
+        for at in np.flatnonzero(self.characters.open_borders(points, blanks)).tolist():
+            if at != last + 1:
+                runs.append([words[at]])
+            runs[-1].append(words[at + 1])
+            last = at
+        for run in map(b" ".join, runs):
+            found.update(self.rejoined[run] if len(run) <= 64 else self._new_words(run))
+        return found
+
+    def _new_words(self, run: bytes) -> tuple[bytes, ...]:
+        words = [w.encode() for w in self.characters.rejoin(run.decode())]
+        return tuple(set(words) - set(run.split()))
+
+
 def plain_words(data: bytes | None) -> set[bytes]:
     """Distinct lower-case words; single letters spaced out are joined to one."""
     if not data:
@@ -221,11 +292,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        table = Remembered(lambda w: word_features(model.restore(w.decode())))
+        table, read = Remembered(lambda w: word_features(model.restore(w.decode()))), Reader(model)
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in (part for whole in batches for part in sliced(whole)):
             for data, toxic in zip(texts(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-                words = plain_words(data)
+                words = read(data)
                 for word in words:
                     seen[toxic].update(table[word])
                 seen[toxic][0] += len(words)  # feature 0 counts distinct words, feature 1 rows
@@ -285,9 +356,9 @@ def evidence(rows: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
     version = uuid.uuid4().hex
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = worker_state("toxicity", lambda: Remembered(shared.value.word_weight), version)
+        table, read = worker_state("toxicity", lambda: (Remembered(shared.value.word_weight), Reader(shared.value.characters)), version)
         for batch in (part for whole in batches for part in sliced(whole)):
-            weights = [list(map(table.__getitem__, plain_words(data))) for data in texts(batch.column("text"))]
+            weights = [list(map(table.__getitem__, read(data))) for data in texts(batch.column("text"))]
             columns = [pa.array([math.fsum(w) for w in weights], "float64"), pa.array([max(w, default=0.0) for w in weights], "float64")]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *columns], names=[*keep, "total", "top"])
 
