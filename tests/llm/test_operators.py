@@ -324,6 +324,12 @@ def test_main_text(page, text):
     assert html_text.main_text(page, TREE) == text
 
 
+@pytest.mark.parametrize("code", ["<script>for(i=0;i<n;i++){f(i)}</script>", "<style>a<b{}</style>", "<textarea>i<n</textarea>", "<title>i<n</title>"])
+def test_tags_inside_raw_text_do_not_swallow_its_end(code):
+    assert html_text.main_text(f"<body>{code}<article>kept text</article></body>", TREE) == "kept text"
+    assert html_text.main_text("<body>" + code * 3 + f"<article>kept{code} text</article>{code}", TREE) == "kept text"
+
+
 def test_tree_fits_its_table():
     rows, labels = html_text.labelled_rows()
     assert np.mean([html_text.is_main(TREE, r) == bool(y) for r, y in zip(rows, labels, strict=True)]) > 0.95

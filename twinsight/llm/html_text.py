@@ -26,6 +26,8 @@ DROPPED = set("script style noscript template svg math head title iframe object
 CONTAINERS = set(
     "html body div section article main nav header footer aside form ul ol dl menu table figure details dialog fieldset blockquote".split()
 )
+#: Dropped elements whose content is characters, not tags, up to their end tag.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in "script style title textarea".split()}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 EDGE_TAGS = set("nav header footer aside form menu dialog fieldset".split())
 MAIN_TAGS = set("article main".split())
@@ -80,7 +82,9 @@ def text_blocks(html: str) -> list[Block]:
                 blocks.append(block)
         return Block(context=stack[-1][1] if stack else PLAIN, heading=heading)
 
-    for m in _TAG.finditer(html):
+    upto = 0
+    while m := _TAG.search(html, upto):
+        upto = m.end()
         if not dropped and m.start() > at:
             piece = html[at : m.start()]
             block.parts.append(piece)
@@ -99,10 +103,14 @@ def text_blocks(html: str) -> list[Block]:
         if tag in DROPPED:
             if not closing and not (m[3] or m[6] or "").endswith("/"):
                 dropped = tag
-                if tag in ("script", "style", "title", "textarea", "noscript"):
-                    end = re.compile(rf"</{tag}\b", re.I).search(html, at)
+                if tag in RAW or tag == "noscript":
+                    end = (RAW.get(tag) or re.compile(r"</noscript\b", re.I)).search(html, at)
                     if end is None and tag in ("title", "noscript"):
                         dropped = ""  # never closed: do not lose the page
+                    elif end is None and tag in RAW:
+                        break
+                    elif tag in RAW:
+                        upto = end.start()
             continue
         if tag == "a":
             links = 0 if closing else 1
