@@ -330,6 +330,21 @@ def test_tags_inside_raw_text_do_not_swallow_its_end(code):
     assert html_text.main_text("<body>" + code * 3 + f"<article>kept{code} text</article>{code}", TREE) == "kept text"
 
 
+@pytest.mark.parametrize("kind", "button select svg math iframe object canvas audio video template noscript textarea title".split())
+def test_unclosed_dropped_elements_do_not_cut_the_page(kind):
+    assert html_text.main_text(f"<body><{kind} x=1><article>kept text</article></body>", TREE) == "kept text"
+    if kind not in ("textarea", "title"):  # in these, what comes before an end tag is characters
+        assert html_text.main_text(f"<body><{kind} x=1><article>kept text</article><{kind}>gone</{kind}></body>", TREE) == "kept text"
+        assert html_text.main_text(f"<body><div><{kind}>gone</div><article>kept text</article></{kind}></body>", TREE) == "kept text"
+
+
+def test_head_ends_without_end_tag():
+    for rest in ("<body><article>kept text</article>", "<article>kept text</article>", "<noscript><img src=x></noscript><meta x><article>kept text</article>"):
+        assert html_text.main_text(f"<html><head><title>x</title><script>a<b</script>{rest}", TREE) == "kept text"
+    assert [b.text for b in html_text.text_blocks("<head><title>x</title>bare words")] == ["bare words"]
+    assert html_text.main_text("<svg>" * 20000 + "<title>" * 20000 + "<article>kept text</article>", TREE) == "kept text"
+
+
 def test_tree_fits_its_table():
     rows, labels = html_text.labelled_rows()
     assert np.mean([html_text.is_main(TREE, r) == bool(y) for r, y in zip(rows, labels, strict=True)]) > 0.95

@@ -26,8 +26,10 @@ DROPPED = set("script style noscript template svg math head title iframe object
 CONTAINERS = set(
     "html body div section article main nav header footer aside form ul ol dl menu table figure details dialog fieldset blockquote".split()
 )
-#: Dropped elements whose content is characters, not tags, up to their end tag.
+#: Dropped elements whose content is characters, not tags, up to their end tag; those of them that hold no code.
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in "script style title textarea".split()}
+RAW_TEXT = {"title", "textarea"}
+HEAD_TAGS = set("head title meta link base basefont bgsound style script noscript noframes template".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 EDGE_TAGS = set("nav header footer aside form menu dialog fieldset".split())
 MAIN_TAGS = set("article main".split())
@@ -68,11 +70,60 @@ def _context(tag: str, attributes: str) -> int:
     return MAIN if tag in MAIN_TAGS or names & MAIN_NAMES else PLAIN
 
 
+@dataclass
+class Tag:
+    """A tag of a page; ``end`` is the index of the end tag that belongs to a dropped element's start tag."""
+
+    start: int
+    stop: int
+    name: str
+    closing: bool
+    attributes: str
+    end: int | None = None
+
+
+def page_tags(html: str) -> list[Tag]:
+    """Tags in order, comments as tags without a name. Content of raw-text elements is not looked into.
+
+    A script or style that is never closed takes the rest of the page, as in browsers.
+    """
+    tags: list[Tag] = []
+    opened: dict[str, list[int]] = {}
+    endless: set[str] = set()
+    at = 0
+    while m := _TAG.search(html, at):
+        at = m.end()
+        tag = Tag(m.start(), at, (m[2] or m[5] or "").lower(), bool(m[1] or m[4]), m[3] or m[6] or "")
+        tags.append(tag)
+        if tag.name not in DROPPED:
+            continue
+        if tag.closing:
+            if opened.get(tag.name):
+                tags[opened[tag.name].pop()].end = len(tags) - 1
+        elif not tag.attributes.endswith("/"):
+            if tag.name in RAW and tag.name not in endless:
+                end = RAW[tag.name].search(html, at)
+                if end:
+                    at = end.start()
+                elif tag.name in RAW_TEXT:
+                    endless.add(tag.name)
+                else:
+                    break
+            opened.setdefault(tag.name, []).append(len(tags) - 1)
+    return tags
+
+
 def text_blocks(html: str) -> list[Block]:
-    """Blocks of a page in order; dropped elements, comments and markup leave nothing behind."""
+    """Blocks of a page in order; dropped elements, comments and markup leave nothing behind.
+
+    A dropped element ends at its end tag or where the container around it closes. Without an end tag it is
+    empty; a head ends at the first tag or text that cannot stand in it.
+    """
     blocks: list[Block] = []
     stack: list[tuple[str, int]] = []  # open containers and the nearest hint at or above each
+    inner: list[str] = []  # open containers inside a dropped element
     block, links, dropped, at = Block(), 0, "", 0
+    skip = -1  # tags up to this index belong to an element that stands in the head
 
     def close(heading: bool = False) -> Block:
         if block.parts:
@@ -82,35 +133,52 @@ def text_blocks(html: str) -> list[Block]:
                 blocks.append(block)
         return Block(context=stack[-1][1] if stack else PLAIN, heading=heading)
 
-    upto = 0
-    while m := _TAG.search(html, upto):
-        upto = m.end()
-        if not dropped and m.start() > at:
-            piece = html[at : m.start()]
+    tags = page_tags(html)
+    for index, mark in enumerate(tags):
+        if dropped == "head" and index > skip and mark.start > at and not html[at : mark.start].isspace():
+            dropped = ""
+        if not dropped and mark.start > at:
+            piece = html[at : mark.start]
             block.parts.append(piece)
             if links:
                 block.linked += len(piece.split())
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        at = mark.stop
+        tag, closing = mark.name, mark.closing
         if not tag:
             continue
-        closing = bool(m[1] or m[4])
-        if dropped:
-            dropped = "" if closing and tag == dropped else dropped
-            continue
+        if dropped == "head":
+            if index <= skip or closing and tag not in ("head", "body", "html"):
+                continue
+            if tag in HEAD_TAGS:
+                dropped = "" if closing else dropped
+                skip = mark.end or skip
+                continue
+            dropped = ""
+        elif dropped:
+            if index == skip:
+                dropped = ""
+                continue
+            if tag not in CONTAINERS or not closing:
+                if tag in CONTAINERS:
+                    inner.append(tag)
+                continue
+            if tag in inner:
+                while inner.pop() != tag:
+                    pass
+                continue
+            if not any(t == tag for t, _ in stack):
+                continue
+            dropped = ""
         if tag == "body" and not closing:
             links = 0
         if tag in DROPPED:
-            if not closing and not (m[3] or m[6] or "").endswith("/"):
-                dropped = tag
-                if tag in RAW or tag == "noscript":
-                    end = (RAW.get(tag) or re.compile(r"</noscript\b", re.I)).search(html, at)
-                    if end is None and tag in ("title", "noscript"):
-                        dropped = ""  # never closed: do not lose the page
-                    elif end is None and tag in RAW:
-                        break
-                    elif tag in RAW:
-                        upto = end.start()
+            if not closing and not mark.attributes.endswith("/"):
+                if tag == "head":
+                    dropped, skip = tag, -1
+                elif mark.end is not None:
+                    dropped, skip, inner = tag, mark.end, []
+                elif tag in RAW and tag not in RAW_TEXT:
+                    dropped, skip = tag, len(tags)
             continue
         if tag == "a":
             links = 0 if closing else 1
@@ -119,7 +187,7 @@ def text_blocks(html: str) -> list[Block]:
         if tag in CONTAINERS:
             if not closing:
                 block = close()
-                hint = _context(tag, m[3] or m[6] or "")
+                hint = _context(tag, mark.attributes)
                 stack.append((tag, hint or (stack[-1][1] if stack else PLAIN)))
             elif any(t == tag for t, _ in stack):
                 block = close()
@@ -129,6 +197,8 @@ def text_blocks(html: str) -> list[Block]:
             links = 0
             continue
         block = close(heading=not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit())
+    if dropped == "head" and len(tags) - 1 >= skip and html[at:].strip():
+        dropped = ""
     if not dropped and at < len(html):
         block.parts.append(html[at:])
     close()
