@@ -181,6 +181,16 @@ def test_reader_keeps_all_plain_words(rude):
     assert toxicity.Reader(rude)(b"the cat sat on the pig") == {b"the", b"cat", b"sat", b"on", b"pig"}
 
 
+def test_toxicity_curve_on_counted_groups(spark):
+    rows = [(1.0, 0.5, 1, 900), (0.0, 0.0, 0, 5000), (0.5, 0.5, 0, 40), (2.0, 1.5, 1, 70), (0.0, 0.0, 1, 30)]
+    on_total, on_top, offset = toxicity._logistic(spark.createDataFrame(rows, "total double, top double, toxic int, n long"))
+    x = np.array([[a, b, 1.0] for a, b, _, n in rows for _ in range(n)])
+    y = np.array([t for _, _, t, n in rows for _ in range(n)])
+    at = np.array([on_total, on_top, offset])
+    slope = x.T @ (1 / (1 + np.exp(-x @ at)) - y) + np.array([0.01, 0.01, 1e-6]) * at
+    assert np.abs(slope).max() < 1e-4 and on_top + on_total > 0 > offset
+
+
 def test_spaced_letters_are_joined():
     assert toxicity.plain_words(b"you s t u p i d one") == {b"you", b"stupid", b"one"}
     assert toxicity.plain_words(b"a b cd") == {b"a", b"b", b"cd"}

@@ -23,10 +23,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinsight.functions.frames import materialise
 from twinsight.llm.text import only, sliced, texts, worker_state
 from twinsight.llm.vocabulary import Remembered
 
-#: Labelled rows that the lexicon is learned from at most (those with the least hash of the id).
+#: Labelled ids that the lexicon is learned from at most (those with the least hash).
 LABELLED_ROWS = 40_000
 #: Entries of the lexicon at most (the most significant ones).
 LEXICON = 20_000
@@ -281,13 +282,13 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic; 0 or 1, other values are ignored).
 
-    The character model counts all texts. The lexicon is learned from at most ``LABELLED_ROWS`` labelled rows; what reaches the driver is bound
-    by that, by ``LEXICON`` and by the alphabet. Without labels of both kinds the probability is the share of label 1.
+    The character model counts all texts. The lexicon is learned from the rows of at most ``LABELLED_ROWS`` labelled ids, however often an id
+    repeats; what reaches the driver is bound by ``LEXICON`` and by the alphabet. Without labels of both kinds the probability is the share of label 1.
     """
     characters = CharacterModel(trigram_counts(docs))
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
-    rows = docs.join(F.broadcast(known), "doc_id").select("text", "toxic")  # at most LABELLED_ROWS small rows
+    rows = docs.join(F.broadcast(known), "doc_id").select("text", "toxic")
     shared = docs.sparkSession.sparkContext.broadcast(characters)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,8 +326,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     counted.unpersist()
     model = ToxicityModel(characters, weights, (0.0, 0.0, math.log((toxic_rows + 0.5) / (clean_rows + 0.5))))
     if weights:
-        sums = np.array(evidence(rows, model, "toxic").collect(), "float64")  # at most LABELLED_ROWS rows of three numbers
-        model.curve = _logistic(sums[:, 1:], sums[:, 0])
+        groups = evidence(rows, model, "toxic").groupBy("total", "top", "toxic").agg(F.count(F.lit(1)).alias("n"))
+        model.curve = _logistic(materialise(groups))
     return model
 
 
@@ -334,15 +335,27 @@ def _log_times(n, ratio):
     return F.when(n > 0, n * F.log(ratio)).otherwise(0.0)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 50) -> tuple[float, ...]:
-    """Slopes and offset by Newton's method with a small ridge on the slopes."""
-    design = np.column_stack([x, np.ones(len(x))])
-    penalty = np.array([ridge] * x.shape[1] + [1e-6])
-    at = np.zeros(design.shape[1])
+def _logistic(groups: DataFrame, ridge: float = 0.01, rounds: int = 50) -> tuple[float, float, float]:
+    """Slopes of ``total`` and ``top`` and the offset for ``toxic``, by Newton's method with a small ridge on the slopes.
+
+    ``groups`` has ``n`` rows of each kind. A round is one aggregate of nine sums.
+    """
+    penalty = np.array([ridge, ridge, 1e-6])
+    at = np.zeros(3)
+    x = [F.col("total"), F.col("top"), F.lit(1.0)]
+    upper = [(i, j) for i in range(3) for j in range(i, 3)]
     for _ in range(rounds):
-        p = 1.0 / (1.0 + np.exp(-np.clip(design @ at, -30, 30)))
-        gradient = design.T @ (p - y) + penalty * at
-        curve = (design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty)
+        odds = sum((v * F.lit(float(w)) for v, w in zip(x, at, strict=True)), F.lit(0.0))
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))
+        rows = groups.select("*", p.alias("p"))
+        slopes = [F.sum(F.col("n") * (F.col("p") - F.col("toxic")) * v) for v in x]
+        bends = [F.sum(F.col("n") * F.col("p") * (1 - F.col("p")) * x[i] * x[j]) for i, j in upper]
+        sums = np.array(rows.agg(*slopes, *bends).first(), "float64")
+        gradient, curve = sums[:3] + penalty * at, np.diag(penalty)
+        for (i, j), value in zip(upper, sums[3:], strict=True):
+            curve[i, j] += value
+            if i != j:
+                curve[j, i] += value
         step = np.clip(np.linalg.solve(curve, gradient), -2.0, 2.0)
         at = at - step
         if np.abs(step).max() < 1e-8:
