@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsight.functions.frames import shared_folder
-from twinsight.llm import class_lm, decontaminate, html_text, mixing, near_dedup, quality_rules, substring_dedup, token_counts, token_files, toxicity
+from twinsight.llm import class_lm, collocations, decontaminate, html_text, mixing, near_dedup, quality_rules, substring_dedup, token_counts, token_files, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 1
@@ -82,6 +82,10 @@ def op10_find_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.select("doc_id", "item_id", "n_shared", "n_shingles", "containment")
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_token_files": op2_token_files,
@@ -93,6 +97,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_find_leaks": op10_find_leaks,
+    "op11_collocations": op11_collocations,
 }
 
 MIX_SQL = r"""
@@ -158,4 +163,35 @@ t AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS kep
 SELECT w.doc_id, len(w.w) AS n_words, len(w.w) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN t ON w.doc_id = t.doc_id
 """
 
-ORACLES = {"op8_substring_dedup": REPEAT_SQL, "op6_near_dedup": NEAR_SQL, "op10_find_leaks": LEAK_SQL, "op9_mix_sources": MIX_SQL}
+PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+grams AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 10),
+cuts AS (SELECT c.*, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT cuts.lang, cuts.k, cuts.phrase, a, cut, x.f AS l, y.f AS r,
+    CAST(1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1 : cut], ' ')
+  JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[cut + 1 :], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, array_to_string(w[1 : 2], ' ') AS phrase, a FROM c WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(w[2 : 3], ' '), a FROM c WHERE k = 3) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM b JOIN n ON n.lang = b.lang LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
+WHERE coalesce(100 * longer < 50 * a, true) QUALIFY rank <= 2000
+"""
+
+ORACLES = {
+    "op11_collocations": PHRASE_SQL,
+    "op8_substring_dedup": REPEAT_SQL,
+    "op6_near_dedup": NEAR_SQL,
+    "op10_find_leaks": LEAK_SQL,
+    "op9_mix_sources": MIX_SQL,
+}
