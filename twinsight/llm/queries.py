@@ -9,7 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsight.functions.frames import shared_folder
-from twinsight.llm import class_lm, collocations, decontaminate, html_text, mixing, near_dedup, quality_rules, substring_dedup, token_counts, token_files, toxicity
+from twinsight.llm import (
+    class_lm,
+    collocations,
+    decontaminate,
+    html_text,
+    mixing,
+    near_dedup,
+    nearest,
+    quality_rules,
+    ranked_search,
+    substring_dedup,
+    token_counts,
+    token_files,
+    toxicity,
+)
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 1
@@ -86,6 +100,14 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
 
 
+def op12_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_token_files": op2_token_files,
@@ -98,6 +120,8 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_find_leaks": op10_find_leaks,
     "op11_collocations": op11_collocations,
+    "op12_nearest": op12_nearest,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 MIX_SQL = r"""
@@ -188,7 +212,25 @@ FROM b JOIN n ON n.lang = b.lang LEFT JOIN inside i ON i.lang = b.lang AND i.phr
 WHERE coalesce(100 * longer < 50 * a, true) QUALIFY rank <= 2000
 """
 
+SEARCH_SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+d AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n FROM t WHERE len(w) > 0),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM d) GROUP BY ALL),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM f WHERE term IN (SELECT term FROM q) GROUP BY term), totals),
+s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN w ON q.term = w.term JOIN f ON f.term = q.term, totals GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
 ORACLES = {
+    "op13_ranked_search": SEARCH_SQL,
     "op11_collocations": PHRASE_SQL,
     "op8_substring_dedup": REPEAT_SQL,
     "op6_near_dedup": NEAR_SQL,
