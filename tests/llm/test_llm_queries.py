@@ -26,7 +26,7 @@ def test_matches_sql(spark, data, name):
 
 
 def test_each_operator_has_a_query():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_token_queries(spark, data, documents):

@@ -29,17 +29,18 @@ from twinsight.llm.text import only, sliced, texts
 BREAKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b".......... ")
 #: Bytes of text whose windows a task holds at a time.
 HELD_BYTES = 8 << 20
-#: Buckets a first word's windows are spread over, by second word.
-SPREAD = 16
+#: Buckets in which windows are sent, and those that the windows of one first word are spread over, by second word. They
+#: bound the number of tasks that can share the counting, not what is counted.
+BUCKETS, SPREAD = 16_384, 16
 #: Parts in which a language is ranked before its best rows meet.
 RANK_PARTS = 16
 
 
-def windows(df: DataFrame, order: int, buckets: int) -> DataFrame:
+def windows(df: DataFrame, order: int) -> DataFrame:
     """``lang, bucket, windows``: packed lines ``words <tab> count`` of distinct windows of up to ``order`` words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(order, buckets)
+        held = _Held(order)
         for batch in (part for whole in batches for part in sliced(whole)):
             for lang, data in zip(batch.column("lang").to_pylist(), texts(batch.column("text")), strict=True):
                 held.add(lang, data or b"")
@@ -53,8 +54,8 @@ def windows(df: DataFrame, order: int, buckets: int) -> DataFrame:
 class _Held:
     """The words of some texts as numbers, by language."""
 
-    def __init__(self, order: int, buckets: int):
-        self.order, self.buckets = order, buckets
+    def __init__(self, order: int):
+        self.order = order
         self.clear()
 
     def clear(self) -> None:
@@ -96,9 +97,8 @@ class _Held:
         first = np.empty(len(counts), "int64")
         first[label] = np.arange(len(label))
         leads = [lead[first] for lead in leads]
-        per_word = max(self.buckets // SPREAD, 1)
         second = hashes[leads[1]] % np.uint64(SPREAD) if self.order > 1 else np.uint64(0)
-        bucket = (hashes[leads[0]] % np.uint64(per_word) * np.uint64(SPREAD) + second).astype("int32")
+        bucket = (hashes[leads[0]] % np.uint64(BUCKETS // SPREAD) * np.uint64(SPREAD) + second).astype("int32")
         dealt = np.argsort(bucket, kind="stable")
         phrase = pc.binary_join_element_wise(*[names.take(pa.array(lead[dealt])) for lead in leads], " ", null_handling="skip")
         lines = pc.binary_join_element_wise(phrase, pa.array(counts[dealt]).cast(pa.string()), "\t")
@@ -118,9 +118,7 @@ def phrase_counts(df: DataFrame, order: int, least: int) -> DataFrame:
 
     A row of 0 words has the number of all words of the language. ``df`` has ``lang`` and ``text``.
     """
-    spark = df.sparkSession
-    buckets = 64 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = windows(df, order, buckets).repartition("lang", "bucket")
+    packed = windows(df, order).repartition("lang", "bucket")
     lines = packed.select("lang", "bucket", F.explode(F.split("windows", "\n")).alias("line"))
     key = ["lang", "bucket", "phrase"]
     counted = lines.select(

@@ -185,8 +185,8 @@ class _Finder:
             self.keep(block, query, met[i])
 
     def verify(self, block: _Block, query: int, often: np.ndarray, met: list) -> None:
+        often = often[block.ids[often] != self.ids[query]]
         scores = block.units[often] @ self.units[query]
-        scores[block.ids[often] == self.ids[query]] = -np.inf
         near = scores >= self.bar[query]
         met.append((often[near], scores[near]))
         seen = np.concatenate([*(s for _, s in met), self.scores[query]])
