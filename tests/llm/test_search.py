@@ -131,7 +131,7 @@ def brute_search(docs, items, top):
 
 @pytest.mark.parametrize("top", [1, 20])
 def test_ranked_search_matches_brute_force(spark, awkward, texts, top):
-    copies = awkward.unionByName(awkward.filter("doc_id = 8").withColumn("doc_id", F.explode(F.sequence(F.lit(100), F.lit(160))).cast("long")))
+    copies = awkward.unionByName(awkward.filter("doc_id = 8").withColumn("doc_id", F.explode(F.sequence(F.lit(100).cast("long"), F.lit(160).cast("long")))))
     asked = [(1, texts[1][:200]), (2, None), (3, ""), (4, "... --"), (None, "alpha1 Alpha1 BETA2"), (6, "CAFÉ café 東京 don't"), (7, texts[9]), (7, texts[9]), (8, "nothingofthis")]
     items = spark.createDataFrame([(i, t, 5, "x") for i, t in asked], "item_id long, text string, score int, doc_id string")
     got = [tuple(r) for r in ranked_search(copies.repartition(3), items, top).collect()]
