@@ -40,22 +40,61 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, kind: str = "tables") -> str:
+    """An unused path in the shared folder, removed with the tables of its scope."""
+    if not any(_SCOPES):
+        atexit.register(release, spark)
+    path = f"{shared_folder(spark)}/{kind}/{uuid.uuid4().hex}"
+    _SCOPES[-1].append(path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The result survives lost executors, is column-pruned on reading, and carries a true
     size, so that the planner's broadcast decision rests on bytes and not on a guess.
+    The table lives as long as the scope it was written in (``own_tables``), outside any until ``release``.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    if not _WRITTEN:
-        atexit.register(release, spark)
-    _WRITTEN.append(path)
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Folders written, by open scope; the first one stands for the whole program.
+_SCOPES: list[list[str]] = [[]]
+
+
+class own_tables:
+    """``with own_tables(spark) as outer``: what is materialised inside goes when the block ends.
 
+    ``outer.keep(df)`` writes a result that outlives the block: it belongs to the scope around it. Nothing else that
+    reads the block's tables may be used after it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> own_tables:
+        _SCOPES.append([])
+        self.depth = len(_SCOPES)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        kept = materialise(df)
+        _SCOPES[self.depth - 2].append(_SCOPES[-1].pop())
+        return kept
 
-_WRITTEN: list[str] = []
+    def __exit__(self, *failure) -> None:
+        remove_folders(self.spark, _SCOPES.pop())
+
+
+def remove_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Remove what was written to the paths, wherever they are."""
+    context = spark.sparkContext
+    for path in paths:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -64,13 +103,11 @@ def release(spark: SparkSession) -> None:
     It also runs when the program ends, if the session is still there.
     """
     try:
-        context = spark.sparkContext
-        for path in _WRITTEN:
-            target = context._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        remove_folders(spark, [path for scope in _SCOPES for path in scope])
     except Exception:  # the session has ended: nothing can be reached through it any more
         return
-    _WRITTEN.clear()
+    for scope in _SCOPES:
+        scope.clear()
 
 
 _SHIPPED: set[str] = set()
