@@ -6,15 +6,12 @@ of ``documents``; the last returns one row per written document.
 
 from __future__ import annotations
 
-import uuid
-
-from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsight.functions.frames import materialise, shared_folder
-from twinsight.llm import decontaminate, mixing, near_dedup, token_files, toxicity
-from twinsight.llm.queries import END_ID, WORD_BPE, fitted_toxicity, table
+from twinsight.functions.frames import materialise, own_tables
+from twinsight.llm import decontaminate, mixing, near_dedup, toxicity
+from twinsight.llm.queries import fitted_toxicity, table, token_file_sums
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -55,10 +52,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def written(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: token files in ascending id order, read back as ``doc_id, start, n_tokens, ids_crc32``."""
-    out = f"{shared_folder(spark)}/token-files/{uuid.uuid4().hex}"
-    token_files.write_token_files(docs, out, tokenizer_path(WORD_BPE), END_ID)
-    sums = token_files.with_crc32(token_files.read_token_files(spark, out))
-    return token_files.with_starts(sums).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_file_sums(docs)
 
 
 STAGES = [
@@ -77,5 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        with own_tables(spark) as outer:  # a stage's own tables go as soon as its result is written
+            docs = outer.keep(stage(spark, docs, sf_dir))
     return docs

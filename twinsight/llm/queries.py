@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsight.functions.frames import shared_folder
+from twinsight.functions.frames import new_folder
 from twinsight.llm import (
     class_lm,
     collocations,
@@ -40,10 +38,16 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    out = f"{shared_folder(spark)}/token-files/{uuid.uuid4().hex}"
-    token_files.write_token_files(table(spark, folder, "documents"), out, tokenizer_path(WORD_BPE), END_ID)
-    sums = token_files.with_crc32(token_files.read_token_files(spark, out))
-    return token_files.with_starts(sums).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_file_sums(table(spark, folder, "documents"))
+
+
+def token_file_sums(docs: DataFrame) -> DataFrame:
+    """Write token files and read them back: ``doc_id, start, n_tokens, ids_crc32``."""
+    spark = docs.sparkSession
+    out = new_folder(spark, "token-files")
+    token_files.write_token_files(docs, out, tokenizer_path(WORD_BPE), END_ID)
+    files = token_files.read_token_files(spark, out)
+    return token_files.with_starts(token_files.with_crc32(files), files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

@@ -86,12 +86,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
-def with_starts(files: DataFrame) -> DataFrame:
+def with_starts(files: DataFrame, metadata: DataFrame) -> DataFrame:
     """``files`` with ``start``, the ids of all documents before each one.
 
-    Sums per part come from the metadata columns; the running sum over them has one row per file.
+    Sums per part come from the ``metadata`` columns of the table as read, so no token page is opened for them; the running
+    sum over them has one row per file.
     """
-    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
+    parts = metadata.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
     before = F.coalesce(F.sum("in_part").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     bases = parts.select("part", before.alias("part_base"))
     return files.join(bases, "part").withColumn("start", F.col("part_base") + F.col("part_start")).drop("part_base")

@@ -29,6 +29,8 @@ from twinsight.llm.vocabulary import Remembered
 
 #: Labelled ids that the lexicon is learned from at most (those with the least hash).
 LABELLED_ROWS = 40_000
+#: Distinct words that a task counts before it turns them into features.
+HELD_WORDS = 500_000
 #: Entries of the lexicon at most (the most significant ones).
 LEXICON = 20_000
 THRESHOLD = 0.3
@@ -50,7 +52,7 @@ _BEFORE, _AFTER, _MONEY = "(<|+", "!|+", "$€£"
 
 #: Symbols of the character model: 0 edge of a word, 1 anything else, then a to z and the Latin-1 small letters.
 SYMBOLS = 64
-_SPACED = re.compile(rb"(?:^|[\x20\x09-\x0d])(?:[^\x20\x09-\x0d]|[\xc2-\xdf].)(?:[\x20\x09-\x0d](?:[^\x20\x09-\x0d]|[\xc2-\xdf].)){2}(?![^\x20\x09-\x0d])")
+_LONG_RUN = re.compile(r"(.)\1\1", re.DOTALL)
 
 
 def symbol_ids() -> np.ndarray:
@@ -94,7 +96,7 @@ class CharacterModel:
         twos = counts.sum(axis=0)
         twos = (twos + strength * ones) / (twos.sum(axis=1, keepdims=True) + strength)
         threes = (counts + strength * twos[None]) / (counts.sum(axis=2, keepdims=True) + strength)
-        self.cost = -np.log(threes)
+        self.counts, self.cost = counts, -np.log(threes)
         self.costs = self.cost.ravel().tolist()
         self.ids = symbol_ids().tolist()
         # What each character may be taken for where words meet: its first reading, its last reading.
@@ -109,9 +111,9 @@ class CharacterModel:
     def restore(self, word: str) -> str:
         """The likeliest reading of a lower-case word."""
         core = word.strip(_EDGES)
-        runs = [(c, len(list(same))) for c, same in groupby(core)]
-        if core.isalpha() and all(n < 3 for _, n in runs):
+        if core.isalpha() and not _LONG_RUN.search(core):
             return core
+        runs = [(c, len(list(same))) for c, same in groupby(core)]
         readings = [self._likeliest(self._lattice(core))]
         if not any(c.isalpha() for c in core) and any(c.isdigit() for c in core):  # or a plain number
             number = word.strip(_EDGES + "".join(DISGUISES.keys() - set("0123456789")))
@@ -217,18 +219,19 @@ class Reader:
         self.rejoined = Remembered(self._new_words)
 
     def __call__(self, data: bytes | None) -> set[bytes]:
-        found = plain_words(data)
-        if len(found) < 2 and (not data or b" " not in data.strip()):
-            return found
-        words = (data.lower() if data.isascii() else data.decode().lower().encode()).split()
+        words = (data.lower() if data.isascii() else data.decode().lower().encode()).split() if data else []
         if len(words) < 2:
-            return found
+            return set(words)
         joined = b" ".join([b"", *words, b"", b""])
         if joined.isascii():
             points = np.frombuffer(joined, "u1")
         else:
             points = np.frombuffer(joined.decode().encode("utf-32-le"), "<u4")
-        blanks = np.flatnonzero(points == 32)[1:-2]
+        blanks = np.flatnonzero(points == 32)
+        single = np.diff(blanks[:-1]) == 2
+        spaced = (single[2:] & single[1:-1] & single[:-2]).any()
+        found = set(_rejoined(words) if spaced else words)
+        blanks = blanks[1:-2]
         last = -2
         runs: list[list[bytes]] = []
         for at in np.flatnonzero(self.characters.open_borders(points, blanks)).tolist():
@@ -245,16 +248,8 @@ class Reader:
         return tuple(set(words) - set(run.split()))
 
 
-def plain_words(data: bytes | None) -> set[bytes]:
-    """Distinct lower-case words; single letters spaced out are joined to one."""
-    if not data:
-        return set()
-    lower = data.lower() if data.isascii() else data.decode().lower().encode()
-    words = lower.split()
-    return set(_rejoined(words) if _SPACED.search(lower) else words)
-
-
 def _rejoined(words: list[bytes]) -> Iterator[bytes]:
+    """The words; single letters spaced out are joined to one."""
     for single, run in groupby(words, lambda w: len(w) == 1 or len(w) == 2 and w[0] >= 0xC2):
         run = list(run)
         yield from [b"".join(run)] if single and len(run) > 2 else run
@@ -264,8 +259,8 @@ def word_features(word: str) -> list[int]:
     """Hashes of a restored word, its beginnings and its ending."""
     if len(word) < 3:
         return []
-    marks = {f"={word}", f">{word[-4:]}", *[f"<{word[:n]}" for n in range(4, min(len(word), 8) + 1)]}
-    return [xxhash.xxh3_64_intdigest(m) - (1 << 63) for m in sorted(marks)]
+    marks = ["=" + word, ">" + word[-4:], *["<" + word[:n] for n in range(4, min(len(word), 8) + 1)]]
+    return [xxhash.xxh3_64_intdigest(m) - (1 << 63) for m in marks]
 
 
 class ToxicityModel:
@@ -274,6 +269,15 @@ class ToxicityModel:
     def __init__(self, characters: CharacterModel, weights: dict[int, float], curve: tuple[float, float, float]):
         self.characters, self.weights, self.curve = characters, weights, curve
 
+    def plain(self) -> tuple:
+        """What a broadcast carries: tables without classes of this package, which executors need not have."""
+        return self.characters.counts, self.weights, self.curve
+
+    @staticmethod
+    def of(plain: tuple) -> ToxicityModel:
+        counts, weights, curve = plain
+        return ToxicityModel(CharacterModel(counts), weights, curve)
+
     def word_weight(self, word: bytes) -> float:
         get = self.weights.get
         return max((get(f, 0.0) for f in word_features(self.characters.restore(word.decode()))), key=abs, default=0.0)
@@ -289,22 +293,33 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
     rows = docs.join(F.broadcast(known), "doc_id").select("text", "toxic")
-    shared = docs.sparkSession.sparkContext.broadcast(characters)
+    shared, version = docs.sparkSession.sparkContext.broadcast(characters.counts), uuid.uuid4().hex
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        table, read = Remembered(lambda w: word_features(model.restore(w.decode()))), Reader(model)
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        model = worker_state("characters", lambda: CharacterModel(shared.value), version)
+        read, met = Reader(model), (Counter(), Counter())
+        totals = np.zeros((2, 2), "int64")  # feature 0 counts distinct words, feature 1 rows
+
+        def counted() -> pa.RecordBatch:
+            seen = tuple(Counter({f: int(n) for f, n in enumerate(row) if n}) for row in totals)
+            for words, found in zip(met, seen, strict=True):
+                for word, n in words.items():
+                    for feature in word_features(model.restore(word.decode())):
+                        found[feature] += n
+                words.clear()
+            totals[:] = 0
+            every = sorted(seen[0].keys() | seen[1].keys())
+            columns = [pa.array(every, "int64"), *[pa.array([c[f] for f in every], "int64") for c in seen]]
+            return pa.RecordBatch.from_arrays(columns, names=["feature", "clean", "toxic"])
+
         for batch in (part for whole in batches for part in sliced(whole)):
             for data, toxic in zip(texts(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
                 words = read(data)
-                for word in words:
-                    seen[toxic].update(table[word])
-                seen[toxic][0] += len(words)  # feature 0 counts distinct words, feature 1 rows
-                seen[toxic][1] += 1
-        found = sorted(seen[0].keys() | seen[1].keys())
-        columns = [pa.array(found, "int64"), *[pa.array([c[f] for f in found], "int64") for c in seen]]
-        yield pa.RecordBatch.from_arrays(columns, names=["feature", "clean", "toxic"])
+                met[toxic].update(words)
+                totals[toxic] += len(words), 1
+            if len(met[0]) + len(met[1]) > HELD_WORDS:
+                yield counted()
+        yield counted()
 
     counted = rows.mapInArrow(features, "feature long, clean long, toxic long").groupBy("feature").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
@@ -365,11 +380,15 @@ def _logistic(groups: DataFrame, ridge: float = 0.01, rounds: int = 50) -> tuple
 
 def evidence(rows: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
     """``keep`` columns, ``total`` and ``top``: sum and maximum of the weights of a text's distinct restored words."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # alphabet and lexicon are bounded
+    shared = rows.sparkSession.sparkContext.broadcast(model.plain())  # alphabet and lexicon are bounded
     version = uuid.uuid4().hex
 
+    def build() -> tuple[Remembered, Reader]:
+        known = ToxicityModel.of(shared.value)
+        return Remembered(known.word_weight), Reader(known.characters)
+
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, read = worker_state("toxicity", lambda: (Remembered(shared.value.word_weight), Reader(shared.value.characters)), version)
+        table, read = worker_state("toxicity", build, version)
         for batch in (part for whole in batches for part in sliced(whole)):
             weights = [list(map(table.__getitem__, read(data))) for data in texts(batch.column("text"))]
             columns = [pa.array([math.fsum(w) for w in weights], "float64"), pa.array([max(w, default=0.0) for w in weights], "float64")]
