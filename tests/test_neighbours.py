@@ -46,11 +46,11 @@ def nearest(spark, queries, index, **options):
     return nb.nearest_distance(rows, distinct_rows(joint_encode(ix, space), space), space, ("n",), **options)
 
 
-@pytest.mark.parametrize("leaf_rows", [7, 5_000])
+@pytest.mark.parametrize("cell_rows", [7, 5_000])
 @pytest.mark.parametrize("shape", ["mixed", "hot pivot", "hot tuple", "categories", "clusters"])
-def test_equal_to_brute_force(spark, shape, leaf_rows):
+def test_equal_to_brute_force(spark, shape, cell_rows):
     queries, index = table(1, 400, shape), table(2, 500, shape)
-    got = nearest(spark, queries, index, leaf_rows=leaf_rows).toPandas()
+    got = nearest(spark, queries, index, cell_rows=cell_rows).toPandas()
     assert got["n"].sum() == len(queries) and len(got) == len(queries.drop_duplicates())
     want = queries.assign(want=brute_force(queries, index)).drop_duplicates()
     keys = list(queries.columns)
@@ -66,38 +66,69 @@ def test_far_queries_and_few_boxes(spark):
     """Queries outside every box, and a box limit below the wish."""
     index = table(3, 300, "clusters")
     queries = index.head(50) * 3 + 1e5
-    got = nearest(spark, queries, index, leaf_rows=5, max_leaves=4).toPandas()
+    got = nearest(spark, queries, index, cell_rows=5, max_cells=4).toPandas()
     np.testing.assert_allclose(np.sort(got["distance"]), np.sort(brute_force(queries, index)), rtol=1e-9)
 
 
-def test_hot_boxes_are_salted(spark):
-    """Nearly all queries fall into one box: it is cut into parts, the result stays."""
+def test_large_cells_and_chunks_are_cut(spark, monkeypatch):
+    """Nearly all queries fall into one cell, and cells hold more than a part: several groups, the same result."""
+    monkeypatch.setattr(nb, "PART_ROWS", 20)
+    monkeypatch.setattr(nb, "CHUNK_ROWS", 30)
     index = table(4, 300, "clusters")
     queries = pd.concat([index.head(1)] * 300).reset_index(drop=True)
     queries["z"] += np.arange(300) / 1e4
-    q = spark.createDataFrame(queries)
-    space = joint_space(q, q)
-    coordinates = index[list(space.columns)].to_numpy()
-    tree = nb.grow_tree(coordinates, 3, 20)
-    at = tree.find(coordinates)
-    lo = np.stack([coordinates[at == k].min(axis=0) for k in range(tree.n_leaves)])
-    hi = np.stack([coordinates[at == k].max(axis=0) for k in range(tree.n_leaves)])
-    tree.set_boxes(lo, hi)
-    plan = nb._salt_plan(q, space, tree, 300)
-    assert max(plan.values()) > 1
-    got = nearest(spark, queries, index, leaf_rows=15).toPandas()
+    got = nearest(spark, queries, index, cell_rows=100).toPandas()
     np.testing.assert_allclose(np.sort(got["distance"]), np.sort(brute_force(queries, index)), rtol=1e-9, atol=1e-12)
 
 
-def test_join_plan(spark):
-    """Both joins are equi-joins on the box, and no step needs a cross join or one single task."""
-    df = nearest(spark, table(1, 400, "mixed"), table(2, 500, "mixed"), leaf_rows=7)
+def wide(seed, n, columns=10):
+    rng = np.random.default_rng(seed)
+    return pd.DataFrame({f"x{i}": rng.random(n) for i in range(columns)})
+
+
+def test_ten_like_columns_need_many_rounds(spark):
+    """Where no box is far from any query, rounds go on until each cell has been met, and nothing is lost."""
+    queries, index = wide(5, 300), wide(6, 2_000)
+    got = nearest(spark, queries, index, cell_rows=40).toPandas()
+    np.testing.assert_allclose(np.sort(got["distance"]), np.sort(brute_force(queries, index)), rtol=1e-9)
+
+
+@pytest.mark.parametrize("columns", [2, 10])
+def test_rows_shuffled_for_a_query(spark, monkeypatch, columns):
+    """A chunk's queries are sent once per group it visits: not once per box, however many boxes there are."""
+    sent = []
+    meet = nb._meet
+
+    def counted(state, visits, index, space, keys):
+        sent.append(state.join(visits.select("cell", "piece", "group").distinct(), ["cell", "piece"]).count())
+        return meet(state, visits, index, space, keys)
+
+    monkeypatch.setattr(nb, "_meet", counted)
+    queries, index = wide(7, 300, columns), wide(8, 3_000, columns)
+    nearest(spark, queries, index, cell_rows=25)
+    assert sum(sent) <= 300 * (-(-120 // nb.GROUP_PARTS) + 8)
+    if columns == 2:
+        assert sum(sent) <= 300 * 4
+
+
+def test_no_step_pairs_everything(spark):
+    df = nearest(spark, table(1, 400, "mixed"), table(2, 500, "mixed"), cell_rows=7)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("SortMergeJoin") == 2
     for bad in ("CartesianProduct", "NestedLoop", "SinglePartition"):
         assert bad not in plan
 
 
+@settings(max_examples=60, deadline=None)
+@given(hs.integers(0, 2**32 - 1), hs.integers(1, 400), hs.integers(0, 3))
+def test_boxes_inside_a_task(seed, n, k):
+    rng = np.random.default_rng(seed)
+    y, x = np.round(rng.normal(size=(n, 3)) * 3), rng.normal(size=(50, 3)) * 4
+    x[:, k:] = np.round(x[:, k:])
+    exact = ((x[:, None, :k] - y[None, :, :k]) ** 2).sum(axis=2) + 2.0 * (x[:, None, k:] != y[None, :, k:]).sum(axis=2)
+    bound = np.where(rng.random(50) < 0.5, np.inf, rng.random(50))
+    np.testing.assert_allclose(nb.least_squares(x, y, bound, k), np.minimum(exact.min(axis=1), bound))
+
+
 @settings(max_examples=60, deadline=None)
 @given(hs.integers(0, 2**32 - 1), hs.integers(1, 60), hs.integers(1, 12), hs.integers(0, 3))
 def test_tree_never_loses_a_closer_box(seed, n, leaves, k):
