@@ -25,6 +25,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from twinsight.functions.frames import release
+
+    release(session)
     session.stop()
 
 

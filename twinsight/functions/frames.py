@@ -9,6 +9,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -65,6 +66,27 @@ def materialise(df: DataFrame) -> DataFrame:
 _SCOPES: list[list[str]] = [[]]
 
 
+def sums_before(df: DataFrame, order: list[Column], what: Column, out: str) -> DataFrame:
+    """``df`` with ``out``, the sum of ``what`` over all rows that come before a row in a total order.
+
+    The rows are dealt by range and written; running sums stay inside a part, and the parts' totals, one row a
+    part, give where it begins. No window holds more than a part, and nothing goes to the driver. Merge rows with equal
+    order first: they are never parted.
+    """
+    dealt = materialise(df.repartitionByRange(*order).withColumns({"_part": F.spark_partition_id(), "_what": what}))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_part").agg(F.sum("_what").alias("_total"))
+    starts = totals.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("_what").over(inside), F.lit(0))
+    return dealt.withColumn("_within", within).join(starts, "_part").withColumn(out, F.col("_within") + F.col("_start")).drop("_part", "_what", "_within", "_start")
+
+
+def rows_in_order(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
+    """``df`` with ``rank``, the 0-based place of each row in a total order."""
+    return sums_before(df, order, F.lit(1).cast("long"), rank)
+
+
 class own_tables:
     """``with own_tables(spark) as outer``: what is materialised inside goes when the block ends.
 

@@ -2,56 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MIN_SLICES = 256
-MAX_SLICES = 10_000
+from twinsight.functions.frames import sums_before
 
 
-def roc_auc(
-    scores: DataFrame, score: str, positives: str, negatives: str, out: str = "auc", slices: int | None = None
-) -> DataFrame:
+def roc_auc(scores: DataFrame, score: str, positives: str, negatives: str, out: str = "auc") -> DataFrame:
     """One row: P(score of a positive > score of a negative), a tie counting one half.
 
     ``scores`` carries counts of positives and negatives per row. Equal scores are merged
-    first (map-side), so a score shared by a third of all rows is one row. A running sum over
-    all scores would be one task; the scores are cut into slices at approximate quantiles,
-    slice totals give each slice its offset, and running sums stay inside a slice.
+    first (map-side), so a score shared by a third of all rows is one row. The negatives below a score are a running sum
+    over range partitions, as many as the session and the data call for.
     """
     counts = scores.groupBy(F.col(score).alias("_s")).agg(
         F.sum(positives).cast("double").alias("_p"), F.sum(negatives).cast("double").alias("_n")
     )
-    if slices is None:
-        parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        slices = min(max(MIN_SLICES, 2 * parts), MAX_SLICES)
-    probs = [i / slices for i in range(1, slices)]
-    cuts = sorted(set(counts.approxQuantile("_s", probs, 1.0 / (4 * slices)))) if probs else []
-    if cuts:
-        splits = [float("-inf"), *cuts, float("inf")]
-        sliced = Bucketizer(splits=splits, inputCol="_s", outputCol="_slice").transform(counts)
-    else:
-        sliced = counts.withColumn("_slice", F.lit(0.0))
-    below = W.partitionBy("_slice").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    inside = sliced.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0.0)))
-    per_slice = inside.groupBy("_slice").agg(
-        F.sum("_p").alias("_p"),
-        F.sum("_n").alias("_n"),
-        F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2)).alias("_won"),
-    )
-    # At most ``slices`` rows are left: fold them in order of score.
-    ordered = per_slice.agg(F.array_sort(F.collect_list(F.struct("_slice", "_p", "_n", "_won"))).alias("_all"))
-
-    def step(acc, x):
-        return F.struct(
-            (acc["won"] + x["_won"] + x["_p"] * acc["n"]).alias("won"),
-            (acc["p"] + x["_p"]).alias("p"),
-            (acc["n"] + x["_n"]).alias("n"),
-        )
-
-    zero = F.struct(F.lit(0.0).alias("won"), F.lit(0.0).alias("p"), F.lit(0.0).alias("n"))
-    total = ordered.select(F.aggregate("_all", zero, step).alias("t"))
-    pairs = F.col("t.p") * F.col("t.n")
-    return total.select(F.when(pairs > 0, F.col("t.won") / pairs).alias(out))
+    below = sums_before(counts, [F.col("_s")], F.col("_n"), "_below")
+    won = F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2))
+    pairs = F.sum("_p") * F.sum("_n")
+    return below.agg(F.when(pairs > 0, won / pairs).alias(out))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from twinsight.functions.frames import quoted
 from twinsight.functions.numbers import as_number, category_key, check_supported, is_integral
 from twinsight.operators.profile import infer_column_kinds
 
@@ -97,7 +98,7 @@ class TableEncoder:
             levels[r["name"]].append(r["level"])
         for c, values in levels.items():
             if len(values) > MAX_LEVELS or len(found) > limit:
-                raise ValueError(f"column {c!r} has too many levels for a one-hot block; bin it first")
+                raise ValueError(f"column {c!r} has too many levels for a dense one-hot block; use SparseEncoder")
         return [CategoryColumn(c, tuple(sorted(levels[c]))) for c in self.categorical]
 
     @property
@@ -108,13 +109,13 @@ class TableEncoder:
 
     def scaled(self, df: DataFrame, state: NumericColumn) -> Column:
         """Min-max scaled number; a missing one sits at the midpoint, nothing is clipped."""
-        x = as_number(F.col(state.name), df.schema[state.name].dataType)
+        x = as_number(quoted(state.name), df.schema[state.name].dataType)
         midpoint = (state.lo + state.hi) / 2
         return (F.coalesce(x, F.lit(midpoint)) - F.lit(state.lo)) / F.lit(state.width)
 
     def level_index(self, df: DataFrame, state: CategoryColumn) -> Column:
         """0-based level; an unseen value takes level 0."""
-        key = category_key(F.col(state.name), df.schema[state.name].dataType)
+        key = category_key(quoted(state.name), df.schema[state.name].dataType)
         at = F.array_position(_texts(state.levels), key)
         return F.greatest(at - 1, F.lit(0)).cast("int")
 
@@ -123,7 +124,7 @@ class TableEncoder:
             index = self.level_index(df, state)
             slots = F.sequence(F.lit(0), F.lit(len(state.levels) - 1))
             return F.transform(slots, lambda i: (i == index).cast("float"))
-        key = category_key(F.col(state.name), df.schema[state.name].dataType)
+        key = category_key(quoted(state.name), df.schema[state.name].dataType)
         first, rest = state.levels[:1], state.levels[1:]
         unseen_or_first = ~key.isin(*rest) if rest else F.lit(True)
         slots = [unseen_or_first, *[key == level for level in rest]] if first else []
@@ -159,8 +160,8 @@ class TableEncoder:
         return out
 
     def inverse_transform(self, df: DataFrame, vector: str = "features", keep: Sequence[str] = ()) -> DataFrame:
-        decoded = self.decoded_columns(F.col(vector))
-        return df.select(*keep, *[c.alias(n) for n, c in decoded.items()])
+        decoded = self.decoded_columns(quoted(vector))
+        return df.select(*[quoted(c) for c in keep], *[c.alias(n) for n, c in decoded.items()])
 
     # state as a table
 
@@ -196,7 +197,7 @@ def numeric_bounds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row with ``<c>_lo`` and ``<c>_hi`` per column, from a single aggregate."""
     aggs = []
     for c in columns:
-        x = as_number(F.col(c), df.schema[c].dataType)
+        x = as_number(quoted(c), df.schema[c].dataType)
         aggs += [F.min(x).alias(f"{c}_lo"), F.max(x).alias(f"{c}_hi")]
     return df.agg(*aggs)
 
@@ -204,7 +205,7 @@ def numeric_bounds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def category_levels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct ``(name, level)`` pairs of all category columns in one pass."""
     pairs = [
-        F.struct(F.lit(c).alias("name"), category_key(F.col(c), df.schema[c].dataType).alias("level"))
+        F.struct(F.lit(c).alias("name"), category_key(quoted(c), df.schema[c].dataType).alias("level"))
         for c in columns
     ]
     return df.select(F.inline(F.array(*pairs))).distinct()

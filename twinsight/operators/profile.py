@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinsight.functions.frames import quoted
 from twinsight.functions.numbers import as_number, category_key, check_supported, is_numeric
 
 # Cardinality limits of the kind rule and the known positive labels, by priority.
@@ -36,7 +37,7 @@ def distinct_counts(df: DataFrame, columns: list[str], exact_below: float) -> di
     values = {}
     for c in columns:
         dtype = df.schema[c].dataType
-        values[c] = as_number(F.col(c), dtype) if dtype.typeName() in ("double", "float") else F.col(c)
+        values[c] = as_number(quoted(c), dtype) if dtype.typeName() in ("double", "float") else quoted(c)
     estimate = df.agg(
         *[F.approx_count_distinct(values[c], _HLL_ERROR).alias(f"n{i}") for i, c in enumerate(columns)]
     ).first()
@@ -75,7 +76,7 @@ def infer_column_kinds(
 
 
 def _target_key(df: DataFrame, target: str) -> Column:
-    return category_key(F.col(target), df.schema[target].dataType)
+    return category_key(quoted(target), df.schema[target].dataType)
 
 
 def detect_labels(df: DataFrame, target: str) -> Labels:

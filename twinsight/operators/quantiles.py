@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsight.functions.frames import quoted
+from twinsight.functions.frames import materialise, quoted, sums_before
 
 BRACKET_VALUES = 20_000
 READ_VALUES = 500_000  # over all groups and probabilities
@@ -217,3 +217,31 @@ def _settle(rows: DataFrame, search: dict[str, list[_Rank]]) -> bool:
             if s.value is None:
                 return False
     return True
+
+
+def group_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: str, out: str = "quantiles") -> DataFrame:
+    """``group, n, out``: exact quantiles (linear interpolation) of any number of groups, as a table.
+
+    Equal values of a group are merged first, so a hot value is one row. All groups lie in one order of (group, value), whose
+    running counts are sums over range partitions: a group with a third of all rows spans many parts, a million small
+    ones share one. A row then knows which order statistics it covers, and one aggregate picks them.
+
+    Missing and NaN values are left out; a group without any has no row. A null group is one of its own.
+    """
+    rows = df.select(quoted(group).alias("g"), quoted(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    # 0.0 and -0.0 are one value
+    merged = rows.withColumn("v", F.col("v") + F.lit(0.0)).groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+    placed = materialise(sums_before(merged, [F.col("g"), F.col("v")], F.col("c"), "before"))
+    groups = placed.groupBy(F.col("g").alias("_g")).agg(F.min("before").alias("start"), F.sum("c").alias("n"))
+    met = placed.join(groups, F.col("g").eqNullSafe(F.col("_g"))).withColumn("first", F.col("before") - F.col("start"))
+    parts, picked = [], []
+    for i, p in enumerate(probs):
+        at = (F.col("n") - 1) * F.lit(float(p))
+        for name, rank in ((f"lo{i}", F.floor(at)), (f"hi{i}", F.ceil(at))):
+            covers = (F.col("first") <= rank) & (rank < F.col("first") + F.col("c"))
+            parts.append(F.max(F.when(covers, F.col("v"))).alias(name))
+        lo, hi, gap = F.col(f"lo{i}"), F.col(f"hi{i}"), at - F.floor(at)
+        # As exact_quantiles does it: from the nearer end, and a value that both ends share as it is.
+        picked.append(F.when(lo == hi, lo).when(gap < 0.5, lo + (hi - lo) * gap).otherwise(hi - (hi - lo) * (1 - gap)))
+    found = met.groupBy("g", "n").agg(*parts)
+    return found.select(F.col("g").alias(group), "n", F.array(*picked).alias(out))

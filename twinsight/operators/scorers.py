@@ -42,7 +42,7 @@ def apply_scorer(df: DataFrame, scorer: Scorer, out: str = "prob") -> DataFrame:
 
 def logistic_scorer(column: str, centre: float, scale: float, height: float = 1.0) -> Column:
     """Closed form ``height / (1 + exp(-(x - centre) / scale))``."""
-    return F.lit(height) / (F.lit(1.0) + F.exp(-(F.col(column) - F.lit(centre)) / F.lit(scale)))
+    return F.lit(height) / (F.lit(1.0) + F.exp(-(quoted(column) - F.lit(centre)) / F.lit(scale)))
 
 
 class PythonScorer:
@@ -90,8 +90,9 @@ class TreeScorer:
         self.model: PipelineModel | None = None
 
     def _prepared(self, df: DataFrame) -> DataFrame:
-        columns = {f"num_{c}": coerce_numeric(F.col(c), df.schema[c].dataType) for c in self.numeric}
-        columns |= {f"cat_{c}": category_key(F.col(c), df.schema[c].dataType) for c in self.categorical}
+        # By position: a pipeline cannot take every name that a column may have.
+        columns = {f"_num_{i}": coerce_numeric(quoted(c), df.schema[c].dataType) for i, c in enumerate(self.numeric)}
+        columns |= {f"_cat_{i}": category_key(quoted(c), df.schema[c].dataType) for i, c in enumerate(self.categorical)}
         return df.withColumns(columns) if columns else df
 
     def fit(self, df: DataFrame, features: Sequence[str] | None = None) -> TreeScorer:
@@ -100,11 +101,11 @@ class TreeScorer:
         # Free text would give the indexer a level per row; the kinds leave it out, as the encoder does.
         kinds = infer_column_kinds(df.select(*[quoted(c) for c in names if c not in self.numeric])) if len(names) > len(self.numeric) else {}
         self.categorical = [c for c, kind in kinds.items() if kind == "categorical"]
-        label = category_key(F.col(self.target), df.schema[self.target].dataType) == F.lit(self.positive)
+        label = category_key(quoted(self.target), df.schema[self.target].dataType) == F.lit(self.positive)
         stages = []
-        inputs = [f"num_{c}" for c in self.numeric]
+        inputs = [f"_num_{i}" for i in range(len(self.numeric))]
         if self.categorical:
-            cats = [f"cat_{c}" for c in self.categorical]
+            cats = [f"_cat_{i}" for i in range(len(self.categorical))]
             indexed = [f"{c}_index" for c in cats]
             hot = [f"{c}_hot" for c in cats]
             stages.append(StringIndexer(inputCols=cats, outputCols=indexed, handleInvalid="keep"))
@@ -129,4 +130,4 @@ class TreeScorer:
         if self.model is None:
             raise RuntimeError("fit the scorer first")
         scored = self.model.transform(self._prepared(df)).withColumn("prob", vector_to_array("probability")[1])
-        return scored.select(*df.columns, "prob")
+        return scored.select(*[quoted(c) for c in df.columns], "prob")

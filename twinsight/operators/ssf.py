@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from twinsight.functions.frames import materialise, quoted
-from twinsight.operators.quantiles import exact_quantiles
+from twinsight.operators.quantiles import exact_quantiles, group_quantiles
 from twinsight.operators.scorers import Scorer, apply_scorer
 from twinsight.operators.value import TERCILES, tier_name
 
@@ -76,9 +76,9 @@ def strategy_table(
 
 
 def score_population(
-    df: DataFrame, scorer: Scorer, value_col: str, name: str, on_missing: str = "error"
+    df: DataFrame, scorer: Scorer, value_col: str, name: str | Column, on_missing: str = "error"
 ) -> DataFrame:
-    """``(population, prob, value)`` with a strictly numeric value.
+    """``(population, prob, value)`` with a strictly numeric value; ``name`` is one population or a column that tells them apart.
 
     A missing value has no place in a tercile: it raises at run time, or is dropped on request.
     """
@@ -86,7 +86,7 @@ def score_population(
         raise ValueError("on_missing must be 'error' or 'drop'")
     value = quoted(value_col).cast("double")
     scored = apply_scorer(df, scorer).select(
-        F.lit(name).alias("population"), F.col("prob").cast("double").alias("prob"), value.alias("value")
+        (F.lit(name) if isinstance(name, str) else name).alias("population"), F.col("prob").cast("double").alias("prob"), value.alias("value")
     )
     missing = F.col("value").isNull() | F.isnan("value")
     if on_missing == "drop":
@@ -351,3 +351,57 @@ def compare_candidates(
         populations = populations.unionByName(score_population(df, scorer, value_col, name, on_missing))
     family = strategy_table(real.sparkSession, strategy_family)
     return compare_decisions(strategy_returns(populations, [REAL, *candidates], family, econ))
+
+
+#: (segment, threshold) pairs of a family that may be compared by key: each is a row per candidate.
+_KEYED_PAIRS = 10_000
+
+
+def compare_by_key(
+    real: DataFrame,
+    synthetic: DataFrame,
+    candidate: str,
+    scorer: Scorer,
+    value_col: str,
+    strategy_family: DataFrame | Sequence[Strategy] | None = None,
+    econ: CampaignEconomics | None = None,
+    on_missing: str = "error",
+) -> DataFrame:
+    """Per-strategy rows of as many synthetic populations as column ``candidate`` tells apart, against one real one.
+
+    The candidate is a key like any other: terciles, bucket sums and returns are grouped by it, and the real side is joined
+    by strategy. The plan is the same for two candidates and for a million. A null candidate is one of its own.
+    """
+    econ = econ or CampaignEconomics()
+    family = strategy_table(real.sparkSession, strategy_family)
+    thresholds = _distinct_thresholds(family)
+    family = _add_level(family, thresholds)
+    key = quoted(candidate).cast("string")
+    named = F.when(key.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), key))  # no candidate is called like the real one
+    populations = score_population(real, scorer, value_col, REAL, on_missing).unionByName(
+        score_population(synthetic, scorer, value_col, named, on_missing)
+    )
+    cuts = group_quantiles(populations, "value", TERCILES, "population", "cuts").select("population", "cuts")
+    tiered = populations.join(cuts, "population").withColumn("tier", tier_name(F.col("value"), F.col("cuts")[0], F.col("cuts")[1]))
+    sums = bucket_sums(tiered, thresholds)
+    asked = family.filter(F.col("segment").isin(SEGMENTS)).select("segment", F.col("level").alias("bucket")).distinct().limit(_KEYED_PAIRS + 1).collect()
+    if len(asked) > _KEYED_PAIRS:
+        raise ValueError(f"more than {_KEYED_PAIRS} pairs of segment and threshold to compare by key")
+    zero = {"n": F.lit(0).cast("long"), "hit_value": F.lit(0.0), "miss_value": F.lit(0.0)}
+    pairs = F.array(*[F.struct(F.lit(r["segment"]).alias("segment"), F.lit(r["bucket"]).alias("bucket")) for r in asked])
+    # Every population has a row for every pair, flagged customers or not.
+    filled = sums.unionByName(cuts.select("population", F.inline(pairs)).withColumns(zero))
+    keys = ["population", "segment", "bucket"]
+    filled = filled.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in zero])
+    from_level_up = W.partitionBy("population", "segment").orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, 0)
+    totals = filled.select(*keys, *[F.sum(c).over(from_level_up).alias(c) for c in zero]).withColumnRenamed("bucket", "level")
+    saved = F.col("hit_value") * F.lit(econ.value_recoverable * econ.success_rate) * (1 - F.col("discount"))
+    waste = F.col("miss_value") * F.col("discount") * F.lit(econ.fp_redemption)
+    roi = saved - waste - F.col("n") * F.lit(float(econ.retention_offer_cost))
+    returns = family.join(totals, ["segment", "level"]).select("population", *_FAMILY_COLUMNS, "copies", roi.alias("roi"))
+    returns = materialise(returns)
+    ours = returns.filter(F.col("population") == REAL).select(*_FAMILY_COLUMNS, F.struct(F.lit(REAL).alias("population"), "roi").alias("real"))
+    both = returns.filter(F.col("population") != REAL).join(ours, _FAMILY_COLUMNS)
+    name = F.when(F.col("population") != "null", F.expr("substring(population, 2)"))
+    pair = F.array("real", F.struct(name.alias("population"), "roi"))
+    return compare_decisions(both.select(*_FAMILY_COLUMNS, "copies", pair.alias("returns")))

@@ -18,9 +18,10 @@ from twinsight.operators import encoder as enc
 from twinsight.operators import privacy, ssf, value
 from twinsight.operators.features import distinct_rows, joint_encode, joint_levels, joint_space
 from twinsight.operators.neighbours import nearest_distance
-from twinsight.operators.profile import binarise, detect_labels, infer_column_kinds
-from twinsight.operators.quantiles import exact_quantiles
+from twinsight.operators.profile import binarise, detect_labels, infer_column_kinds, label_text
+from twinsight.operators.quantiles import exact_quantiles, group_quantiles
 from twinsight.operators.scorers import PythonScorer, TreeScorer, apply_scorer, logistic_scorer
+from twinsight.operators.sparse import SparseEncoder
 from twinsight.operators.split import stratified_split
 from twinsight.plans import stand_ins as st
 from twinsight.sources import load_clean
@@ -76,6 +77,15 @@ def split_stratified_70(spark: SparkSession, sf: str) -> DataFrame:
     return both.toDF("o_orderkey", "o_orderstatus", "part")
 
 
+@query("split_apportioned")
+def split_apportioned(spark: SparkSession, sf: str) -> DataFrame:
+    """One total over a stratum per supplier: its largest remainders settle who gives the odd rows."""
+    lines = st.table(spark, sf, "lineitem").withColumn("line", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    train, holdout = stratified_split(lines.select("line", "l_suppkey").distinct(), "l_suppkey", "line", test_size=0.3, overall=True)
+    both = train.withColumn("part", F.lit("train")).unionByName(holdout.withColumn("part", F.lit("holdout")))
+    return both.groupBy("l_suppkey", "part").agg(F.count(F.lit(1)).alias("n"), F.max("line").alias("last_line"))
+
+
 # Cleaning and profiling
 
 
@@ -180,7 +190,7 @@ def encode_vector(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("encoder_profile")
 def encoder_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean and spread of every position of the encoded order lines."""
+    """Mean and maximum of every position of the encoded order lines."""
     lines = st.labelled_lines(spark, sf)
     fitted = enc.TableEncoder(["l_linenumber", "l_linestatus"], ["l_quantity", "l_extendedprice"]).fit(lines)
     cells = lines.select(F.posexplode(fitted.vector(lines)).alias("pos", "val"))
@@ -225,6 +235,82 @@ def encode_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("o_orderkey", "o_orderstatus", "o_orderpriority", close.alias("price_is_close"))
 
 
+def _many_levels(spark: SparkSession, sf: str) -> tuple[DataFrame, SparseEncoder]:
+    lines = st.table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "l.part key")
+    return lines, SparseEncoder(["l.part key", "l_suppkey"], ["l_quantity"]).fit(lines)
+
+
+@query("encode_many_levels")
+def encode_many_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """A level per part and per supplier: slots of every line, summed by line so that repeated lines show."""
+    lines, fitted = _many_levels(spark, sf)
+    rows = fitted.transform(lines).select("l_orderkey", "l_linenumber", F.explode(F.arrays_zip("slots", "values")).alias("cell"))
+    rows = rows.groupBy("l_orderkey", "l_linenumber", F.col("cell.slots").alias("slot"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), r6(F.sum(F.col("cell.values").cast("double"))).alias("total"))
+
+
+@query("decode_many_levels")
+def decode_many_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Back from sparse rows: the line's own part against another one, above and below the slots that are not listed."""
+    lines, fitted = _many_levels(spark, sf)
+    first, n = fitted.blocks[0]
+    rows = fitted.transform(lines)
+    other = (F.lit(first) + F.pmod(F.col("l_orderkey") * 7, F.lit(n))).cast("long")
+    sign = F.when(F.col("l_quantity") > 25, 1.0).otherwise(-1.0)
+    own = F.element_at("slots", -2)  # before the supplier's
+    cells = F.array_sort(F.array(F.struct(own.alias("s"), sign.alias("v")), F.struct(other.alias("s"), (sign * 0.5).alias("v"))))
+    cells = F.filter(cells, lambda cell: (cell["s"] != own) | (cell["v"] == sign))
+    held = rows.select("l_orderkey", "l_linenumber", cells["s"].alias("slots"), cells["v"].cast("array<float>").alias("values"))
+    back = fitted.inverse_transform(held, keep=["l_orderkey", "l_linenumber"])
+    return back.select("l_orderkey", "l_linenumber", F.col("`l.part key`").alias("decoded"))
+
+
+@query("fit_transform")
+def fit_transform(spark: SparkSession, sf: str) -> DataFrame:
+    """Fitted on and applied to the same customers, one row per customer and position."""
+    customers = st.table(spark, sf, "customer")
+    coded = enc.TableEncoder(["c_mktsegment"], ["c_acctbal"]).fit_transform(customers, "x")
+    return coded.select("c_custkey", F.posexplode("x").alias("pos", "val")).withColumn("val", r6(F.col("val").cast("double")))
+
+
+@query("label_text")
+def label_text_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels to 0 / 1 and back to text; every other level reads as the negative label."""
+    orders = st.table(spark, sf, "orders")
+    labels = detect_labels(orders, "o_orderpriority")
+    y = binarise(orders, "o_orderpriority", labels)
+    return orders.select("o_orderkey", y.alias("y"), label_text(y, labels).alias("label"))
+
+
+@query("split_positional")
+def split_positional(spark: SparkSession, sf: str) -> DataFrame:
+    """The first rows by key against the rest: the smallest 30 % of the customers' key range."""
+    customers = st.table(spark, sf, "customer")
+    cut = customers.agg(F.floor(F.max("c_custkey") * 0.3).alias("cut"))
+    both = customers.join(F.broadcast(cut), F.col("c_custkey") <= F.col("cut"), "left")
+    return both.select("c_custkey", F.when(F.col("cut").isNotNull(), "first").otherwise("rest").alias("part"))
+
+
+@query("any_names")
+def any_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Profile, encoder, tiers, weights and scorer on columns whose names hold dots, blanks and quotes."""
+    named = {"c_acctbal": "Monthly.Charge", "c_mktsegment": "pl.an `x`", "c_nationkey": "na tion", "churn": "churn?.label"}
+    customers = st.labelled_customers(spark, sf).withColumnsRenamed(named)
+    kinds = infer_column_kinds(customers, "churn?.label")
+    labels = detect_labels(customers, "churn?.label")
+    fitted = enc.TableEncoder.infer(customers, "churn?.label").fit(customers)
+    coded = value.value_tiers(fitted.transform(customers, "en.coded"), "Monthly.Charge")
+    coded = coded.withColumn("w.t", value.weight_column(customers, "Monthly.Charge"))
+    coded = value.sampling_probability(coded, "w.t", "pro.b").withColumn("y", binarise(coded, "churn?.label", labels))
+    back = fitted.inverse_transform(coded, "en.coded", keep=["tier", "y", "w.t", "pro.b"])
+    scored = TreeScorer("churn?.label", "Yes", trees=2).fit(customers)(customers)
+    n_scored = scored.filter("prob BETWEEN 0 AND 1").count()
+    return back.groupBy("tier", F.col("`pl.an ``x```").alias("segment")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"), r6(F.sum("`pro.b`")).alias("probability"), F.sum("`w.t`").alias("weight"),
+        F.lit(",".join(sorted(kinds.values()))).alias("kinds"), F.lit(n_scored).alias("n_scored"),
+    )
+
+
 # Value tiers, weights, resampling
 
 
@@ -233,10 +319,12 @@ def value_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return _quantile_table(spark, sf)
 
 
-@query("value_quantiles_bracketed")
-def value_quantiles_bracketed(spark: SparkSession, sf: str) -> DataFrame:
-    """The same by the bracketing search that large tables take."""
-    return _quantile_table(spark, sf)
+@query("value_quantiles_by_part")
+def value_quantiles_by_part(spark: SparkSession, sf: str) -> DataFrame:
+    """A group per part, as a table."""
+    found = group_quantiles(st.table(spark, sf, "lineitem"), "l_extendedprice", [1 / 3, 2 / 3, 0.9], "l_partkey")
+    q = F.col("quantiles")
+    return found.select("l_partkey", "n", r6(q[0]).alias("q33"), r6(q[1]).alias("q67"), r6(q[2]).alias("q90"))
 
 
 def _quantile_table(spark: SparkSession, sf: str, **options) -> DataFrame:
@@ -290,6 +378,14 @@ def weighted_resample(spark: SparkSession, sf: str) -> DataFrame:
     return drawn.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("copies"))
 
 
+@query("weighted_resample_exact")
+def weighted_resample_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """As many draws as there are order lines, over the customers."""
+    n = st.table(spark, sf, "lineitem").count()
+    drawn = value.exact_resample(_weighted_customers(spark, sf), "weight", n, F.col("c_custkey"), seed=3)
+    return drawn.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("copies"))
+
+
 @query("condition_vector")
 def condition_vector(spark: SparkSession, sf: str) -> DataFrame:
     orders = st.table(spark, sf, "orders")
@@ -438,6 +534,14 @@ def ssf_compare_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded_summary(ssf.summarise(compared, ["candidate"]), "candidate")
 
 
+@query("ssf_many_candidates")
+def ssf_many_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """A candidate per supplier: its own lines against all lines."""
+    lines = st.table(spark, sf, "lineitem").select("l_quantity", F.col("l_extendedprice").alias("value"), "l_suppkey")
+    compared = ssf.compare_by_key(lines.drop("l_suppkey"), lines, "l_suppkey", st.line_scorer(), "value", econ=st.ECONOMICS)
+    return _rounded_summary(ssf.summarise(compared, ["candidate"]), "candidate")
+
+
 # Privacy and novelty
 
 
@@ -491,6 +595,19 @@ def nn_distance_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("nn_distance_wide")
+def nn_distance_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten columns of one range, where no box is far from any query: orders against a partly copied twin."""
+    orders = st.table(spark, sf, "orders")
+    drawn = {f"x{i}": keyed_uniform(F.col("o_orderkey"), f"wide{i}") for i in range(10)}
+    real = orders.select("o_orderstatus", *[x.alias(c) for c, x in drawn.items()])
+    moved = {c: F.when(F.col("o_orderstatus") == "F", F.col(c)).otherwise(1 - F.col(c) * F.col(c)) for c in drawn}
+    rows = _pair_distances(real, real.withColumns(moved))
+    return rows.groupBy("o_orderstatus").agg(
+        F.sum("n").alias("n_rows"), r6(F.avg("distance")).alias("mean_distance"), r6(F.max("distance")).alias("max_distance")
+    )
+
+
 def _pair_distances(real: DataFrame, synth: DataFrame) -> DataFrame:
     space = joint_space(synth, real)
     queries = distinct_rows(joint_encode(real, space), space, n=F.lit(1))

@@ -45,6 +45,20 @@ FROM (
   FROM orders)
 """
 
+ORACLES["split_apportioned"] = """
+WITH lines AS (SELECT DISTINCT concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line, l_suppkey FROM lineitem),
+     sizes AS (SELECT l_suppkey, count(*) AS n, sum(count(*)) OVER () AS total FROM lines GROUP BY l_suppkey),
+     goal AS (SELECT *, total - CAST(ceil(0.3::DOUBLE * total) AS BIGINT) AS train FROM sizes),
+     shares AS (SELECT *, n * train // total AS whole, n * train % total AS rest FROM goal),
+     takes AS (SELECT l_suppkey, whole + CAST(row_number() OVER (ORDER BY rest DESC, l_suppkey) <= train - sum(whole) OVER () AS BIGINT) AS take FROM shares),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY md5(line || ':split0'), line) AS rn FROM lines)
+SELECT r.l_suppkey, CASE WHEN rn <= take THEN 'train' ELSE 'holdout' END AS part, count(*) AS n, max(line) AS last_line
+FROM ranked r JOIN takes t ON r.l_suppkey = t.l_suppkey GROUP BY ALL
+"""
+ORACLES["split_positional"] = """
+SELECT c_custkey, CASE WHEN c_custkey <= (SELECT floor(max(c_custkey) * 0.3::DOUBLE) FROM customer) THEN 'first' ELSE 'rest' END AS part FROM customer
+"""
+
 # Cleaning and profiling
 
 ORACLES["coerce_numeric"] = """
@@ -168,6 +182,50 @@ SELECT c_custkey, level AS decoded FROM r WHERE rn = 1
 
 ORACLES["encode_roundtrip"] = "SELECT o_orderkey, o_orderstatus, o_orderpriority, true AS price_is_close FROM orders"
 
+_SLOTS = """
+levels AS (SELECT 0 AS block, CAST(l_partkey AS VARCHAR) AS level FROM lineitem UNION SELECT 1, CAST(l_suppkey AS VARCHAR) FROM lineitem),
+slots AS (SELECT *, row_number() OVER (ORDER BY block, level) AS slot FROM levels)
+"""
+ORACLES["encode_many_levels"] = f"""
+WITH {_SLOTS},
+     bounds AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem),
+     cells AS (SELECT l_orderkey, l_linenumber, 0 AS slot, CAST(CAST((l_quantity - lo) / (hi - lo) AS FLOAT) AS DOUBLE) AS val FROM lineitem, bounds
+               UNION ALL SELECT l_orderkey, l_linenumber, slot, 1.0 FROM lineitem JOIN slots ON block = 0 AND level = CAST(l_partkey AS VARCHAR)
+               UNION ALL SELECT l_orderkey, l_linenumber, slot, 1.0 FROM lineitem JOIN slots ON block = 1 AND level = CAST(l_suppkey AS VARCHAR))
+SELECT l_orderkey, l_linenumber, slot, count(*) AS n, round(sum(val), 6) AS total FROM cells WHERE val <> 0 GROUP BY ALL
+"""
+ORACLES["decode_many_levels"] = f"""
+WITH {_SLOTS},
+     parts AS (SELECT level, slot FROM slots WHERE block = 0),
+     rows AS (SELECT l_orderkey, l_linenumber, l_quantity > 25 AS up, slot AS own,
+                     1 + (l_orderkey * 7) % (SELECT count(*) FROM parts) AS other
+              FROM lineitem JOIN parts ON level = CAST(l_partkey AS VARCHAR)),
+     best AS (SELECT *, CASE WHEN up THEN own
+                             WHEN own <> 1 AND other <> 1 THEN 1 WHEN own <> 2 AND other <> 2 THEN 2 ELSE 3 END AS slot FROM rows)
+SELECT l_orderkey, l_linenumber, level AS decoded FROM best JOIN parts ON parts.slot = best.slot
+"""
+ORACLES["fit_transform"] = """
+WITH b AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer),
+     l AS (SELECT c_mktsegment AS level, row_number() OVER (ORDER BY c_mktsegment) AS pos FROM (SELECT DISTINCT c_mktsegment FROM customer))
+SELECT c_custkey, CAST(0 AS INT) AS pos, round(CAST(CAST((c_acctbal - lo) / (hi - lo) AS FLOAT) AS DOUBLE), 6) AS val FROM customer, b
+UNION ALL SELECT c_custkey, CAST(pos AS INT), CASE WHEN c_mktsegment = level THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM customer, l
+"""
+ORACLES["label_text"] = """
+WITH l AS (SELECT max(o_orderpriority) AS pos, min(o_orderpriority) AS neg FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderpriority = pos THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y,
+       CASE WHEN o_orderpriority = pos THEN pos ELSE neg END AS label FROM orders, l
+"""
+ORACLES["any_names"] = """
+WITH c AS (SELECT *, c_acctbal < 2000 OR c_mktsegment = 'BUILDING' AS risky FROM customer),
+     q AS (SELECT quantile_cont(c_acctbal, 1/3::DOUBLE) AS t1, quantile_cont(c_acctbal, 2/3::DOUBLE) AS t2, quantile_cont(c_acctbal, 0.9) AS top FROM c),
+     w AS (SELECT *, CASE WHEN c_acctbal >= top THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+                  CASE WHEN c_acctbal > t2 THEN 'high' WHEN c_acctbal > t1 THEN 'mid' ELSE 'low' END AS tier FROM c, q)
+SELECT tier, c_mktsegment AS segment, count(*) AS n, CAST(sum(CAST(risky AS INT)) AS DOUBLE) AS positives,
+       round(sum(weight / (SELECT sum(weight) FROM w)), 6) AS probability, sum(weight) AS weight,
+       'categorical,numeric,numeric' AS kinds, (SELECT count(*) FROM customer) AS n_scored
+FROM w GROUP BY ALL
+"""
+
 # Value tiers, weights, resampling
 
 ORACLES["value_quantiles"] = """
@@ -175,7 +233,11 @@ SELECT l_returnflag, round(quantile_cont(l_extendedprice, 1/3::DOUBLE), 6) AS q3
        round(quantile_cont(l_extendedprice, 2/3::DOUBLE), 6) AS q67, round(quantile_cont(l_extendedprice, 0.9), 6) AS q90
 FROM lineitem GROUP BY l_returnflag
 """
-ORACLES["value_quantiles_bracketed"] = ORACLES["value_quantiles"]
+ORACLES["value_quantiles_by_part"] = """
+SELECT l_partkey, count(*) AS n, round(quantile_cont(l_extendedprice, 1/3::DOUBLE), 6) AS q33,
+       round(quantile_cont(l_extendedprice, 2/3::DOUBLE), 6) AS q67, round(quantile_cont(l_extendedprice, 0.9), 6) AS q90
+FROM lineitem GROUP BY l_partkey
+"""
 
 _ORDER_CUTS = """
 q AS (SELECT quantile_cont(o_totalprice, 1/3::DOUBLE) AS t1, quantile_cont(o_totalprice, 2/3::DOUBLE) AS t2 FROM orders)
@@ -213,6 +275,13 @@ WITH {_WEIGHTS},
 SELECT c_custkey, count(*) AS copies FROM cdf WHERE u > c GROUP BY c_custkey
 """
 
+ORACLES["weighted_resample_exact"] = f"""
+WITH {_WEIGHTS},
+     line AS (SELECT c_custkey, sum(weight) OVER (ORDER BY md5(CAST(c_custkey AS VARCHAR) || ':line3'), CAST(c_custkey AS VARCHAR)) - weight AS low FROM w),
+     points AS (SELECT {_uniform("id", "draw3")} * (SELECT sum(weight) FROM w) AS pos FROM range(0, (SELECT count(*) FROM lineitem)) AS r(id))
+SELECT c_custkey, count(*) AS copies FROM points ASOF JOIN line ON pos >= low GROUP BY c_custkey
+"""
+
 ORACLES["condition_vector"] = f"""
 WITH {_ORDER_CUTS},
      r AS (SELECT o_orderkey, CASE WHEN o_orderstatus = (SELECT max(o_orderstatus) FROM orders) THEN 1 ELSE 0 END AS y,
@@ -324,6 +393,16 @@ ORACLES["ssf_compare_candidates"] = (
     f"WITH {_GRID}, {_CANDIDATES}, {_roi()}, {_PAIR} SELECT candidate, {_SUMMARY_COLUMNS} FROM pair GROUP BY candidate"
 )
 
+ORACLES["ssf_many_candidates"] = f"""
+WITH {_GRID},
+     scored AS (SELECT l_suppkey, l_extendedprice AS value, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(l_quantity - 25.0::DOUBLE) / 10.0::DOUBLE)) AS prob FROM lineitem),
+     pop AS (SELECT 'real' AS population, value, prob FROM scored UNION ALL SELECT CAST(l_suppkey AS VARCHAR), value, prob FROM scored),
+     cuts AS (SELECT population, quantile_cont(value, 1/3::DOUBLE) AS t1, quantile_cont(value, 2/3::DOUBLE) AS t2 FROM pop GROUP BY population),
+     tiered AS (SELECT p.*, CASE WHEN value > t2 THEN 'high' WHEN value > t1 THEN 'mid' ELSE 'low' END AS tier
+                FROM pop p JOIN cuts c ON p.population = c.population),
+     {_roi()}, {_PAIR} SELECT candidate, {_SUMMARY_COLUMNS} FROM pair GROUP BY candidate
+"""
+
 # Privacy and novelty
 
 ORACLES["joint_encode"] = """
@@ -388,6 +467,32 @@ SELECT t.o_totalprice, t.o_orderstatus, t.o_orderpriority, t.n,
                       + CASE WHEN t.o_orderpriority = s.o_orderpriority THEN 0 ELSE 2 END)), 6) AS distance
 FROM tuples t, synth s GROUP BY ALL
 """
+_TEN = range(10)
+ORACLES["nn_distance_wide"] = f"""
+WITH r AS MATERIALIZED (SELECT o_orderstatus, {", ".join(f"{_uniform('o_orderkey', f'wide{i}')} AS x{i}" for i in _TEN)} FROM orders),
+     s AS MATERIALIZED (SELECT o_orderstatus, {", ".join(f"CASE WHEN o_orderstatus = 'F' THEN x{i} ELSE 1 - x{i} * x{i} END AS x{i}" for i in _TEN)} FROM r),
+     d AS (SELECT r.o_orderstatus, {", ".join(f"r.x{i}" for i in _TEN)},
+                  sqrt(min({" + ".join(f"(r.x{i} - s.x{i}) * (r.x{i} - s.x{i})" for i in _TEN)}
+                           + CASE WHEN r.o_orderstatus = s.o_orderstatus THEN 0 ELSE 2 END)) AS distance
+           FROM r, s GROUP BY ALL)
+SELECT o_orderstatus, count(*) AS n_rows, round(avg(distance), 6) AS mean_distance, round(max(distance), 6) AS max_distance FROM d GROUP BY o_orderstatus
+"""
+# A line's nearest price of the same flag and status bounds its distance; every closer row has a price within that bound.
+ORACLES["nn_distance_lines"] = """
+WITH t AS (SELECT l_quantity AS q, l_extendedprice AS p, l_discount AS d, l_returnflag AS f, l_linestatus AS s, count(*) AS n FROM lineitem GROUP BY ALL),
+     x AS (SELECT DISTINCT l_quantity AS q, CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE l_extendedprice * 1.01::DOUBLE + 7.0::DOUBLE END AS p,
+                  l_discount AS d, l_returnflag AS f, l_linestatus AS s FROM lineitem),
+     below AS (SELECT t.*, (t.p - x.p) ** 2 + (t.q - x.q) ** 2 + (t.d - x.d) ** 2 AS d2 FROM t ASOF LEFT JOIN x ON t.f = x.f AND t.s = x.s AND t.p >= x.p),
+     near AS (SELECT b.q, b.p, b.d, b.f, b.s, b.n, least(coalesce(b.d2, 1e300), coalesce((b.p - x.p) ** 2 + (b.q - x.q) ** 2 + (b.d - x.d) ** 2, 1e300)) AS d2
+              FROM below b ASOF LEFT JOIN x ON b.f = x.f AND b.s = x.s AND b.p <= x.p),
+     reach AS (SELECT *, p - sqrt(d2) - 1e-9 AS lo, p + sqrt(d2) + 1e-9 AS hi FROM near),
+     dist AS (SELECT r.q, r.p, r.d, r.f, r.s, r.n,
+                     sqrt(min((r.p - x.p) ** 2 + (r.q - x.q) ** 2 + (r.d - x.d) ** 2 + CASE WHEN r.f = x.f THEN 0 ELSE 2 END + CASE WHEN r.s = x.s THEN 0 ELSE 2 END)) AS distance
+              FROM reach r JOIN x ON x.p >= r.lo AND x.p <= r.hi GROUP BY ALL)
+SELECT f AS l_returnflag, CAST(sum(n) AS BIGINT) AS n_rows, round(avg(distance), 6) AS mean_distance, round(max(distance), 6) AS max_distance,
+       CAST(sum(CASE WHEN distance = 0 THEN n ELSE 0 END) AS BIGINT) AS n_copied
+FROM dist GROUP BY f
+"""
 ORACLES["membership_scores"] = f"""
 WITH {_ATTACK}, {_SCORES}
 SELECT round(s, 6) AS score, CAST(sum(p) AS BIGINT) AS n_member, CAST(sum(n) AS BIGINT) AS n_other FROM scores GROUP BY 1

@@ -8,9 +8,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinsight.functions.frames import quoted
 from twinsight.functions.numbers import coerce_numeric
 
 _BY_SUFFIX = {"parquet": "parquet", "orc": "orc", "json": "json", "csv": "csv", "gz": "csv"}
@@ -36,5 +36,5 @@ def load_clean(df: DataFrame, id_columns: Sequence[str], number_columns: Sequenc
     """Drop identifier columns (ignored if absent) and turn text columns into numbers, blanks to 0."""
     out = df.drop(*id_columns)
     return out.withColumns(
-        {c: coerce_numeric(F.col(c), out.schema[c].dataType) for c in number_columns if c in out.columns}
+        {c: coerce_numeric(quoted(c), out.schema[c].dataType) for c in number_columns if c in out.columns}
     )
