@@ -56,11 +56,11 @@ class SparseEncoder:
             at.append(F.coalesce(f"_slot_{i}", F.lit(self.blocks[i][0])))
         scaled = [self.numbers.scaled(df, state).cast("float") for state in self.numbers.numeric_state]
         # No lambda here: users may well put one over the slots, and Spark does not evaluate nested ones reliably.
-        cells = [
-            *[F.when(x != 0, F.struct(F.lit(i).cast("long").alias("slot"), x.alias("value"))) for i, x in enumerate(scaled)],
-            *[F.struct(x.alias("slot"), F.lit(1.0).cast("float").alias("value")) for x in at],
-        ]
-        filled = F.array_compact(F.array(*cells)) if cells else F.array().cast("array<struct<slot:long,value:float>>")
+        none = F.array().cast("array<struct<slot:bigint,value:float>>")
+        cells = [F.array(F.struct(F.lit(i).cast("long").alias("slot"), x.alias("value"))) for i, x in enumerate(scaled)]
+        cells = [F.when(x != 0, cell).otherwise(none) for x, cell in zip(scaled, cells, strict=True)]
+        cells += [F.array(F.struct(x.cast("long").alias("slot"), F.lit(1.0).cast("float").alias("value"))) for x in at]
+        filled = F.concat(none, *cells)
         columns = [quoted(c) for c in df.columns]
         return out.select(*columns, filled.alias("_cells")).select(*columns, F.col("_cells.slot").alias(slots), F.col("_cells.value").alias(values))
 
