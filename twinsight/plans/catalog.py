@@ -258,8 +258,8 @@ def decode_many_levels(spark: SparkSession, sf: str) -> DataFrame:
     other = (F.lit(first) + F.pmod(F.col("l_orderkey") * 7, F.lit(n))).cast("long")
     sign = F.when(F.col("l_quantity") > 25, 1.0).otherwise(-1.0)
     own = F.element_at("slots", -2)  # before the supplier's
-    cells = F.array_sort(F.array(F.struct(own.alias("s"), sign.alias("v")), F.struct(other.alias("s"), (sign * 0.5).alias("v"))))
-    cells = F.filter(cells, lambda cell: (cell["s"] != own) | (cell["v"] == sign))
+    mine, theirs = F.struct(own.alias("s"), sign.alias("v")), F.struct(other.alias("s"), (sign * 0.5).alias("v"))
+    cells = F.when(own == other, F.array(mine)).otherwise(F.sort_array(F.array(mine, theirs)))
     held = rows.select("l_orderkey", "l_linenumber", cells["s"].alias("slots"), cells["v"].cast("array<float>").alias("values"))
     back = fitted.inverse_transform(held, keep=["l_orderkey", "l_linenumber"])
     return back.select("l_orderkey", "l_linenumber", F.col("`l.part key`").alias("decoded"))
