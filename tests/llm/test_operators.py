@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 
 import numpy as np
@@ -362,6 +363,9 @@ def test_tree_fits_its_table():
 
 def test_unclosed_quotes_stay_linear():
     assert html_text.main_text("<p a='" * 20000, TREE) is not None
+    began = time.perf_counter()
+    html_text.main_text("<div>" * 30000 + "</section>" * 30000 + "<svg>" + "<div>" * 30000 + "</section>" * 30000 + "</svg>", TREE)
+    assert time.perf_counter() - began < 5
 
 
 def test_pages_table(spark, data):
@@ -407,3 +411,35 @@ def test_leaks(spark, texts, edge, awkward, empty):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(awkward, asked).collect()} == got
     assert decontaminate.find_leaks(empty, asked).count() == 0
     assert decontaminate.find_leaks(edge, asked.limit(0)).count() == 0
+
+
+STORY = "<h1>A headline of the story</h1>" + "<p>" + "one plain sentence of the story follows another here. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize("page", [
+    "<body class='page header-fixed'><article>{}</article></body>", "<body class='nav open'><main>{}</main></body>",
+    "<html class='no-sidebar'><body id=top><article class='related story'>{}</article></body>", "<body><main id='search content'>{}</main></body>",
+])
+def test_names_on_whole_pages_and_articles_do_not_empty_them(page):
+    plain = "A headline of the story " + " ".join(["one plain sentence of the story follows another here."] * 6)
+    assert html_text.main_text(page.format(STORY), TREE) == plain
+    both = page.format(STORY + "<section class=comments><article>first! what a story this is, I must say</article></section>")
+    assert html_text.main_text(both, TREE).startswith(plain)
+    reader = page.format(STORY + "<article class='comment'><p>what a story</p></article>")
+    assert html_text.main_text(reader, TREE) == plain
+
+
+def test_mix_splits_ties_and_fills_the_room(spark):
+    words = lambda n: " ".join(["w"] * n)
+    schema = "doc_id long, source string, text string, draw string, `a.b` int, _text int"
+    alike = spark.createDataFrame([(None, "s", words(10), "d", 1, 2)] * 40, schema)
+    got = mixing.mix(alike, keep=["a.b", "draw"])
+    assert got.agg(F.sum("taken")).first()[0] == 600 and got.columns[-2:] == ["a.b", "draw"]
+    same = spark.createDataFrame([(7, "s", words(10), "d", 1, 2)] * 40, schema)
+    assert mixing.mix(same).agg(F.sum("taken")).first()[0] == 600
+    sizes = [500, 130, 90, 70, 56, *[2] * 77]
+    rows = spark.createDataFrame([(i, "s", words(n), "d", 1, 2) for i, n in enumerate(sizes)], schema)
+    for seed in ("mix", "a", "b", "c"):
+        assert mixing.mix(rows, seed=seed).agg(F.sum("taken")).first()[0] in (1499, 1500)
+    many = spark.createDataFrame([(i, f"host{i % 60}", words(1 + i % 9), "d", 1, 2) for i in range(900)], schema)
+    assert mixing.mix(many).groupBy("source").agg(F.max(F.abs(F.col("target") - F.col("source_size"))), F.sum("taken")).count() == 60

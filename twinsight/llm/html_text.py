@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -38,6 +39,10 @@ EDGE_NAMES = set(
     "consent notice alert comment comments respond reply related share social breadcrumb breadcrumbs subscribe newsletter widget popup modal login "
     "search pagination pager toolbar tags meta copyright disqus".split()
 )
+#: Names that make an article or main element the work of readers; other edge names say nothing against such an element.
+READER_NAMES = set("comment comments respond reply disqus".split())
+#: Elements that hold the whole page: their names are about its layout.
+PAGE_TAGS = set("html body".split())
 MAIN_NAMES = set("article content main post entry story text".split())
 
 MAIN, PLAIN, EDGE = 1, 0, -1
@@ -56,7 +61,7 @@ class Block:
 
 
 def _context(tag: str, attributes: str) -> int:
-    """What an element says of the text in it; its names outweigh its tag."""
+    """What an element says of the text in it. Names outweigh the tag, but not that of an article, nor do they speak for a whole page."""
     names: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
@@ -65,9 +70,13 @@ def _context(tag: str, attributes: str) -> int:
             return EDGE
         if key in ("class", "id", "role"):
             names |= {value, *re.split(r"[^a-z0-9]+", value)}
+    if tag in PAGE_TAGS:
+        return PLAIN
+    if tag in MAIN_TAGS:
+        return EDGE if names & READER_NAMES else MAIN
     if tag in EDGE_TAGS or names & EDGE_NAMES:
         return EDGE
-    return MAIN if tag in MAIN_TAGS or names & MAIN_NAMES else PLAIN
+    return MAIN if names & MAIN_NAMES else PLAIN
 
 
 @dataclass
@@ -122,6 +131,7 @@ def text_blocks(html: str) -> list[Block]:
     blocks: list[Block] = []
     stack: list[tuple[str, int]] = []  # open containers and the nearest hint at or above each
     inner: list[str] = []  # open containers inside a dropped element
+    held, held_inside = Counter(), Counter()  # how many of each tag are in them, so that a stray end tag costs no search
     block, links, dropped, at = Block(), 0, "", 0
     skip = -1  # tags up to this index belong to an element that stands in the head
 
@@ -161,12 +171,16 @@ def text_blocks(html: str) -> list[Block]:
             if tag not in CONTAINERS or not closing:
                 if tag in CONTAINERS:
                     inner.append(tag)
+                    held_inside[tag] += 1
                 continue
-            if tag in inner:
-                while inner.pop() != tag:
-                    pass
+            if held_inside[tag]:
+                while True:
+                    ended = inner.pop()
+                    held_inside[ended] -= 1
+                    if ended == tag:
+                        break
                 continue
-            if not any(t == tag for t, _ in stack):
+            if not held[tag]:
                 continue
             dropped = ""
         if tag == "body" and not closing:
@@ -176,7 +190,7 @@ def text_blocks(html: str) -> list[Block]:
                 if tag == "head":
                     dropped, skip = tag, -1
                 elif mark.end is not None:
-                    dropped, skip, inner = tag, mark.end, []
+                    dropped, skip, inner, held_inside = tag, mark.end, [], Counter()
                 elif tag in RAW and tag not in RAW_TEXT:
                     dropped, skip = tag, len(tags)
             continue
@@ -189,10 +203,14 @@ def text_blocks(html: str) -> list[Block]:
                 block = close()
                 hint = _context(tag, mark.attributes)
                 stack.append((tag, hint or (stack[-1][1] if stack else PLAIN)))
-            elif any(t == tag for t, _ in stack):
+                held[tag] += 1
+            elif held[tag]:
                 block = close()
-                while stack.pop()[0] != tag:
-                    pass
+                while True:
+                    ended = stack.pop()[0]
+                    held[ended] -= 1
+                    if ended == tag:
+                        break
             block = close()
             links = 0
             continue

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from twinsight.functions.frames import materialise
+from twinsight.functions.frames import materialise, rows_in_order
 from twinsight.llm.text import WORD, col
 
 #: Hex digits of the draw by which a source is cut finer at each step; 256 sums per source and step.
 _STEP = 2
 _STEPS = 2
-#: Times that the words left by a long document at the cut are filled with documents that fit.
-ROUNDS = 3
+#: Sources in one file of a table that has a row per source.
+_FILE_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -44,34 +44,42 @@ def mix(
     ``max_epochs`` times its size and the excess is shared anew. A source's documents are
     taken ``floor(target / size)`` times, and once more in the order of a seeded hash while they fit into the
     words left; the room that a long document at the cut leaves is filled from the documents behind
-    it that fit, in further rounds.
+    it that fit, in as many rounds as there is one that does.
 
-    Null text: size 0. A null source is one of its own. Repeated ids draw alike. Empty sources have the
+    Null text: size 0. A null source is one of its own. Rows that repeat an id, or have none, draw one by one, apart by their text;
+    of rows alike in both it does not matter which is taken. Empty sources have the
     target 0. An empty table gives an empty one. Of other columns only ``keep`` is
     carried along; a name there may not be one of the result's own.
     """
-    rows = docs.select(col(doc_id).alias("doc_id"), col(source).alias("source"), col(text).alias("_text"), *[col(c) for c in keep])
-    draw = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")))
+    carried = [f"_keep{i}" for i in range(len(keep))]
+    rows = docs.select(
+        col(doc_id).alias("doc_id"), col(source).alias("source"), col(text).alias("_text"), *[col(c).alias(k) for c, k in zip(keep, carried, strict=True)]
+    )
+    apart = F.hex(F.xxhash64("_text"))
+    named = F.coalesce(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}")), F.concat(F.lit(f"null:{seed}:"), apart))
+    draw = F.concat_ws("/", F.md5(named), apart, F.hex(F.monotonically_increasing_id()))
     counted = rows.select(
-        "doc_id", "source", source_key(F.col("source")).alias("key"), word_count(F.col("_text")).alias("size"), draw.alias("draw"), *keep
+        "doc_id", "source", source_key(F.col("source")).alias("key"), word_count(F.col("_text")).alias("size"), draw.alias("draw"), *carried
     )
     sizes = materialise(counted)
     per_source = _small(_weighed(sizes.groupBy("key").agg(F.sum("size").alias("source_size")), weights or {}, cycle))
     targets = water_fill(per_source, budget_share, max_epochs)
-    mixed = sizes.join(_fill(sizes, targets), "key")
-    copies = F.col("whole") + F.when(_taken_again(ROUNDS), 1).otherwise(0)
+    plan, rounds = _fill(sizes, targets)
+    mixed = sizes.join(plan, "key")
+    copies = F.col("whole") + F.when(_taken_again(rounds), 1).otherwise(0)
     return mixed.select(
-        "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *keep
-    )
+        "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"),
+        *[F.col(k).alias(c) for c, k in zip(keep, carried, strict=True)],
+    )
 
 
 def _weighed(per_source: DataFrame, weights: dict[int, float], cycle: tuple[int, ...]) -> DataFrame:
-    """Weights by rank. One row per source, so the ranking window holds the list of sources only."""
-    rank = F.row_number().over(W.orderBy("key")) - 1
+    """Weights by rank in key order."""
+    per_source, rank = rows_in_order(per_source, [F.col("key")]), F.col("rank")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (F.col("rank") % len(cycle) + 1).cast("int"))
     for at, w in weights.items():
         weight = F.when(F.col("rank") == at, F.lit(float(w))).otherwise(weight)
-    return per_source.withColumn("rank", rank).withColumn("weight", weight)
+    return per_source.withColumn("weight", weight)
 
 
 def water_fill(per_source: DataFrame, budget_share: float, max_epochs: int) -> DataFrame:
@@ -97,22 +105,28 @@ def water_fill(per_source: DataFrame, budget_share: float, max_epochs: int) -> D
     return per_source.withColumn("target", F.least(cap, F.col("weight") * F.lit(level)))
 
 
-def _fill(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source the whole repetitions, and for each round the room and the last draw that fits it."""
+def _fill(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, int]:
+    """Per source the whole repetitions, and for each round the room and the last draw that fits it; the number of rounds."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = targets.select("key", "source_size", "target", whole.cast("long").alias("whole")).withColumn(
         "room0", F.col("target") - F.col("whole") * F.col("source_size")
     )
-    for r in range(ROUNDS):
-        free = sizes.join(plan, "key").filter(~_taken_again(r) & (F.col("size") > 0) & (F.col("size") <= F.col(f"room{r}")))
-        plan = plan.join(_cut(free, f"room{r}"), "key", "left").withColumn(f"cut{r}", F.coalesce("cut", F.lit("")))
-        plan = _small(plan.withColumn(f"room{r + 1}", F.coalesce("room", f"room{r}")).drop("cut", "room"))
-    return plan
+    plan, rounds = _small(plan), 0
+    while True:
+        fits = ~_taken_again(rounds) & (F.col("size") > 0) & (F.col("size") <= F.col(f"room{rounds}"))
+        free = materialise(sizes.join(plan, "key").filter(fits).select("key", "draw", "size", F.col(f"room{rounds}").alias("room")))
+        if free.isEmpty():
+            return plan, rounds
+        plan = plan.join(_cut(free), "key", "left").withColumn(f"cut{rounds}", F.coalesce("cut", F.lit("")))
+        plan = _small(plan.withColumn(f"room{rounds + 1}", F.coalesce("room", f"room{rounds}")).drop("cut", "room"))
+        rounds += 1
 
 
 def _small(per_source: DataFrame) -> DataFrame:
-    """A table with a row per source, written as one file so that its size shows how small it is."""
-    return materialise(per_source.coalesce(1))
+    """A table with a row per source, written as one file (up to some sources) so that its size shows how small it is."""
+    written = materialise(per_source)
+    files = written.count() // _FILE_SOURCES + 1
+    return written if len(written.inputFiles()) <= files else materialise(written.coalesce(files))
 
 
 def _taken_again(rounds: int) -> Column:
@@ -122,14 +136,13 @@ def _taken_again(rounds: int) -> Column:
     return taken
 
 
-def _cut(free: DataFrame, room: str) -> DataFrame:
+def _cut(free: DataFrame) -> DataFrame:
     """``key, cut, room``: the last draw up to which the documents fit, and the words then left.
 
     Ranking a whole source would put a third of the rows in one window. Sums per
     (source, leading digits of the draw) find the digits at which the room is used up; only that
     slice is cut finer, and the last one, one in 65,536 of a source, is ranked itself.
     """
-    free = materialise(free.select("key", "draw", "size", F.col(room).alias("room")))
     rows, state = free.withColumn("prefix", F.lit("")), None
     before = W.partitionBy("key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     for step in range(1, _STEPS + 1):
