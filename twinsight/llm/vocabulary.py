@@ -43,7 +43,13 @@ class ChunkEncoder:
     def ids(self, chunk: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         text = chunk.decode()
-        if not chunk.isascii() and max(text) > LAST_PLAIN or b"<|" in chunk and any(s in chunk for s in self.specials):
+        if text.isascii():
+            if text.isalpha():  # the common case
+                lower = text.lower()
+                return self.whole.get(lower) or self.rest[lower]
+        elif max(text) > LAST_PLAIN:
+            return id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if b"<|" in chunk and any(s in chunk for s in self.specials):
             return id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         lower = text.lower()
         if lower.isalpha():
@@ -51,7 +57,9 @@ class ChunkEncoder:
         return b"".join([self.whole.get(piece) or self.rest[piece] for piece in self.find(lower)])
 
     def _merged(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(self.byte_letters)
+        # ASCII letters and digits are written as themselves.
+        plain = piece.isascii() and piece.isalnum()
+        letters = piece if plain else piece.encode().decode("latin-1").translate(self.byte_letters)
         return id_bytes([t.id for t in self.merge(letters)])
 
 
@@ -111,6 +119,9 @@ def whole_tokens(tokenizer_json: str) -> dict[str, bytes]:
     return {text: id_bytes(e.ids) for text, e in zip(candidates, encoded, strict=True) if e.ids == [candidates[text]]}
 
 
+_FORMATS = [f"<{n}I" for n in range(16)]
+
+
 def id_bytes(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return struct.pack(_FORMATS[len(ids)] if len(ids) < len(_FORMATS) else f"<{len(ids)}I", *ids)
