@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsight.functions.frames import new_folder
+from twinsight.functions.frames import materialise, new_folder
 from twinsight.llm import (
     class_lm,
     collocations,
@@ -46,8 +46,8 @@ def token_file_sums(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     out = new_folder(spark, "token-files")
     token_files.write_token_files(docs, out, tokenizer_path(WORD_BPE), END_ID)
-    files = token_files.read_token_files(spark, out)
-    return token_files.with_starts(token_files.with_crc32(files), files).select("doc_id", "start", "n_tokens", "ids_crc32")
+    sums = materialise(token_files.with_crc32(token_files.read_token_files(spark, out)))  # a few numbers a document
+    return token_files.with_starts(sums, sums).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
