@@ -286,9 +286,8 @@ def label_text_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def split_positional(spark: SparkSession, sf: str) -> DataFrame:
     """The first rows by key against the rest: the smallest 30 % of the customers' key range."""
     customers = st.table(spark, sf, "customer")
-    cut = customers.agg(F.floor(F.max("c_custkey") * 0.3).alias("cut"))
-    both = customers.join(F.broadcast(cut), F.col("c_custkey") <= F.col("cut"), "left")
-    return both.select("c_custkey", F.when(F.col("cut").isNotNull(), "first").otherwise("rest").alias("part"))
+    cut = customers.agg(F.floor(F.max("c_custkey") * 0.3)).first()[0]
+    return customers.select("c_custkey", F.when(F.col("c_custkey") <= F.lit(cut), "first").otherwise("rest").alias("part"))
 
 
 @query("any_names")
