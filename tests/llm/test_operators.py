@@ -413,6 +413,33 @@ def test_leaks(spark, texts, edge, awkward, empty):
     assert decontaminate.find_leaks(edge, asked.limit(0)).count() == 0
 
 
+def test_wording_that_items_share_makes_no_candidates(spark):
+    """200 items and 300 documents begin with the same 20 words; three documents hold a whole item, one of them most of it."""
+    common = " ".join(f"please{i}" for i in range(20))
+    items = [(i, common + " " + " ".join(f"q{i}x{j}" for j in range([30, 60, 200][i % 3]))) for i in range(200)]
+    docs = [(i, common + " " + " ".join(f"d{i}x{j}" for j in range(80))) for i in range(300)]
+    docs += [(1000, docs[0][1] + " " + items[0][1]), (1001, docs[1][1] + " " + items[5][1] + " more"), (1002, items[4][1].replace("q4x30", "zz"))]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(rows, asked).collect()}
+    assert got == leaks(docs, items) == {(1000, 0), (1001, 5), (1002, 4)}
+    for percent in (50, 62.5, 100):
+        found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(rows, asked, percent / 100).collect()}
+        assert found == ({(1000, 0), (1001, 5)} if percent == 100 else got)
+    hashed = asked.select(F.col("item_id").alias("row"), decontaminate.shingle_words(F.col("text")).alias("words"))
+    hashed = hashed.select("row", decontaminate._hashes("words").alias("hashes")).withColumn("size", F.size("hashes").cast("long"))
+    sized = hashed.withColumn("class", decontaminate.size_class(F.col("size"))).withColumn("enough", F.ceil(F.col("size") * 0.8))
+    pairs = decontaminate.candidate_pairs(rows.withColumn("text_hash", F.xxhash64("text")), sized)
+    assert pairs.count() == 3
+
+
+def test_long_keys_are_not_kept():
+    made = []
+    table = vocabulary.Remembered(lambda key: made.append(key) or key[:3])
+    assert [table["x" * 5_000_000], table["x" * 5_000_000], table["abcd"], table["abcd"]] == ["xxx", "xxx", "abc", "abc"]
+    assert len(made) == 3 and list(table) == ["abcd"]
+
+
 STORY = "<h1>A headline of the story</h1>" + "<p>" + "one plain sentence of the story follows another here. " * 6 + "</p>"
 
 

@@ -3,24 +3,31 @@
 An item of a few dozen shingles is a speck in a long document, so a sketch of the whole document
 says nothing about it. Items are partitioned into size classes (powers of two), and for each class that
 occurs, documents are cut into blocks as long as the class, which makes a contained
-item a large part of at most two blocks. A block keeps its ``k`` smallest shingle hashes (its MinHash
-sketch); an item is looked up with all of its hashes. The chance to miss an item with
-containment ``c`` is about ``(1 - c/4) ** (2 k)`` where its passage straddles two blocks, and less elsewhere.
+item a large part of at most two blocks. A block keeps its ``k`` smallest shingle hashes (its MinHash sketch).
+
+An item is looked up with its rarest hashes: up to half of those that a containing document must have may be left
+out, those that most items share first. So the wording that items have in common makes no candidates. What is left
+must still be hit: in blocks that a sketch holds whole, as often as the containment implies; in longer ones at least
+``HITS`` times. The chance to miss an item with containment ``c`` is at most that of fewer than ``HITS`` hits in ``2 k``
+draws of probability ``c/8`` (2e-5 at 0.8), reached where its passage straddles two blocks, and less elsewhere.
 Everything is DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinsight.functions.frames import materialise
 from twinsight.llm.text import GAP, only
 
 SHINGLE = 5
-SKETCH = 24
+SKETCH = 64
+HITS = 2
 SMALLEST_CLASS = 8
-#: Rows of 16 bytes of the item index up to which it is sent to every executor; beyond, the join shuffles.
+#: Rows of 32 bytes of the item index up to which it is sent to every executor; beyond, the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
 
@@ -61,13 +68,35 @@ def find_leaks(
     rows = only(docs, doc_id=doc_id, text=text).withColumn("text_hash", F.xxhash64("text"))
     asked = only(items, item_id=item_id, text=item_text).select("item_id", shingle_words(F.col("text")).alias("words"))
     asked = materialise(asked.select(F.monotonically_increasing_id().alias("row"), "item_id", _hashes("words").alias("hashes"), _strings("words").alias("shingles")).filter("hashes IS NOT NULL"))
-    sized = asked.withColumn("size", F.size("shingles")).withColumn("class", size_class(F.col("size")))
-    posted = materialise(sized.select("class", F.explode(F.array_distinct("hashes")).alias("hash"), "row"))
+    share = Fraction(str(threshold))
+    sized = asked.withColumn("size", F.size("shingles").cast("long")).withColumn("class", size_class(F.col("size")))
+    sized = sized.withColumn("enough", F.expr(f"(size * {share.numerator} + {share.denominator - 1}) div {share.denominator}"))
+    candidates = materialise(candidate_pairs(rows, sized))
+    return _verified(rows, sized, candidates)
+
+
+def candidate_pairs(rows: DataFrame, sized: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, row``: documents whose sketches hold enough of what an item is looked up with."""
+    posted = materialise(_rare_part(sized))
     classes = [r[0] for r in posted.select("class").distinct().collect()]  # powers of two: a few dozen at most
     index = F.broadcast(posted) if posted.count() <= BROADCAST_ROWS else posted
-    candidates = _sketch_rows(rows, classes).join(index, ["class", "hash"]).select("doc_id", "text_hash", "row").distinct()
-    candidates = materialise(candidates)
-    return _verified(rows, sized, candidates, threshold)
+    met = _sketch_rows(rows, classes).join(index, ["class", "hash"])
+    hits = met.groupBy("doc_id", "text_hash", "row").agg(F.count(F.lit(1)).alias("hits"), F.max("need").alias("need"))
+    return hits.filter("hits >= need").select("doc_id", "text_hash", "row")
+
+
+def _rare_part(sized: DataFrame) -> DataFrame:
+    """``row, class, hash, need``: the hashes each item is looked up with and how many a document must hit.
+
+    Of ``enough`` shared shingles at most half can be among those left out, so ``enough - left out`` hits remain.
+    """
+    hashes = sized.select("row", "class", "enough", F.explode(F.array_distinct("hashes")).alias("hash"))
+    ranked = hashes.join(hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("held")), "hash")
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("held"), "hash"))
+    ranked = ranked.withColumn("left_out", (F.col("held") > 1) & (place <= F.expr("enough div 2")))
+    ranked = ranked.withColumn("sure", F.col("enough") - F.count_if("left_out").over(Window.partitionBy("row")))
+    need = F.when(F.col("class") <= SKETCH, F.col("sure")).otherwise(F.least(F.lit(HITS), "sure"))
+    return ranked.filter("NOT left_out").select("row", "class", "hash", need.cast("long").alias("need"))
 
 
 def _sketch_rows(rows: DataFrame, classes: list[int]) -> DataFrame:
@@ -88,22 +117,22 @@ def _sketch_rows(rows: DataFrame, classes: list[int]) -> DataFrame:
     return sketch.select("doc_id", "text_hash", F.col("b.class").alias("class"), F.explode("b.kept").alias("hash"))
 
 
-def _verified(rows: DataFrame, items: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
+def _verified(rows: DataFrame, items: DataFrame, candidates: DataFrame) -> DataFrame:
     """Exact shared shingles of the candidate pairs, compared as text.
 
-    Only documents with a candidate are read for it. Shingles meet through a join on the shingle, so a
-    document with many items, or an item in many documents, is no group of its own.
+    Only documents with a candidate are read for it, and only shingles of their own candidates are met. The join is
+    on document and shingle, so a document with many items, or an item in many documents, is no group of its own.
     """
     same = rows["doc_id"].eqNullSafe(candidates["doc_id"]) & rows["text_hash"].eqNullSafe(candidates["text_hash"])
     found = rows.join(candidates.select("doc_id", "text_hash").distinct(), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
     found = found.select("doc_id", "text_hash", shingle_words(F.col("text")).alias("words"))
     have = found.select("doc_id", "text_hash", F.explode(_strings("words")).alias("shingle"))
-    need = items.select("row", F.explode("shingles").alias("shingle"))
-    shared = have.join(need, "shingle").groupBy("doc_id", "text_hash", "row").agg(F.count(F.lit(1)).alias("n_shared"))
-    pair = shared["doc_id"].eqNullSafe(candidates["doc_id"]) & shared["text_hash"].eqNullSafe(candidates["text_hash"]) & (shared["row"] == candidates["row"])
-    sizes = items.select("row", "item_id", F.col("size").cast("long").alias("n_shingles"))
-    out = shared.join(candidates, pair, "left_semi").join(sizes, "row")
-    enough = 1000 * F.col("n_shared") >= F.lit(round(1000 * threshold)) * F.col("n_shingles")
-    return out.filter(enough).select(
+    need = candidates.join(items.select("row", "shingles"), "row").select(
+        F.col("doc_id").alias("in_doc"), F.col("text_hash").alias("in_text"), "row", F.explode("shingles").alias("needed")
+    )
+    meet = F.col("doc_id").eqNullSafe(F.col("in_doc")) & (F.col("text_hash") == F.col("in_text")) & (F.col("shingle") == F.col("needed"))
+    shared = have.join(need, meet).groupBy("doc_id", "text_hash", "row").agg(F.count(F.lit(1)).alias("n_shared"))
+    sizes = items.select("row", "item_id", F.col("size").alias("n_shingles"), "enough")
+    return shared.join(sizes, "row").filter("n_shared >= enough").select(
         "doc_id", "text_hash", "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment")
     )
