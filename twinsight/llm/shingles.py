@@ -20,7 +20,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 class _WordTable(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 200_000:  # bounds memory; later words are hashed each time
+        if len(self) < 200_000 and len(word) <= 64:  # bounds memory; other words are hashed each time
             self[word] = value
         return value
 

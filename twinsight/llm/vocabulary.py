@@ -12,6 +12,8 @@ import unicodedata
 
 #: Entries of the young part of a worker's table. Affects speed and memory only.
 CACHE_ENTRIES = 300_000
+#: Longer keys (text without blanks) are worked out each time, so the entries bound the bytes too.
+LONGEST_KEY = 64
 
 #: The pre-token pattern of the file, and what it takes for a blank (fixed values).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\x09-\x0D\x20\x85\xA0\p{L}\p{N}]+"
@@ -77,6 +79,8 @@ class Remembered(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > LONGEST_KEY:
+            return value
         if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()
