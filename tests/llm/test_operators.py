@@ -252,6 +252,37 @@ def test_model_sums_to_one(spark):
     assert (10**model.step).sum(axis=1) == pytest.approx(np.ones(class_lm.CLASSES))
 
 
+def test_words_beyond_the_units_get_classes_of_their_own(spark, monkeypatch):
+    """Names follow one word, things another; half of both share an ending, and are told apart all the same, whatever the partitioning."""
+    monkeypatch.setattr(class_lm, "OWN_WORDS", 4)
+    monkeypatch.setattr(class_lm, "UNITS", 1 + 4 + class_lm.ENDINGS)
+    pick = np.random.default_rng(5)
+    pairs = [[(first, kind + f"{k}" + (own if k < 15 else "end")) for k in range(30)] for first, kind, own in (("mister", "n", "ame"), ("the", "t", "ing"))]
+    text = lambda: " ".join(x for _ in range(40) for x in pairs[pick.integers(2)][pick.integers(30)])
+    docs = spark.createDataFrame([(i, text(), i % 10 == 9) for i in range(100)], "doc_id long, text string, held_out boolean")
+    train = docs.filter("NOT held_out")
+    counts = train.select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    first = class_lm.fit_class_model(class_lm.encode_blocks(docs), counts, 90)
+    placed = {}
+    for parts in (1, 3):
+        got = {r["word"]: r["class"] for r in class_lm.place_words(class_lm.encode_blocks(docs.repartition(parts, "doc_id")), counts, first).collect()}
+        assert len(got) == counts.count() and placed in ({}, got)
+        placed = got
+    others = [w for w in placed if w not in first.own and w.endswith("end")]
+    assert len({first.of[class_lm.unit_of(w, first.own)] for w in others}) == 1
+    names, things = ({placed[w] for w in others if w[0] == kind} for kind in "nt")
+    assert len(others) >= 26 and not names & things and 0 not in names | things
+    rows = class_lm.score_texts(docs).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert rows[0] > rows[1]
+    words = {r["word"]: r["n"] for r in counts.collect()}
+    got = by_id(class_lm.score_texts(docs), "n_tokens", "n_known", "train_tokens", "base_score")
+    total = sum(words.values()) + 90
+    for r in docs.collect():
+        seen = [words.get(w, 0) for w in r["text"].split()] + [90]
+        base = sum(np.log10((c + 1) / (total + len(words) + 1 + 1)) for c in seen)
+        assert got[r["doc_id"]] == (len(seen), sum(c > 0 for c in seen), total, pytest.approx(base))
+
+
 # Near duplicates and repeats
 
 
