@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 import zlib
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -252,6 +254,36 @@ def test_model_sums_to_one(spark):
     assert (10**model.step).sum(axis=1) == pytest.approx(np.ones(class_lm.CLASSES))
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.text("abc ", max_size=12), st.booleans()), min_size=1, max_size=8), st.sampled_from([1, 4, 1 << 18]))
+def test_pieces_of_a_block_count_every_neighbour(rows, piece):
+    block = class_lm._Block()
+    for i, (text, held) in enumerate(rows):
+        block.add(i, held, text.encode())
+    of, own, frequent = np.arange(class_lm.UNITS) % class_lm.CLASSES, {"a": 1, "b": 2}, {"ab": 0, "c": 1, "cc": 2}
+    kind = lambda w: of[class_lm.unit_of(w, own)] if w else 0
+    want, bigrams = Counter(), Counter()
+    for text, held in rows:
+        line = ["", *text.split(), ""]
+        for before, word, after in zip(line, line[1:], [*line[2:], ""]) if not held else ():
+            bigrams[kind(before), kind(word)] += 1
+            if word in frequent:
+                want[frequent[word], kind(before)] += 1
+                want[frequent[word], class_lm.CLASSES + kind(after)] += 1
+    batch = block.row(0)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(class_lm, "PIECE", piece)
+        found = next(class_lm._neighbours(SimpleNamespace(value=(own, of, frequent)))([batch])).to_pydict()
+        ends, codes = batch["ends"][0].values.to_numpy(), batch["codes"][0].values.to_numpy()
+        classes = np.array([*(kind(w) for w in batch["words"][0].as_py()), 0])
+        train = ~np.array([held for _, held in rows])
+        table = sum(
+            class_lm._bigrams(classes[c], np.repeat(train[d], n), class_lm.CLASSES) for d, n, c in class_lm._pieces(codes, ends, len(classes) - 1)
+        )
+    assert {(w, s): n for w, s, n in zip(found["word"], found["slot"], found["n"])} == dict(want)
+    assert {divmod(int(k), class_lm.CLASSES): int(table[k]) for k in np.flatnonzero(table)} == dict(bigrams)
+
+
 def test_words_beyond_the_units_get_classes_of_their_own(spark, monkeypatch):
     """Names follow one word, things another; half of both share an ending, and are told apart all the same, whatever the partitioning."""
     monkeypatch.setattr(class_lm, "OWN_WORDS", 4)
