@@ -8,6 +8,7 @@ from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from brute import leaks, near_components, quality_counts, without_repeats, words
@@ -273,17 +274,31 @@ def test_pieces_of_a_block_count_every_neighbour(rows, piece):
     batch = block.row(0)
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(class_lm, "PIECE", piece)
-        found = next(class_lm._neighbours(SimpleNamespace(value=(own, of, frequent)))([batch])).to_pydict()
+        found = next(class_lm._neighbours(SimpleNamespace(value=(own, of, frequent)))([batch])).to_pylist()
         ends, codes = batch["ends"][0].values.to_numpy(), batch["codes"][0].values.to_numpy()
         classes = np.array([*(kind(w) for w in batch["words"][0].as_py()), 0])
         train = ~np.array([held for _, held in rows])
         table = sum(
             class_lm._bigrams(classes[c], np.repeat(train[d], n), class_lm.CLASSES) for d, n, c in class_lm._pieces(codes, ends, len(classes) - 1)
         )
-    assert {(w, s): n for w, s, n in zip(found["word"], found["slot"], found["n"])} == dict(want)
+    keys = [(row["bucket"] * class_lm.WORD_BUCKET + int(k), n) for row in found for k, n in zip(np.cumsum(row["steps"]), row["n"])]
+    assert {divmod(k, 2 * class_lm.CLASSES): n for k, n in keys} == dict(want)
     assert {divmod(int(k), class_lm.CLASSES): int(table[k]) for k in np.flatnonzero(table)} == dict(bigrams)
 
 
+def test_packed_counts_add_up(spark):
+    pick = np.random.default_rng(3)
+    rows = [np.unique(pick.integers(0, 5000, size), return_counts=True) for size in (3000, 1, 0, 40, 800)]
+    packed = [row for keys, n in rows for row in class_lm._packed(keys, n, 100).to_pylist()]
+    total = sum(np.bincount(keys, n, minlength=5000) for keys, n in rows).astype(int)
+
+    def listed(bucket, sums):
+        return pa.RecordBatch.from_pydict({"key": bucket * 100 + np.arange(100), "n": sums})
+
+    got = class_lm._summed(spark.createDataFrame(packed, class_lm._PACKED), 100, listed, "key long, n long").filter("n > 0").collect()
+    assert {r["key"]: r["n"] for r in got} == {int(k): int(total[k]) for k in np.flatnonzero(total)}
+
+
 def test_words_beyond_the_units_get_classes_of_their_own(spark, monkeypatch):
     """Names follow one word, things another; half of both share an ending, and are told apart all the same, whatever the partitioning."""
     monkeypatch.setattr(class_lm, "OWN_WORDS", 4)
