@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinsight.functions import frames
-from twinsight.functions.frames import materialise, own_tables, release, rows_in_order, sums_before
+from twinsight.functions.frames import materialise, own_tables, release, rows_in_order, running_sums, sums_before
 from twinsight.operators import value
 from twinsight.operators.encoder import TableEncoder
 from twinsight.operators.quantiles import group_quantiles
@@ -176,3 +176,17 @@ def test_plan_by_key_does_not_grow(spark):
         return len(compare_by_key(real, many, "c", F.col("x"), "v")._jdf.queryExecution().analyzed().toString().splitlines())
 
     assert size(2) == size(400)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_running_sums_of_groups_across_parts(spark, parts):
+    """One group holds most rows and spans parts; the sums restart with each group."""
+    rng = np.random.default_rng(8)
+    rows = pd.DataFrame({"g": np.where(rng.random(900) < 0.8, "hot", rng.choice(list("abc"), 900)), "at": rng.permutation(900), "n": rng.integers(-5, 9, 900)})
+    want = rows.sort_values("at", ascending=False).groupby("g")["n"].cumsum()
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = running_sums(spark.createDataFrame(rows), ["g"], [F.desc("at")], ["n"]).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got.set_index("at")["n"].to_dict() == dict(zip(rows["at"], want.reindex(rows.index)))

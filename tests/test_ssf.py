@@ -62,6 +62,36 @@ def test_own_family_with_repeats(spark, count):
     check(spark, population(4), population(5, scale=1.2), family + family[:3], CampaignEconomics(2.0, 0.4, 0.5, 0.2))
 
 
+def test_many_thresholds_on_the_scores_themselves(spark):
+    """Thresholds equal to scores, most customers on one score, NaN and missing scores, thresholds above all scores."""
+    real, synth = population(20), population(21, scale=1.1)
+    for frame in (real, synth):
+        frame["prob"] = (frame["prob"] * 200).round() / 200
+        frame.loc[:150, "prob"] = 0.5
+        frame.loc[380:, "prob"] = np.nan
+    family = [Strategy(segment, 0.1, t / 200) for t in range(0, 220, 2) for segment in ("all", "mid")]
+    check(spark, real, synth, family, CampaignEconomics(2.0))
+
+
+def test_a_missing_threshold_flags_nobody(spark):
+    df = spark.createDataFrame(population(22))
+    for count in (3, 100):
+        rows = [("all", 0.1, float(i) / count) for i in range(count)] + [("all", 0.1, None), ("high", 0.2, float("nan"))]
+        family = spark.createDataFrame(rows, "segment string, discount double, threshold double")
+        got = {str(r["threshold"]): r["roi_real"] for r in ssf_score(df, df, F.col("prob"), "value", family).per_strategy.collect()}
+        assert len(got) == count + 2 and got["None"] == got["nan"] == 0.0 and got["0.0"] != 0.0
+
+
+def test_family_of_many_thresholds_stays_off_the_driver(spark):
+    """No list of thresholds in the plan, no join but by key."""
+    df = spark.createDataFrame(population(23))
+    family = spark.range(3000).select(F.lit("all").alias("segment"), F.lit(0.1).alias("discount"), (F.col("id") / 3000).alias("threshold"))
+    compared = ssf_score(df, df, F.col("prob"), "value", family).compared
+    plan = compared._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "CASE WHEN (prob" not in plan
+    assert compared.count() == 3000
+
+
 def test_same_population_agrees_fully(spark):
     df = spark.createDataFrame(population(7))
     result = ssf_score(df, df, F.col("prob"), "value")

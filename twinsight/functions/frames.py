@@ -87,6 +87,21 @@ def rows_in_order(df: DataFrame, order: list[Column], rank: str = "rank") -> Dat
     return sums_before(df, order, F.lit(1).cast("long"), rank)
 
 
+def running_sums(df: DataFrame, by: list[str], order: list[Column], columns: list[str]) -> DataFrame:
+    """``df`` with each of ``columns`` replaced by its sum over the row and all rows before it of the same group.
+
+    ``by`` names the group and holds no null; inside a group the order is total. Rows are dealt by range and written, so a group may
+    span any number of parts. The window across parts has one row for each part that a group lies in.
+    """
+    dealt = materialise(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_part", *by).agg(*[F.sum(c).alias(c) for c in columns])
+    starts = totals.select("_part", *by, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_from_{c}") for c in columns])
+    within = dealt.withColumns({f"_in_{c}": F.sum(c).over(inside) for c in columns}).join(starts, ["_part", *by])
+    return within.select(*[(F.col(f"_in_{c}") + F.col(f"_from_{c}")).alias(c) if c in columns else quoted(c) for c in df.columns])
+
+
 class own_tables:
     """``with own_tables(spark) as outer``: what is materialised inside goes when the block ends.
 

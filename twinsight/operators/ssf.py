@@ -15,12 +15,11 @@ from functools import cached_property
 from itertools import product
 
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from twinsight.functions.frames import materialise, quoted
+from twinsight.functions.frames import materialise, quoted, running_sums, sums_before
 from twinsight.operators.quantiles import exact_quantiles, group_quantiles
 from twinsight.operators.scorers import Scorer, apply_scorer
 from twinsight.operators.value import TERCILES, tier_name
@@ -31,7 +30,6 @@ DISCOUNTS = [0.05, 0.10, 0.15, 0.20]
 THRESHOLDS = [0.30, 0.50, 0.70]
 
 _WHEN_CHAIN_LIMIT = 64
-_THRESHOLD_LIMIT = 100_000
 _FAMILY_COLUMNS = ["segment", "discount", "threshold"]
 
 
@@ -105,74 +103,71 @@ def add_tiers(populations: DataFrame) -> DataFrame:
     return populations.withColumn("tier", tier_name(F.col("value"), t1, t2))
 
 
-def _add_bucket(df: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Number of thresholds the score reaches; a NaN or missing score reaches none."""
-    usable = F.col("prob").isNotNull() & ~F.isnan("prob")
-    if len(thresholds) <= _WHEN_CHAIN_LIMIT:
-        chain = F.when(~usable, F.lit(0))
-        for i in range(len(thresholds), 0, -1):
-            chain = chain.when(F.col("prob") >= F.lit(thresholds[i - 1]), F.lit(i))
-        return df.withColumn("bucket", chain.otherwise(F.lit(0)))
-    splits = [float("-inf"), *thresholds, float("inf")]
-    found = Bucketizer(splits=splits, inputCol="_prob", outputCol="_bucket")
-    guarded = df.withColumn("_prob", F.when(usable, F.col("prob")).otherwise(F.lit(float("-inf"))))
-    return found.transform(guarded).withColumn("bucket", F.col("_bucket").cast("int")).drop("_prob", "_bucket")
+def _few_thresholds(family: DataFrame) -> list[float] | None:
+    """The distinct thresholds where a chain of cases can hold them, else none."""
+    rows = family.select("threshold").filter("threshold IS NOT NULL").distinct().limit(_WHEN_CHAIN_LIMIT + 1).collect()
+    return sorted(r["threshold"] for r in rows) if len(rows) <= _WHEN_CHAIN_LIMIT else None
 
 
-def bucket_sums(tiered: DataFrame, thresholds: list[float]) -> DataFrame:
-    """The one pass over the customers: n, sum(p v), sum((1-p) v) per population, segment, bucket.
+def _usable_score() -> Column:
+    """A NaN or missing score reaches no threshold."""
+    return F.col("prob").isNotNull() & ~F.isnan("prob")
 
-    At most 4 * (thresholds + 1) rows per population leave this aggregate; segment "all" is
-    the sum of the tiers. Rows below every threshold are never flagged and go before the shuffle.
-    """
+
+def _sums_by(tiered: DataFrame, key: str) -> DataFrame:
+    """The one pass over the customers: n, sum(p v), sum((1-p) v) per population, tier and ``key``."""
     p, v = F.col("prob"), F.col("value")
-    by_tier = (
-        _add_bucket(tiered, thresholds)
-        .filter("bucket > 0")
-        .groupBy("population", "tier", "bucket")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(p * v).alias("hit_value"), F.sum((1 - p) * v).alias("miss_value"))
-    )
-    return by_tier.select(
-        "population",
-        F.explode(F.array(F.col("tier"), F.lit("all"))).alias("segment"),
-        "bucket",
-        "n",
-        "hit_value",
-        "miss_value",
+    return tiered.groupBy("population", "tier", key).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(p * v).alias("hit_value"), F.sum((1 - p) * v).alias("miss_value")
     )
 
 
-def _distinct_thresholds(family: DataFrame) -> list[float]:
-    rows = family.select("threshold").distinct().limit(_THRESHOLD_LIMIT + 1).collect()
-    if len(rows) > _THRESHOLD_LIMIT:
-        raise ValueError(f"more than {_THRESHOLD_LIMIT} distinct thresholds in one family")
-    return sorted(r["threshold"] for r in rows)
+def _by_segment(by_tier: DataFrame) -> DataFrame:
+    """Segment "all" is the sum of the tiers."""
+    segments = F.explode(F.array(F.col("tier"), F.lit("all"))).alias("segment")
+    return by_tier.select("population", segments, "bucket", "n", "hit_value", "miss_value")
 
 
-def _add_level(family: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Rank of the strategy's threshold among the distinct ones, from 1."""
-    if len(thresholds) <= _WHEN_CHAIN_LIMIT:
+def bucket_sums(tiered: DataFrame, family: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Sums per population, segment and bucket; the family with its ``level``; whether the levels are many.
+
+    A strategy flags the buckets from its level up. The bucket of a score is the number of thresholds that it reaches; rows
+    below every threshold are never flagged and go. Few thresholds are a chain of cases, so that at most
+    ``4 * (thresholds + 1)`` rows per population leave the aggregate over the customers. Many are merged with the scores in
+    one order, dealt by range: customers are first summed by score, and nothing of the family goes to the driver.
+    """
+    thresholds = _few_thresholds(family)
+    if thresholds is not None:
+        chain = F.when(~_usable_score(), F.lit(0))
+        for i in range(len(thresholds), 0, -1):
+            chain = chain.when(F.col("prob") >= F.lit(thresholds[i - 1]), F.lit(i))
+        by_tier = _sums_by(tiered.withColumn("bucket", chain.otherwise(F.lit(0))).filter("bucket > 0"), "bucket")
         ranks = [F.when(F.col("threshold") == F.lit(t), F.lit(i)) for i, t in enumerate(thresholds, 1)]
-        return family.withColumn("level", F.coalesce(*ranks))
-    levels = pa.array(range(1, len(thresholds) + 1), pa.int32())
-    ranks = family.sparkSession.createDataFrame(pa.table([pa.array(thresholds), levels], names=["threshold", "level"]))
-    return family.join(ranks, "threshold")
+        return _by_segment(by_tier), family.withColumn("level", F.coalesce(*ranks, F.lit(None).cast("int"))), False
+    scores = _sums_by(tiered.filter(_usable_score()), "prob").withColumnRenamed("prob", "point")
+    asked = family.select(F.col("threshold").alias("point")).filter("point IS NOT NULL").distinct()
+    # At one point the threshold comes before the scores: they reach it.
+    line = asked.withColumn("reaches", F.lit(0)).unionByName(scores.withColumn("reaches", F.lit(1)), allowMissingColumns=True)
+    order = [F.col(c) for c in ("point", "reaches", "population", "tier")]
+    placed = sums_before(line, order, (1 - F.col("reaches")).cast("long"), "bucket")
+    levels = placed.filter("reaches = 0").select(F.col("point").alias("threshold"), (F.col("bucket") + 1).alias("level"))
+    sums = placed.filter("reaches = 1 AND bucket > 0").groupBy("population", "tier", "bucket")
+    by_tier = sums.agg(*[F.sum(c).alias(c) for c in ("n", "hit_value", "miss_value")])
+    return _by_segment(by_tier), family.join(levels, "threshold", "left"), True
 
 
 def _running_sums(sums: DataFrame, family: DataFrame, names: Sequence[str]) -> DataFrame:
     """Sums over all buckets from each asked level up, so that a strategy meets one row and not many.
 
-    Zero rows make sure every asked (population, segment, level) is there. A window holds one
-    segment's levels, not customers.
+    Zero rows make sure every asked (population, segment, level) is there.
     """
-    asked = family.filter(F.col("segment").isin(SEGMENTS)).select(
+    asked = family.filter(F.col("segment").isin(SEGMENTS) & F.col("level").isNotNull()).select(
         F.explode(F.array(*[F.lit(n) for n in names])).alias("population"), "segment", F.col("level").alias("bucket")
     ).distinct()
     zero = {"n": F.lit(0).cast("long"), "hit_value": F.lit(0.0), "miss_value": F.lit(0.0)}
     keys = ["population", "segment", "bucket"]
     filled = sums.unionByName(asked.withColumns(zero)).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in zero])
-    from_level_up = W.partitionBy("population", "segment").orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, 0)
-    return filled.select(*keys, *[F.sum(c).over(from_level_up).alias(c) for c in zero])
+    return running_sums(filled, ["population", "segment"], [F.desc("bucket")], list(zero))
 
 
 def strategy_returns(
@@ -188,11 +183,9 @@ def strategy_returns(
     nobody has a return of 0.
     """
     econ = econ or CampaignEconomics()
-    thresholds = _distinct_thresholds(family)
-    family = _add_level(family, thresholds)
-    sums = bucket_sums(add_tiers(populations), thresholds)
+    sums, family, many = bucket_sums(add_tiers(populations), family)
     reached = F.col("bucket") >= F.col("level")
-    if len(thresholds) > _WHEN_CHAIN_LIMIT:
+    if many:
         sums, reached = _running_sums(sums, family, names), F.col("bucket") == F.col("level")
     sums = sums.withColumnRenamed("segment", "_segment")
     met = family.join(
@@ -374,8 +367,6 @@ def compare_by_key(
     """
     econ = econ or CampaignEconomics()
     family = strategy_table(real.sparkSession, strategy_family)
-    thresholds = _distinct_thresholds(family)
-    family = _add_level(family, thresholds)
     key = quoted(candidate).cast("string")
     named = F.when(key.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), key))  # no candidate is called like the real one
     populations = score_population(real, scorer, value_col, REAL, on_missing).unionByName(
@@ -383,7 +374,7 @@ def compare_by_key(
     )
     cuts = group_quantiles(populations, "value", TERCILES, "population", "cuts").select("population", "cuts")
     tiered = populations.join(cuts, "population").withColumn("tier", tier_name(F.col("value"), F.col("cuts")[0], F.col("cuts")[1]))
-    sums = bucket_sums(tiered, thresholds)
+    sums, family, _ = bucket_sums(tiered, family)
     asked = family.filter(F.col("segment").isin(SEGMENTS)).select("segment", F.col("level").alias("bucket")).distinct().limit(_KEYED_PAIRS + 1).collect()
     if len(asked) > _KEYED_PAIRS:
         raise ValueError(f"more than {_KEYED_PAIRS} pairs of segment and threshold to compare by key")

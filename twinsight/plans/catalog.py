@@ -541,6 +541,19 @@ def ssf_many_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded_summary(ssf.summarise(compared, ["candidate"]), "candidate")
 
 
+@query("ssf_threshold_per_order")
+def ssf_threshold_per_order(spark: SparkSession, sf: str) -> DataFrame:
+    """A strategy per order, each with a threshold of its own, summed up by segment."""
+    orders = st.table(spark, sf, "orders")
+    segment = F.when(F.col("o_orderstatus") == "F", "high").when(F.col("o_orderstatus") == "O", "all").otherwise("low")
+    family = orders.select(
+        segment.alias("segment"), ((F.col("o_orderkey") % 4 + 1) / 20).alias("discount"), (F.col("o_totalprice") / 600_000).alias("threshold")
+    )
+    real, synthetic = st.line_values(spark, sf), st.line_values(spark, sf, st.BIAS)
+    result = ssf.ssf_score(real, synthetic, F.col("value") / 120_000, "value", strategy_family=family, econ=st.ECONOMICS)
+    return _rounded_summary(ssf.summarise(result.compared, ["segment"]), "segment")
+
+
 # Privacy and novelty
 
 

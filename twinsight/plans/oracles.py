@@ -388,6 +388,26 @@ SELECT count(*) AS n_strategies, CAST(sum(decision_real) AS BIGINT) AS n_go_real
        sum(decision_real) > 0 AND sum(decision_real) < count(*) AS is_discriminating
 FROM pair
 """
+# The sums from a threshold up are those of the smallest score that reaches it.
+ORACLES["ssf_threshold_per_order"] = f"""
+WITH fam AS MATERIALIZED (SELECT row_number() OVER () AS id, CASE o_orderstatus WHEN 'F' THEN 'high' WHEN 'O' THEN 'all' ELSE 'low' END AS segment,
+                                 (o_orderkey % 4 + 1) / 20::DOUBLE AS discount, o_totalprice / 600000::DOUBLE AS threshold FROM orders),
+     pop AS (SELECT 'real' AS population, l_extendedprice * 1.0::DOUBLE AS value FROM lineitem
+             UNION ALL SELECT 'synthetic', l_extendedprice * 0.8::DOUBLE FROM lineitem),
+     cuts AS (SELECT population, quantile_cont(value, 1/3::DOUBLE) AS t1, quantile_cont(value, 2/3::DOUBLE) AS t2 FROM pop GROUP BY population),
+     tiered AS (SELECT population, value, value / 120000::DOUBLE AS prob, CASE WHEN value > t2 THEN 'high' WHEN value > t1 THEN 'mid' ELSE 'low' END AS tier
+                FROM pop JOIN cuts USING (population)),
+     parts AS (SELECT population, tier AS segment, prob, value FROM tiered UNION ALL SELECT population, 'all', prob, value FROM tiered),
+     merged AS (SELECT population, segment, prob, count(*) AS n, sum(prob * value) AS hit, sum((1 - prob) * value) AS miss FROM parts GROUP BY ALL),
+     from_up AS (SELECT population, segment, prob, sum(n) OVER w AS n, sum(hit) OVER w AS hit, sum(miss) OVER w AS miss
+                 FROM merged WINDOW w AS (PARTITION BY population, segment ORDER BY prob DESC)),
+     asked AS (SELECT fam.*, p.population FROM fam, (SELECT DISTINCT population FROM pop) p),
+     roi AS (SELECT a.population, a.id, a.segment, a.discount, a.threshold,
+                    coalesce(u.hit * 0.09::DOUBLE * (1 - a.discount) - u.miss * a.discount * 0.3::DOUBLE - u.n * 2400::DOUBLE, 0) AS roi
+             FROM asked a ASOF LEFT JOIN from_up u ON a.population = u.population AND a.segment = u.segment AND a.threshold <= u.prob),
+     {_PAIR}
+SELECT segment, {_SUMMARY_COLUMNS} FROM pair GROUP BY segment
+"""
 _CANDIDATES = _populations({"real": 1.0, "x1.0": 1.0, "x0.9": 0.9, "x0.8": 0.8, "x0.6": 0.6})
 ORACLES["ssf_compare_candidates"] = (
     f"WITH {_GRID}, {_CANDIDATES}, {_roi()}, {_PAIR} SELECT candidate, {_SUMMARY_COLUMNS} FROM pair GROUP BY candidate"
