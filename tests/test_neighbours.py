@@ -148,3 +148,51 @@ def test_tree_never_loses_a_closer_box(seed, n, leaves, k):
     found = set(zip(*tree.closer_leaves(queries, bound)))
     for i, j in zip(*np.nonzero(exact < bound[:, None] * (1 - 1e-6))):
         assert (i, at[j]) in found
+
+
+def test_queries_of_many_pieces_meet_their_own_group(spark, monkeypatch):
+    """Pieces in partitions of their own: after its own group a query has a bound, and few need another group."""
+    asked = []
+    meet = nb._meet
+
+    def counted(state, visits, index, space, keys):
+        asked.append(state.count())
+        return meet(state, visits, index, space, keys)
+
+    monkeypatch.setattr(nb, "_meet", counted)
+    monkeypatch.setattr(nb, "CHUNK_ROWS", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index, queries = wide(9, 3_000, 1), wide(10, 1_000, 1)
+        got = nearest(spark, queries, index, cell_rows=25).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    np.testing.assert_allclose(np.sort(got["distance"]), np.sort(brute_force(queries, index)), rtol=1e-9)
+    assert asked[0] == 1_000 and sum(asked[1:]) < 200
+
+
+def test_routing_holds_few_pairs_at_a_time():
+    """A bound that reaches every box: gaps are worked out a slice at a time, whatever the number of boxes."""
+    rows = wide(11, 8_192, 5).to_numpy()
+    tree = nb.grow_tree(rows, 5, 4_096)
+    at = tree.find(rows)
+    lo, hi = (np.array([f(rows[at == leaf], axis=0) for leaf in range(tree.n_leaves)]) for f in (np.min, np.max))
+    tree.set_boxes(lo, hi)
+    import tracemalloc
+
+    tracemalloc.start()
+    found = tree.closer_leaves(rows[:256], np.full(256, 1e9))
+    gap = tree.gap_of_leaves(rows[:256], *found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(gap) == 256 * tree.n_leaves and peak < 100 * len(gap)
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e6, 1e12])
+def test_matrix_product_only_sifts(shift):
+    """Distances are those of the differences to the last bit, on large numbers too."""
+    y, x = wide(12, 3_000, 6).to_numpy() + shift, wide(13, 200, 6).to_numpy() + shift
+    exact = np.zeros((200, 3_000))
+    for c in range(6):
+        exact += (x[:, None, c] - y[None, :, c]) ** 2
+    np.testing.assert_array_equal(nb.least_squares(x, y, np.full(200, np.inf), 6), exact.min(axis=1))
