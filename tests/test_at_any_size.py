@@ -190,3 +190,22 @@ def test_running_sums_of_groups_across_parts(spark, parts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got.set_index("at")["n"].to_dict() == dict(zip(rows["at"], want.reindex(rows.index)))
+
+
+def test_a_group_of_most_rows_is_dealt_to_many_tasks(spark, monkeypatch):
+    """Rows of a large group meet what belongs to it in many parts, null groups too, and nothing is lost."""
+    monkeypatch.setattr(frames, "HEAVY_ROWS", 300)
+    g = F.when(F.col("id") % 2 == 0, "large").when(F.col("id") % 20 == 1, F.lit(None)).otherwise(F.concat(F.lit("s"), F.col("id") % 50))
+    rows = spark.range(8_000).select("id", g.alias("g"))
+    groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("most"))
+    kept = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(kept[0], "false")
+    spark.conf.set(kept[1], "-1")
+    try:
+        met = frames.join_by_group(rows, groups.filter("g IS NULL OR g <> 's3'"), "g", F.col("id"), ["most", "n"]).withColumn("part", F.spark_partition_id()).toPandas()
+    finally:
+        for c in kept:
+            spark.conf.unset(c)
+    want = rows.toPandas().merge(groups.toPandas(), on="g").query("g != 's3'")  # pandas matches nulls
+    assert len(want) == len(met) and (met.sort_values("id")[["id", "most", "n"]].to_numpy() == want.sort_values("id")[["id", "most", "n"]].to_numpy()).all()
+    assert met[met["g"] == "large"].groupby("part").size().max() < 2_000

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsight.functions.frames import materialise, quoted, sums_before
+from twinsight.functions.frames import join_by_group, materialise, quoted, sums_before
 
 BRACKET_VALUES = 20_000
 READ_VALUES = 500_000  # over all groups and probabilities
@@ -232,8 +232,8 @@ def group_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: st
     # 0.0 and -0.0 are one value
     merged = rows.withColumn("v", F.col("v") + F.lit(0.0)).groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
     placed = materialise(sums_before(merged, [F.col("g"), F.col("v")], F.col("c"), "before"))
-    groups = placed.groupBy(F.col("g").alias("_g")).agg(F.min("before").alias("start"), F.sum("c").alias("n"))
-    met = placed.join(groups, F.col("g").eqNullSafe(F.col("_g"))).withColumn("first", F.col("before") - F.col("start"))
+    groups = materialise(placed.groupBy("g").agg(F.min("before").alias("start"), F.sum("c").alias("n")))
+    met = join_by_group(placed, groups, "g", F.col("v"), ["start", "n"]).withColumn("first", F.col("before") - F.col("start"))
     parts, picked = [], []
     for i, p in enumerate(probs):
         at = (F.col("n") - 1) * F.lit(float(p))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from twinsight.functions.frames import materialise, quoted, running_sums, sums_before
+from twinsight.functions.frames import join_by_group, materialise, quoted, running_sums, sums_before
 from twinsight.operators.quantiles import exact_quantiles, group_quantiles
 from twinsight.operators.scorers import Scorer, apply_scorer
 from twinsight.operators.value import TERCILES, tier_name
@@ -372,8 +372,9 @@ def compare_by_key(
     populations = score_population(real, scorer, value_col, REAL, on_missing).unionByName(
         score_population(synthetic, scorer, value_col, named, on_missing)
     )
-    cuts = group_quantiles(populations, "value", TERCILES, "population", "cuts").select("population", "cuts")
-    tiered = populations.join(cuts, "population").withColumn("tier", tier_name(F.col("value"), F.col("cuts")[0], F.col("cuts")[1]))
+    cuts = materialise(group_quantiles(populations, "value", TERCILES, "population", "cuts"))
+    met = join_by_group(populations, cuts, "population", F.struct("value", "prob"), ["cuts"])  # the real side is as large as all candidates
+    tiered = met.withColumn("tier", tier_name(F.col("value"), F.col("cuts")[0], F.col("cuts")[1]))
     sums, family, _ = bucket_sums(tiered, family)
     asked = family.filter(F.col("segment").isin(SEGMENTS)).select("segment", F.col("level").alias("bucket")).distinct().limit(_KEYED_PAIRS + 1).collect()
     if len(asked) > _KEYED_PAIRS:
