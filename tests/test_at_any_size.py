@@ -209,3 +209,24 @@ def test_a_group_of_most_rows_is_dealt_to_many_tasks(spark, monkeypatch):
     want = rows.toPandas().merge(groups.toPandas(), on="g").query("g != 's3'")  # pandas matches nulls
     assert len(want) == len(met) and (met.sort_values("id")[["id", "most", "n"]].to_numpy() == want.sort_values("id")[["id", "most", "n"]].to_numpy()).all()
     assert met[met["g"] == "large"].groupby("part").size().max() < 2_000
+
+
+def test_training_rows_are_dealt_to_parts(spark, monkeypatch):
+    """A table in one block of a file trains in parts of bounded size."""
+    from pyspark.ml import Pipeline
+
+    from twinsight.operators.scorers import TreeScorer
+
+    seen = []
+    fit = Pipeline.fit
+
+    def counted(self, frame, *rest):
+        seen.append([r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()])
+        return fit(self, frame, *rest)
+
+    monkeypatch.setattr(Pipeline, "fit", counted)
+    monkeypatch.setattr(TreeScorer, "PART_ROWS", 100, raising=False)
+    rows = spark.range(0, 1_000, 1, 1).select((F.col("id") % 7).alias("x"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("c"), F.when(F.col("id") % 7 > 3, "Yes").otherwise("No").alias("y"))
+    scored = TreeScorer("y", "Yes", trees=2, depth=2).fit(rows)(rows)
+    assert sum(seen[0]) == 1_000 and max(seen[0]) <= 110
+    assert scored.filter("(prob >= 0.5) <> (y = 'Yes')").count() == 0

@@ -81,6 +81,8 @@ class TreeScorer:
     TREES = 100
     DEPTH = 3
     STEP = 0.1
+    #: Rows of a part in training (about).
+    PART_ROWS = 65_536
 
     def __init__(self, target: str, positive: str, seed: int = 0, trees: int = TREES, depth: int = DEPTH):
         self.target, self.positive, self.seed = target, positive, seed
@@ -123,6 +125,10 @@ class TreeScorer:
             )
         )
         training = self._prepared(df).withColumn("_label", label.cast("double"))
+        parts = -(-df.count() // self.PART_ROWS)
+        if parts > 1:  # the trainer keeps its rows in the parts it is given, and a table may be one block of a file
+            training = training.select("_label", *[f"_num_{i}" for i in range(len(self.numeric))], *[f"_cat_{i}" for i in range(len(self.categorical))])
+            training = training.repartition(parts)
         self.model = Pipeline(stages=stages).fit(training)
         return self
 
