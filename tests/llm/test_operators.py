@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import weakref
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -32,6 +33,7 @@ from twinsight.llm import (
     toxicity,
     vocabulary,
 )
+from twinsight.llm.text import worker_state
 
 FILE = tokenizer_path("word_bpe_49k.json")
 
@@ -99,6 +101,20 @@ def test_files_have_the_layout(spark, tmp_path, edge):
             assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings
 
 
+def test_checksums_let_the_encoder_go():
+    """Its caches refer to it, as the encoder's do; a worker must not keep them while it reads the files back."""
+
+    class Encoder:
+        def __init__(self):
+            self.cache = [self]
+
+    kept = weakref.ref(worker_state("token_files", Encoder, FILE))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [4], "part": [0], "part_start": [0], "n_tokens": [2], "tokens": pa.array([[7, 1]], pa.list_(pa.int32()))})
+    files = SimpleNamespace(mapInArrow=lambda run, schema: [row for out in run(iter([batch])) for row in out.to_pylist()])
+    assert [r["ids_crc32"] for r in token_files.with_crc32(files)] == [zlib.crc32(np.array([7, 1], "<u4").tobytes())]
+    assert kept() is None
+
+
 def test_files_of_awkward_and_empty_tables(spark, tmp_path, awkward, empty):
     for name, df in (("a", awkward), ("e", empty)):
         token_files.write_token_files(df, f"{tmp_path}/{name}", FILE, None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable
@@ -48,7 +49,8 @@ def worker_state(name: str, build: Callable[[], Any], version: str = "") -> Any:
     """
     store = sys.modules.setdefault("_twinsight_worker_state", types.ModuleType("_twinsight_worker_state")).__dict__
     if store.get("key") != (name, version):
-        store.pop("state", None)
+        if store.pop("state", None) is not None:
+            gc.collect()  # caches refer to what fills them, so that nothing else would free them
         store["key"], store["state"] = (name, version), build()
     return store["state"]
 

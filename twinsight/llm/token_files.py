@@ -102,6 +102,7 @@ def with_crc32(files: DataFrame) -> DataFrame:
     """``doc_id, part, part_start, n_tokens`` and ``ids_crc32`` of the stored ids."""
 
     def checksum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("token_checksums", dict)  # the worker may be one that has encoded: its tables go before pages are read
         for batch in batches:
             tokens = batch.column("tokens")
             ends = tokens.offsets.to_numpy()
