@@ -346,6 +346,29 @@ def test_words_beyond_the_units_get_classes_of_their_own(spark, monkeypatch):
         assert got[r["doc_id"]] == (len(seen), sum(c > 0 for c in seen), total, pytest.approx(base))
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_rare_words_get_the_classes_that_frequent_ones_get(spark, monkeypatch, parts):
+    """Joined or broadcast, a word's class and every score are the same, also of words that occur once."""
+    monkeypatch.setattr(class_lm, "OWN_WORDS", 4)
+    monkeypatch.setattr(class_lm, "UNITS", 1 + 4 + class_lm.ENDINGS)
+    pick = np.random.default_rng(7)
+    word = lambda: f"w{int(pick.exponential(40))}" + ("end" if pick.integers(2) else "ing")
+    rows = [(i, " ".join(word() for _ in range(pick.integers(0, 60))), i % 7 == 6) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(parts, "doc_id")
+    counts = Counter(w for _, text, held in rows if not held for w in text.split())
+    listed = spark.createDataFrame(list(counts.items()), "word string, n long")
+    blocks = class_lm.encode_blocks(docs)
+    first = class_lm.fit_class_model(blocks, listed, sum(not r[2] for r in rows))
+    scores = []
+    for frequent in (1, 5, 10**9):
+        monkeypatch.setattr(class_lm, "FREQUENT", frequent)
+        placed, broadcast = class_lm.place_words(blocks, listed, first)
+        rare = {r["word"]: r["class"] for r in class_lm.place_rare_words(blocks, first, broadcast).collect()}
+        assert not rare.keys() & placed.keys() and set(rare) | set(placed) == set(counts) - set(first.own)
+        scores.append(({**placed, **rare}, by_id(class_lm.score_texts(docs), "n_known", "base_score", "score")))
+    assert min(counts.values()) == 1 and scores[0] == scores[1] == scores[2]
+
+
 # Near duplicates and repeats
 
 

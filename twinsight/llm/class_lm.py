@@ -8,10 +8,11 @@ Classes are first of *units*: the most frequent words are a unit each, all other
 their ending. Unit bigrams are counted over the whole training corpus; their number is bound by
 the number of units squared, and the exchange runs on that table alone.
 
-Then every other word that makes up a millionth of the training tokens (and occurs ``FREQUENT`` times) gets a class of its own by
-a distributed exchange round: its neighbours' classes are counted over the corpus (a shuffle by word), and it moves to the class where
-its occurrences are likeliest. There can be no more than a million such words, so their classes may be broadcast. Only rarer and
-unseen words keep the class of their ending. Class bigrams are then counted anew.
+Then every other training word gets a class of its own by a distributed exchange round: its neighbours' classes are counted over the
+corpus, and it moves to the class where its occurrences are likeliest. Words that make up a millionth of the training tokens (and
+occur ``FREQUENT`` times) are counted by number, as there can be no more than a million of them and their classes may be broadcast; the
+neighbours of all rarer ones are shuffled by word, and their classes joined back to the blocks by word. Both ways give the same classes. Only
+words unseen in training keep the class of their ending. Class bigrams are then counted anew.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import astuple, dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsight.functions.frames import materialise
@@ -42,7 +43,7 @@ PIECE = 1 << 18
 PAIR_BUCKET, WORD_BUCKET = 16 * UNITS, 256 * 2 * CLASSES
 #: Weight of the class frequencies in the transitions, in counts.
 STRENGTH = 5.0
-#: A word gets a class of its own from so many training occurrences and one token in so many.
+#: Words of so many training occurrences and one token in so many are broadcast, rarer ones joined. Affects speed and memory only.
 FREQUENT, ONE_IN = 5, 1_000_000
 #: Gains are whole numbers of this part, so that their sums do not depend on the order.
 GAIN_UNIT = 1000
@@ -262,15 +263,22 @@ class ClassModel:
         return np.where(counts > 0, seen, self.unseen[classes])
 
 
+def _ending() -> Column:
+    """Unit of a word's ending."""
+    return F.lit(1 + OWN_WORDS) + F.crc32(F.right("word", F.lit(3)).cast("binary")) % ENDINGS
+
+
+def _stats() -> list[Column]:
+    """Tokens, types, types seen once and twice."""
+    return [F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")]
+
+
 def fit_class_model(blocks: DataFrame, vocabulary: DataFrame, train_docs: int) -> ClassModel:
     """``vocabulary`` has ``word, n`` of all training words. The driver gets sums by unit and unit pairs only."""
     top = vocabulary.orderBy(F.desc("n"), "word").limit(OWN_WORDS).collect()
     own = {r["word"]: 1 + i for i, r in enumerate(top)}
-    ending = F.lit(1 + OWN_WORDS) + F.crc32(F.right("word", F.lit(3)).cast("binary")) % ENDINGS
     rare = vocabulary.filter(~F.col("word").isin(list(own))) if own else vocabulary
-    stats = rare.groupBy(ending.alias("unit")).agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")
-    )
+    stats = rare.groupBy(_ending().alias("unit")).agg(*_stats())
     by_unit = np.zeros((UNITS, 4))
     for r in stats.collect():
         by_unit[r["unit"]] = r["n"], r["types"], r["n1"], r["n2"]
@@ -317,6 +325,70 @@ def place_words(blocks: DataFrame, vocabulary: DataFrame, model: ClassModel) ->
     return {words[w]: c for w, c in zip(best["word"].to_pylist(), best["class"].to_pylist(), strict=True)}, counts
 
 
+def place_rare_words(blocks: DataFrame, model: ClassModel, frequent: dict[str, int]) -> DataFrame:
+    """``word, class`` of all training words beside the units and ``frequent``, by the rule of ``place_words``.
+
+    Each block sends a word once with the classes around it; a task sums them word by word in a sorted stream.
+    """
+    shared = blocks.sparkSession.sparkContext.broadcast((model.own, model.of, frozenset(frequent)))
+    gains = _gains(model).astype(float)  # sums of whole numbers below 2 ** 53 are exact
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.zeros(2 * CLASSES)
+
+        def row(words: list[str], sums: np.ndarray) -> pa.RecordBatch:
+            found = np.argmax(sums @ gains, axis=1).astype("int8")  # ties: the smallest class
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(found)], names=["word", "class"])
+
+        for batch in (part for whole in batches for part in sliced(whole, 2000) if part.num_rows):
+            grouped, data = batch.column("word").dictionary_encode(), batch.column("met").to_pylist()
+            words = grouped.dictionary.to_pylist()  # sorted rows: the rows of a word are together
+            group = np.repeat(grouped.indices.to_numpy(), [len(d) for d in data])
+            keys = group * np.int64(2 * CLASSES) + np.frombuffer(b"".join(data), "uint8")
+            sums = np.bincount(keys, minlength=len(words) * 2 * CLASSES).reshape(-1, 2 * CLASSES).astype(float)
+            if words[0] == last:
+                sums[0] += held
+            elif last is not None:
+                yield row([last], held[None, :])
+            yield row(words[:-1], sums[:-1])
+            last, held = words[-1], sums[-1]
+        if last is not None:
+            yield row([last], held[None, :])
+
+    beside = blocks.select("held_out", "ends", "codes", "words").mapInArrow(_rare_neighbours(shared), "word string, met binary")
+    return beside.repartition("word").sortWithinPartitions("word").mapInArrow(best, "word string, class byte")
+
+
+def _rare_neighbours(shared):
+    """Each rare word of a block with a byte for every neighbour: class before, or 48 + class after."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, of, frequent = shared.value
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = lambda name, b=batch, r=row: b.column(name)[r].values
+                words = get("words").to_pylist()
+                classes = of[np.append(_units(words, own), 0)].astype("uint8")
+                rare = np.array([*(w not in own and w not in frequent for w in words), False], bool)
+                train = ~np.array(get("held_out").to_pylist(), bool)
+                met, around_met = [np.zeros(0, "int32")], [np.zeros((0, 2), "uint8")]
+                for docs, sizes, codes in _pieces(get("codes").to_numpy(), get("ends").to_numpy(), len(words)):
+                    here = np.flatnonzero(np.repeat(train[docs], sizes) & rare[codes])  # no end mark, so a token comes after
+                    around = classes[codes]
+                    before = np.where(here > 0, around[here - 1], np.uint8(0))
+                    met.append(codes[here])
+                    around_met.append(np.stack([before, np.uint8(CLASSES) + around[here + 1]], axis=1))
+                found = np.concatenate(met)
+                order = np.argsort(found, kind="stable")
+                data = np.concatenate(around_met)[order].tobytes()
+                at, starts = np.unique(found[order], return_index=True)
+                ends = np.append(starts[1:], len(found)) * 2
+                listed = [data[2 * a : b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)] if len(at) else []
+                yield pa.RecordBatch.from_arrays([pa.array([words[c] for c in at.tolist()], pa.string()), pa.array(listed, pa.binary())], names=["word", "met"])
+
+    return count
+
+
 def _square(counts: DataFrame) -> np.ndarray:
     """Rows of ``slot, n`` as the table of class bigrams."""
     table = np.zeros(CLASSES * CLASSES)
@@ -371,28 +443,34 @@ def _word_classes(words: list[str], own: dict[str, int], of: np.ndarray, placed:
     return np.where(found >= 0, found, of[np.append(_units(words, own), 0)])
 
 
-def refitted(blocks: DataFrame, model: ClassModel, placed: dict[str, int], counts: dict[str, int]) -> ClassModel:
-    """The model with frequent words in their own classes: counts move with them, class bigrams are counted anew."""
-    shared = blocks.sparkSession.sparkContext.broadcast((model.own, model.of, placed))
+def refitted(classed: DataFrame, known: DataFrame, model: ClassModel, placed: dict[str, int], counts: dict[str, int]) -> ClassModel:
+    """The model with all training words in their own classes: counts move with them, class bigrams are counted anew.
+
+    ``classed`` has the blocks with their final classes, ``known`` the rarer words: ``word, n, class``.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(CLASSES * CLASSES, "int64")
         for batch in batches:
             for row in range(batch.num_rows):
-                get = lambda name, b=batch, r=row: b.column(name)[r].values
-                classes = _word_classes(get("words").to_pylist(), *shared.value)
-                train = ~np.array(get("held_out").to_pylist(), bool)
-                for docs, sizes, codes in _pieces(get("codes").to_numpy(), get("ends").to_numpy(), len(classes) - 1):
+                classes, _ = _known(batch, row)
+                train = ~np.array(batch.column("held_out")[row].values.to_pylist(), bool)
+                for docs, sizes, codes in _pieces(_codes(batch, row), batch.column("ends")[row].values.to_numpy(), len(classes) - 1):
                     table += _bigrams(classes[codes], np.repeat(train[docs], sizes), CLASSES)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(table[at])], names=["slot", "n"])
 
-    table = _square(blocks.select("held_out", "ends", "codes", "words").mapInArrow(count, "slot int, n long"))
+    table = _square(classed.drop("block", "doc_ids").mapInArrow(count, "slot int, n long"))
     stats = model.stats.copy()
     for word, to in placed.items():
         moved = counts[word], 1, counts[word] == 1, counts[word] == 2
         stats[model.of[unit_of(word, model.own)]] -= moved
         stats[to] += moved
+    moves = known.groupBy(_ending().alias("unit"), "class").agg(*_stats()).collect()  # at most ENDINGS * CLASSES rows
+    for r in moves:
+        moved = np.array([r["n"], r["types"], r["n1"], r["n2"]])
+        stats[model.of[r["unit"]]] -= moved
+        stats[r["class"]] += moved
     return _model(model.own, model.of, stats, table, model.end_count, placed)
 
 
@@ -412,47 +490,71 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hel
     vocabulary = materialise(listed.filter("w.n_train > 0").groupBy(F.col("w.words").alias("word")).agg(F.sum("w.n_train").alias("n")))
     train_docs = blocks.select(F.sum(F.size(F.filter("held_out", lambda h: ~h)))).first()[0] or 0
     first = fit_class_model(blocks, vocabulary, int(train_docs))
-    model = refitted(blocks, first, *place_words(blocks, vocabulary, first))
-    listed = blocks.select("block", F.posexplode("words").alias("code", "word")).join(vocabulary, "word")
-    counts = listed.groupBy("block").agg(F.collect_list("code").alias("known"), F.collect_list("n").alias("counts"))
-    shared = docs.sparkSession.sparkContext.broadcast(astuple(model))
+    placed, frequent = place_words(blocks, vocabulary, first)
+    known = materialise(place_rare_words(blocks, first, frequent).join(vocabulary, "word"))
+    numbers = vocabulary.join(known.select("word", "class"), "word", "left").withColumn("class", F.coalesce("class", F.lit(-1).cast("byte")))
+    listed = blocks.select("block", F.posexplode("words").alias("code", "word")).join(numbers, "word")
+    lists = [F.collect_list(c).alias(to) for c, to in (("code", "known"), ("n", "counts"), ("class", "placed"))]
+    counts = listed.groupBy("block").agg(*lists)
+    context = docs.sparkSession.sparkContext
     # Words become classes before the blocks are shuffled.
-    met = blocks.drop("n_train").mapInArrow(_classed(shared), _CLASSED).join(counts, "block", "left")
-    return met.mapInArrow(_scorer(shared), _SCORES)
+    shared = context.broadcast((first.own, first.of, placed))
+    classed = materialise(blocks.drop("n_train").mapInArrow(_classed(shared), _CLASSED).join(counts, "block", "left"))
+    model = refitted(classed, known, first, placed, frequent)
+    return classed.mapInArrow(_scorer(context.broadcast(astuple(model))), _SCORES)
 
 
-_CLASSED = "block long, doc_ids array<long>, held_out array<boolean>, ends array<int>, codes array<int>, classes array<byte>"
+_CLASSED = "block long, doc_ids array<long>, held_out array<boolean>, ends array<int>, codes binary, classes array<byte>"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _classed(shared):
+    """Blocks with classes for words; those of rarer words are by their ending until ``_known`` sets them."""
+
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = ClassModel(*shared.value)
         for batch in batches:
             lists = (batch.column("words")[row].values.to_pylist() for row in range(batch.num_rows))
-            classes = [_word_classes(words, model.own, model.of, model.placed).astype("int8") for words in lists]
-            names = ["block", "doc_ids", "held_out", "ends", "codes"]
-            columns = [*(batch.column(c) for c in names), pa.array(classes, pa.list_(pa.int8()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "classes"])
+            classes = [_word_classes(words, *shared.value).astype("int8") for words in lists]
+            codes = [batch.column("codes")[row].values.to_numpy().astype(_width(c)).tobytes() for row, c in enumerate(classes)]
+            names = ["block", "doc_ids", "held_out", "ends"]
+            columns = [*(batch.column(c) for c in names), pa.array(codes, pa.binary()), pa.array(classes, pa.list_(pa.int8()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "codes", "classes"])
 
     return classed
 
 
+def _width(classes: np.ndarray) -> str:
+    """Type of a block's codes in bytes: two of them for most blocks."""
+    return "<u2" if len(classes) <= 1 << 16 else "<i4"
+
+
+def _codes(batch: pa.RecordBatch, row: int) -> np.ndarray:
+    return np.frombuffer(batch.column("codes")[row].as_py(), _width(batch.column("classes")[row].values)).astype("int32")
+
+
+def _known(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """Final classes and training counts of a block's words; the end mark comes last, its count is left 0."""
+    classes = batch.column("classes")[row].values.to_numpy().astype("int64")
+    counts = np.zeros(len(classes), "int64")
+    if batch.column("known")[row].is_valid:
+        at, n, placed = (batch.column(c)[row].values.to_numpy() for c in ("known", "counts", "placed"))
+        counts[at] = n
+        classes[at[placed >= 0]] = placed[placed >= 0]
+    return classes, counts
+
+
 def _scorer(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ClassModel(*shared.value)  # a broadcast of an own class would need this package on executors
         for batch in batches:
             for row in range(batch.num_rows):
                 get = lambda name, b=batch, r=row: b.column(name)[r].values
-                classes = get("classes").to_numpy().astype("int64")
-                counts = np.zeros(len(classes), "int64")
-                if batch.column("known")[row].is_valid:
-                    counts[get("known").to_numpy()] = get("counts").to_numpy()
+                classes, counts = _known(batch, row)
                 counts[-1] = model.end_count
                 base = np.log10((counts + 1.0) / (model.train_tokens + model.types + 1.0))
                 emitted = model.word_scores(counts, classes)
                 totals = []
-                for _, sizes, codes in _pieces(get("codes").to_numpy(), get("ends").to_numpy(), len(counts) - 1):
+                for _, sizes, codes in _pieces(_codes(batch, row), get("ends").to_numpy(), len(counts) - 1):
                     now, starts = classes[codes], np.cumsum(sizes) - sizes
                     steps = model.step[np.concatenate([now[:0], [0], now[:-1]]), now]
                     sums = [np.add.reduceat(x, starts) for x in ((counts[codes] > 0).astype("int64"), base[codes], emitted[codes] + steps)]
