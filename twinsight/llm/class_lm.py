@@ -162,7 +162,7 @@ def _bigrams(line: np.ndarray, marked: np.ndarray, size: int) -> np.ndarray:
     return np.bincount((before * size + line)[marked], minlength=size * size)
 
 
-_PACKED = "bucket int, steps array<int>, n array<long>"
+_PACKED = "bucket int, steps array<short>, n array<long>"  # steps are below a bucket's width
 
 
 def _packed(keys: np.ndarray, n: np.ndarray, width: int) -> pa.RecordBatch:
@@ -171,7 +171,7 @@ def _packed(keys: np.ndarray, n: np.ndarray, width: int) -> pa.RecordBatch:
     steps = np.diff(keys, prepend=keys[:1])
     steps[starts] = keys[starts] % width
     ends = pa.array(np.append(starts, len(keys)), pa.int32())
-    columns = [pa.array(buckets, pa.int32()), *(pa.ListArray.from_arrays(ends, pa.array(x, k)) for x, k in ((steps, pa.int32()), (n, pa.int64())))]
+    columns = [pa.array(buckets, pa.int32()), *(pa.ListArray.from_arrays(ends, pa.array(x, k)) for x, k in ((steps, pa.int16()), (n, pa.int64())))]
     return pa.RecordBatch.from_arrays(columns, names=["bucket", "steps", "n"])
 
 
@@ -326,7 +326,7 @@ def place_words(blocks: DataFrame, vocabulary: DataFrame, model: ClassModel) ->
 
 
 def place_rare_words(blocks: DataFrame, model: ClassModel, frequent: dict[str, int]) -> DataFrame:
-    """``word, class`` of all training words beside the units and ``frequent``, by the rule of ``place_words``.
+    """``word, n, class`` of all training words beside the units and ``frequent``, by the rule of ``place_words``.
 
     Each block sends a word once with the classes around it; a task sums them word by word in a sorted stream.
     """
@@ -338,7 +338,8 @@ def place_rare_words(blocks: DataFrame, model: ClassModel, frequent: dict[str, i
 
         def row(words: list[str], sums: np.ndarray) -> pa.RecordBatch:
             found = np.argmax(sums @ gains, axis=1).astype("int8")  # ties: the smallest class
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(found)], names=["word", "class"])
+            n = (sums.sum(axis=1) / 2).astype("int64")  # each occurrence has two neighbours
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n), pa.array(found)], names=["word", "n", "class"])
 
         for batch in (part for whole in batches for part in sliced(whole, 2000) if part.num_rows):
             grouped, data = batch.column("word").dictionary_encode(), batch.column("met").to_pylist()
@@ -356,7 +357,7 @@ def place_rare_words(blocks: DataFrame, model: ClassModel, frequent: dict[str, i
             yield row([last], held[None, :])
 
     beside = blocks.select("held_out", "ends", "codes", "words").mapInArrow(_rare_neighbours(shared), "word string, met binary")
-    return beside.repartition("word").sortWithinPartitions("word").mapInArrow(best, "word string, class byte")
+    return beside.repartition("word").sortWithinPartitions("word").mapInArrow(best, "word string, n long, class byte")
 
 
 def _rare_neighbours(shared):
@@ -443,35 +444,48 @@ def _word_classes(words: list[str], own: dict[str, int], of: np.ndarray, placed:
     return np.where(found >= 0, found, of[np.append(_units(words, own), 0)])
 
 
-def refitted(classed: DataFrame, known: DataFrame, model: ClassModel, placed: dict[str, int], counts: dict[str, int]) -> ClassModel:
-    """The model with all training words in their own classes: counts move with them, class bigrams are counted anew.
-
-    ``classed`` has the blocks with their final classes, ``known`` the rarer words: ``word, n, class``.
-    """
+def refitted(lines: DataFrame, fitted: ClassModel) -> ClassModel:
+    """The model with class bigrams counted anew, over ``lines`` with the final classes of all tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(CLASSES * CLASSES, "int64")
         for batch in batches:
             for row in range(batch.num_rows):
-                classes, _ = _known(batch, row)
                 train = ~np.array(batch.column("held_out")[row].values.to_pylist(), bool)
-                for docs, sizes, codes in _pieces(_codes(batch, row), batch.column("ends")[row].values.to_numpy(), len(classes) - 1):
-                    table += _bigrams(classes[codes], np.repeat(train[docs], sizes), CLASSES)
+                for docs, sizes, line, _ in _lines(batch, row):
+                    table += _bigrams(line, np.repeat(train[docs], sizes), CLASSES)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(table[at])], names=["slot", "n"])
 
-    table = _square(classed.drop("block", "doc_ids").mapInArrow(count, "slot int, n long"))
+    table = _square(lines.select("held_out", "sizes", "line").mapInArrow(count, "slot int, n long"))
+    return _model(fitted.own, fitted.of, fitted.stats, table, fitted.end_count, fitted.placed)
+
+
+def _lines(batch: pa.RecordBatch, row: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Like ``_pieces``: which documents, their sizes, the classes of their tokens, and where each begins in them."""
+    line = np.frombuffer(batch.column("line")[row].as_buffer(), "uint8")
+    sizes = batch.column("sizes")[row].values.to_numpy()
+    ends = np.cumsum(sizes, dtype="int64")
+    first = start = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, start + PIECE, "right")))
+        yield slice(first, last), sizes[first:last], line[start : ends[last - 1]].astype("int64"), ends[first:last] - sizes[first:last] - start
+        first, start = last, int(ends[last - 1])
+
+
+def moved(model: ClassModel, known: DataFrame, placed: dict[str, int], counts: dict[str, int]) -> ClassModel:
+    """The model with word counts moved to the words' own classes; ``known`` has the rarer words: ``word, n, class``."""
     stats = model.stats.copy()
     for word, to in placed.items():
-        moved = counts[word], 1, counts[word] == 1, counts[word] == 2
-        stats[model.of[unit_of(word, model.own)]] -= moved
-        stats[to] += moved
+        sums = counts[word], 1, counts[word] == 1, counts[word] == 2
+        stats[model.of[unit_of(word, model.own)]] -= sums
+        stats[to] += sums
     moves = known.groupBy(_ending().alias("unit"), "class").agg(*_stats()).collect()  # at most ENDINGS * CLASSES rows
     for r in moves:
-        moved = np.array([r["n"], r["types"], r["n1"], r["n2"]])
-        stats[model.of[r["unit"]]] -= moved
-        stats[r["class"]] += moved
-    return _model(model.own, model.of, stats, table, model.end_count, placed)
+        sums = np.array([r["n"], r["types"], r["n1"], r["n2"]])
+        stats[model.of[r["unit"]]] -= sums
+        stats[r["class"]] += sums
+    return _model(model.own, model.of, stats, np.zeros((CLASSES, CLASSES)), model.end_count, placed)
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: str = "held_out") -> DataFrame:
@@ -491,34 +505,54 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hel
     train_docs = blocks.select(F.sum(F.size(F.filter("held_out", lambda h: ~h)))).first()[0] or 0
     first = fit_class_model(blocks, vocabulary, int(train_docs))
     placed, frequent = place_words(blocks, vocabulary, first)
-    known = materialise(place_rare_words(blocks, first, frequent).join(vocabulary, "word"))
-    numbers = vocabulary.join(known.select("word", "class"), "word", "left").withColumn("class", F.coalesce("class", F.lit(-1).cast("byte")))
-    listed = blocks.select("block", F.posexplode("words").alias("code", "word")).join(numbers, "word")
-    lists = [F.collect_list(c).alias(to) for c, to in (("code", "known"), ("n", "counts"), ("class", "placed"))]
-    counts = listed.groupBy("block").agg(*lists)
+    known = materialise(place_rare_words(blocks, first, frequent))
     context = docs.sparkSession.sparkContext
-    # Words become classes before the blocks are shuffled.
-    shared = context.broadcast((first.own, first.of, placed))
-    classed = materialise(blocks.drop("n_train").mapInArrow(_classed(shared), _CLASSED).join(counts, "block", "left"))
-    model = refitted(classed, known, first, placed, frequent)
-    return classed.mapInArrow(_scorer(context.broadcast(astuple(model))), _SCORES)
+    fitted = moved(first, known, placed, frequent)
+    top = vocabulary.filter(F.col("word").isin(list(first.own))).collect() if first.own else []
+    numbers = {**frequent, **{r["word"]: r["n"] for r in top}}
+    shared = context.broadcast((first.own, first.of, placed, numbers))
+    # Words become classes and counts before the blocks are shuffled; only rarer ones, which are not broadcast, are joined by word.
+    listed = blocks.select("block", "words").mapInArrow(_others(shared), "block long, code int, word string").join(known, "word")
+    lists = [F.collect_list(c).alias(to) for c, to in (("code", "known"), ("n", "counts"), ("class", "placed"))]
+    rarer = listed.groupBy("block").agg(*lists)
+    classed = blocks.drop("n_train").mapInArrow(_classed(shared), _CLASSED).join(rarer, "block", "left")
+    lines = materialise(classed.mapInArrow(_emitter(context.broadcast(astuple(fitted))), _LINES))
+    model = refitted(lines, fitted)
+    return lines.mapInArrow(_scorer(context.broadcast(astuple(model))), _SCORES)
 
 
-_CLASSED = "block long, doc_ids array<long>, held_out array<boolean>, ends array<int>, codes binary, classes array<byte>"
+_CLASSED = "block long, doc_ids array<long>, held_out array<boolean>, ends array<int>, codes binary, classes array<byte>, n array<long>"
+_LINES = "doc_ids array<long>, held_out array<boolean>, sizes array<int>, n_known array<long>, base array<double>, emitted array<double>, line binary"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _others(shared):
+    """Words of each block that are not broadcast."""
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = shared.value[3]
+        for batch in batches:
+            for row, block in enumerate(batch.column("block").to_pylist()):
+                found = [(code, word) for code, word in enumerate(batch.column("words")[row].values.to_pylist()) if word not in numbers]
+                columns = [pa.array([block] * len(found), pa.int64()), pa.array([c for c, _ in found], pa.int32()), pa.array([w for _, w in found], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "code", "word"])
+
+    return others
+
+
 def _classed(shared):
-    """Blocks with classes for words; those of rarer words are by their ending until ``_known`` sets them."""
+    """Blocks with classes and counts of words; those of rarer words are by their ending, and 0, until ``_known`` sets them."""
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, of, placed, numbers = shared.value
         for batch in batches:
-            lists = (batch.column("words")[row].values.to_pylist() for row in range(batch.num_rows))
-            classes = [_word_classes(words, *shared.value).astype("int8") for words in lists]
+            lists = [batch.column("words")[row].values.to_pylist() for row in range(batch.num_rows)]
+            classes = [_word_classes(words, own, of, placed).astype("int8") for words in lists]
+            n = [np.array([*(numbers.get(w, 0) for w in words), 0], "int64") for words in lists]
             codes = [batch.column("codes")[row].values.to_numpy().astype(_width(c)).tobytes() for row, c in enumerate(classes)]
             names = ["block", "doc_ids", "held_out", "ends"]
-            columns = [*(batch.column(c) for c in names), pa.array(codes, pa.binary()), pa.array(classes, pa.list_(pa.int8()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "codes", "classes"])
+            added = [pa.array(codes, pa.binary()), pa.array(classes, pa.list_(pa.int8())), pa.array(n, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *added], names=[*names, "codes", "classes", "n"])
 
     return classed
 
@@ -535,16 +569,18 @@ def _codes(batch: pa.RecordBatch, row: int) -> np.ndarray:
 def _known(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
     """Final classes and training counts of a block's words; the end mark comes last, its count is left 0."""
     classes = batch.column("classes")[row].values.to_numpy().astype("int64")
-    counts = np.zeros(len(classes), "int64")
+    counts = batch.column("n")[row].values.to_numpy().copy()
     if batch.column("known")[row].is_valid:
         at, n, placed = (batch.column(c)[row].values.to_numpy() for c in ("known", "counts", "placed"))
         counts[at] = n
-        classes[at[placed >= 0]] = placed[placed >= 0]
+        classes[at] = placed
     return classes, counts
 
 
-def _scorer(shared):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emitter(shared):
+    """Per document all that does not depend on class bigrams, and the classes of its tokens for what does."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ClassModel(*shared.value)  # a broadcast of an own class would need this package on executors
         for batch in batches:
             for row in range(batch.num_rows):
@@ -553,15 +589,29 @@ def _scorer(shared):
                 counts[-1] = model.end_count
                 base = np.log10((counts + 1.0) / (model.train_tokens + model.types + 1.0))
                 emitted = model.word_scores(counts, classes)
-                totals = []
+                seen, small, totals, line = (counts > 0).astype("int64"), classes.astype("uint8"), [], []
                 for _, sizes, codes in _pieces(_codes(batch, row), get("ends").to_numpy(), len(counts) - 1):
-                    now, starts = classes[codes], np.cumsum(sizes) - sizes
-                    steps = model.step[np.concatenate([now[:0], [0], now[:-1]]), now]
-                    sums = [np.add.reduceat(x, starts) for x in ((counts[codes] > 0).astype("int64"), base[codes], emitted[codes] + steps)]
-                    totals.append([sizes, *sums])
-                sizes, *sums = (np.concatenate(x) for x in zip(*totals, strict=True))
-                columns = [get("doc_ids"), get("held_out"), pa.array(sizes, pa.int64()), pa.array(sums[0]), pa.array(np.full(len(sizes), model.train_tokens))]
+                    starts = np.cumsum(sizes) - sizes
+                    totals.append([sizes, *(np.add.reduceat(x[codes], starts) for x in (seen, base, emitted))])
+                    line.append(small[codes].tobytes())
+                columns = [pa.array([np.concatenate(x)], pa.list_(k)) for x, k in zip(zip(*totals, strict=True), (pa.int32(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+                names = ["doc_ids", "held_out", "sizes", "n_known", "base", "emitted", "line"]
+                kept = [batch.column(c).slice(row, 1) for c in names[:2]]
+                yield pa.RecordBatch.from_arrays([*kept, *columns, pa.array([b"".join(line)], pa.binary())], names=names)
+
+    return emit
+
+
+def _scorer(shared):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = ClassModel(*shared.value)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = lambda name, b=batch, r=row: b.column(name)[r].values
+                steps = [np.add.reduceat(model.step[np.concatenate([now[:0], [0], now[:-1]]), now], starts) for _, _, now, starts in _lines(batch, row)]
+                sizes, score = get("sizes").to_numpy(), get("emitted").to_numpy() + np.concatenate(steps)
+                columns = [get("doc_ids"), get("held_out"), pa.array(sizes, pa.int64()), get("n_known"), pa.array(np.full(len(sizes), model.train_tokens))]
                 names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(sums[1]), pa.array(sums[2])], names=names)
+                yield pa.RecordBatch.from_arrays([*columns, get("base"), pa.array(score)], names=names)
 
     return score
