@@ -342,10 +342,11 @@ def place_rare_words(blocks: DataFrame, model: ClassModel, frequent: dict[str, i
             return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n), pa.array(found)], names=["word", "n", "class"])
 
         for batch in (part for whole in batches for part in sliced(whole, 2000) if part.num_rows):
-            grouped, data = batch.column("word").dictionary_encode(), batch.column("met").to_pylist()
+            grouped, met = batch.column("word").dictionary_encode(), batch.column("met").cast(pa.binary())
+            ends = np.frombuffer(met.buffers()[1], "int32")[met.offset : met.offset + len(met) + 1]
             words = grouped.dictionary.to_pylist()  # sorted rows: the rows of a word are together
-            group = np.repeat(grouped.indices.to_numpy(), [len(d) for d in data])
-            keys = group * np.int64(2 * CLASSES) + np.frombuffer(b"".join(data), "uint8")
+            group = np.repeat(grouped.indices.to_numpy(), np.diff(ends))
+            keys = group * np.int64(2 * CLASSES) + np.frombuffer(met.buffers()[2], "uint8")[ends[0] : ends[-1]]
             sums = np.bincount(keys, minlength=len(words) * 2 * CLASSES).reshape(-1, 2 * CLASSES).astype(float)
             if words[0] == last:
                 sums[0] += held
@@ -383,9 +384,9 @@ def _rare_neighbours(shared):
                 order = np.argsort(found, kind="stable")
                 data = np.concatenate(around_met)[order].tobytes()
                 at, starts = np.unique(found[order], return_index=True)
-                ends = np.append(starts[1:], len(found)) * 2
-                listed = [data[2 * a : b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)] if len(at) else []
-                yield pa.RecordBatch.from_arrays([pa.array([words[c] for c in at.tolist()], pa.string()), pa.array(listed, pa.binary())], names=["word", "met"])
+                offsets = 2 * np.append(starts, len(found)).astype("int32")
+                listed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([get("words").take(pa.array(at)).cast(pa.string()), listed], names=["word", "met"])
 
     return count
 
@@ -533,8 +534,9 @@ def _others(shared):
         numbers = shared.value[3]
         for batch in batches:
             for row, block in enumerate(batch.column("block").to_pylist()):
-                found = [(code, word) for code, word in enumerate(batch.column("words")[row].values.to_pylist()) if word not in numbers]
-                columns = [pa.array([block] * len(found), pa.int64()), pa.array([c for c, _ in found], pa.int32()), pa.array([w for _, w in found], pa.string())]
+                words = batch.column("words")[row].values
+                found = np.flatnonzero([w not in numbers for w in words.to_pylist()])
+                columns = [pa.array(np.full(len(found), block), pa.int64()), pa.array(found, pa.int32()), words.take(pa.array(found)).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "code", "word"])
 
     return others
