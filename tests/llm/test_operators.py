@@ -369,6 +369,43 @@ def test_rare_words_get_the_classes_that_frequent_ones_get(spark, monkeypatch, p
     assert min(counts.values()) == 1 and scores[0] == scores[1] == scores[2]
 
 
+def test_tasks_hold_few_blocks_at_a_time(spark, monkeypatch):
+    """However many blocks a task has, neither their file nor a worker's batch has more than a few."""
+    monkeypatch.setattr(class_lm, "BLOCK_DOCS", 100)
+    most = 16 << 20
+
+    def guarded(make):
+        def of(shared):
+            run = make(shared)
+
+            def checked(batches):
+                for batch in batches:
+                    if batch.nbytes > most:
+                        raise ValueError(f"a batch of {batch.num_rows} blocks and {batch.nbytes} bytes")
+                    yield batch
+
+            return lambda batches: run(checked(batches))
+
+        return of
+
+    for name in ("_neighbours", "_rare_neighbours", "_others", "_classed", "_emitter"):
+        monkeypatch.setattr(class_lm, name, guarded(getattr(class_lm, name)))
+    files, write = [], class_lm.materialise
+
+    def written(df, *options):
+        table = write(df, *options)
+        if "codes" in df.columns:
+            files.extend(r["n"] for r in table.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect())
+        return table
+
+    monkeypatch.setattr(class_lm, "materialise", written)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 1600, 1, 1).selectExpr("id AS doc_id", "id % 10 = 9 AS held_out", "repeat(concat('word', id % 50, ' of '), 2000) AS text")
+    assert class_lm.score_texts(docs).count() == 1600
+    assert sum(files) == 16 and max(files) <= 2
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 # Near duplicates and repeats
 
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsight.functions.frames import materialise
+from twinsight.functions.frames import materialise, small_batches
 from twinsight.llm.text import only, sliced, texts, words_of
 
 #: Units: the end mark, words of their own, endings (3 letters, hashed). Classes of units.
@@ -36,6 +36,8 @@ OWN_WORDS, ENDINGS, CLASSES = 600, 400, 48
 UNITS = 1 + OWN_WORDS + ENDINGS
 #: A block is full at so many documents or bytes of text.
 BLOCK_DOCS, BLOCK_BYTES = 4000, 16 << 20
+#: Blocks in a file, and bytes that a worker is handed at a time, mostly one block: else a task would hold all blocks of its file, however many.
+FILE_BLOCKS, BATCH_BYTES = 2, 8 << 20
 SWEEPS = 8
 #: Tasks look at a block in pieces of whole documents with about so many tokens.
 PIECE = 1 << 18
@@ -498,16 +500,22 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hel
     the end mark only. Repeated rows count each and score alike. Without training rows everything is
     unseen. An empty table gives an empty one. Other columns are not looked at.
     """
-    rows = only(docs, doc_id=doc_id, text=text, held_out=held_out)
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        lines, model = _learnt(only(docs, doc_id=doc_id, text=text, held_out=held_out))
+    return lines.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(astuple(model))), _SCORES)
+
+
+def _learnt(rows: DataFrame) -> tuple[DataFrame, ClassModel]:
+    """All blocks as lines of classes, and the model."""
     rows = rows.withColumns({"doc_id": F.col("doc_id").cast("long"), "held_out": F.coalesce("held_out", F.lit(False))})
-    blocks = materialise(encode_blocks(rows))
+    blocks = materialise(encode_blocks(rows), FILE_BLOCKS)
     listed = blocks.select(F.explode(F.arrays_zip("words", "n_train")).alias("w"))
     vocabulary = materialise(listed.filter("w.n_train > 0").groupBy(F.col("w.words").alias("word")).agg(F.sum("w.n_train").alias("n")))
     train_docs = blocks.select(F.sum(F.size(F.filter("held_out", lambda h: ~h)))).first()[0] or 0
     first = fit_class_model(blocks, vocabulary, int(train_docs))
     placed, frequent = place_words(blocks, vocabulary, first)
     known = materialise(place_rare_words(blocks, first, frequent))
-    context = docs.sparkSession.sparkContext
+    context = rows.sparkSession.sparkContext
     fitted = moved(first, known, placed, frequent)
     top = vocabulary.filter(F.col("word").isin(list(first.own))).collect() if first.own else []
     numbers = {**frequent, **{r["word"]: r["n"] for r in top}}
@@ -518,8 +526,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hel
     rarer = listed.groupBy("block").agg(*lists)
     classed = blocks.drop("n_train").mapInArrow(_classed(shared), _CLASSED).join(rarer, "block", "left")
     lines = materialise(classed.mapInArrow(_emitter(context.broadcast(astuple(fitted))), _LINES))
-    model = refitted(lines, fitted)
-    return lines.mapInArrow(_scorer(context.broadcast(astuple(model))), _SCORES)
+    return lines, refitted(lines, fitted)
 
 
 _CLASSED = "block long, doc_ids array<long>, held_out array<boolean>, ends array<int>, codes binary, classes array<byte>, n array<long>"
@@ -547,14 +554,14 @@ def _classed(shared):
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, of, placed, numbers = shared.value
-        for batch in batches:
-            lists = [batch.column("words")[row].values.to_pylist() for row in range(batch.num_rows)]
-            classes = [_word_classes(words, own, of, placed).astype("int8") for words in lists]
-            n = [np.array([*(numbers.get(w, 0) for w in words), 0], "int64") for words in lists]
-            codes = [batch.column("codes")[row].values.to_numpy().astype(_width(c)).tobytes() for row, c in enumerate(classes)]
+        for row in (part for whole in batches for part in sliced(whole, 1)):
+            words = row.column("words")[0].values.to_pylist()
+            classes = _word_classes(words, own, of, placed).astype("int8")
+            n = np.array([*(numbers.get(w, 0) for w in words), 0], "int64")
+            codes = row.column("codes")[0].values.to_numpy().astype(_width(classes)).tobytes()
             names = ["block", "doc_ids", "held_out", "ends"]
-            added = [pa.array(codes, pa.binary()), pa.array(classes, pa.list_(pa.int8())), pa.array(n, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *added], names=[*names, "codes", "classes", "n"])
+            added = [pa.array([codes], pa.binary()), pa.array([classes], pa.list_(pa.int8())), pa.array([n], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(row.column(c) for c in names), *added], names=[*names, "codes", "classes", "n"])
 
     return classed
 
