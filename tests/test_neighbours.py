@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
+from twinsight.functions import frames
 from twinsight.operators import neighbours as nb
 from twinsight.operators.features import distinct_rows, joint_encode, joint_space
 
@@ -196,3 +197,42 @@ def test_matrix_product_only_sifts(shift):
     for c in range(6):
         exact += (x[:, None, c] - y[None, :, c]) ** 2
     np.testing.assert_array_equal(nb.least_squares(x, y, np.full(200, np.inf), 6), exact.min(axis=1))
+
+
+def test_disk_of_a_round_is_bounded(spark, monkeypatch):
+    """Few rows are on the way at a time, however many rounds there are, and tables and shuffle files of former ones are gone."""
+    asked, tables, meet = [], [], nb._meet
+
+    def counted(state, visits, index, space, keys):
+        asked.append((state.count(), visits.count(), state.select("cell").distinct().count()))
+        tables.append(len(frames._SCOPES[-1]))
+        return meet(state, visits, index, space, keys)
+
+    monkeypatch.setattr(nb, "_meet", counted)
+    monkeypatch.setattr(nb, "SLICE_ROWS", 1_000, raising=False)
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: sum(b.isShuffle() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllBlocks()))
+    before, largest = shuffled(), []
+    clear = nb.materialise
+    monkeypatch.setattr(nb, "materialise", lambda df: (clear(df), largest.append(shuffled()))[0])
+    queries, index = wide(14, 300), wide(15, 2_000)
+    got = nearest(spark, queries, index, cell_rows=25).toPandas()
+    np.testing.assert_allclose(np.sort(got["distance"]), np.sort(brute_force(queries, index)), rtol=1e-9)
+    assert max(n + 200 * visits for n, visits, _ in asked if _ > 1) <= 2_000 and sum(n for n, *_ in asked) >= 900
+    assert len(asked) > max(tables) and max(largest) <= before + 40
+
+
+def test_pieces_take_their_groups_rows_along_few_times(spark, monkeypatch):
+    """Where there are many pieces they are larger, so that the index is not sent again for each few queries."""
+    monkeypatch.setattr(nb, "CHUNK_ROWS", 10)
+    pieces, meet = [], nb._meet
+
+    def counted(state, visits, index, space, keys):
+        pieces.append(visits.count())
+        return meet(state, visits, index, space, keys)
+
+    monkeypatch.setattr(nb, "_meet", counted)
+    queries, index = wide(16, 2_000, 1), wide(17, 1_000, 1)
+    got = nearest(spark, queries, index, cell_rows=100).toPandas()
+    np.testing.assert_allclose(np.sort(got["distance"]), np.sort(brute_force(queries, index)), rtol=1e-9)
+    assert 20 <= pieces[0] <= 80
